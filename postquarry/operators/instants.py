@@ -13,7 +13,6 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Month names in English and German by number, and zone letters with their offsets in minutes.
 MONTHS = {
@@ -90,62 +89,84 @@ def zone_intervals(spark: SparkSession, zones: list[str], first_year: int = 1996
     return spark.createDataFrame(rows, kind)
 
 
-def written_fields(df: DataFrame, raw: str = "date_raw", order: str = "date_order") -> DataFrame:
-    """Adds _epoch (microseconds, where the text is a count) or _local (microseconds of the written clock), and
-    _shift (seconds, where a zone is written) and _zoned. Text that is no full date leaves all of them null."""
-    s = F.trim(F.regexp_replace(F.col(raw), r"(?U)\s+", " "))
-    canon = F.when(s.rlike(_EPOCH), F.concat(F.lit("#"), s))
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _canonical(s: Column, order: Column) -> Column:
+    """year|month|day|hour|minute|second|fraction|half|zone of the text, # and the digits of a count, or null."""
+    rfc, *rest = _FORMS
+    canon = F.when(s.rlike(rfc[0]), _canon(s, *rfc)).when(s.rlike(_EPOCH), F.concat(F.lit("#"), s))
     slash = F.when(s.rlike(r"^\d{4}/"), _canon(s, _SLASHES, (*_ORDERS["ymd"], 4, 5, 6, 7, 8, 9)))
     for name, groups in _ORDERS.items():
-        slash = slash.when(F.col(order) == name, _canon(s, _SLASHES, (*groups, 4, 5, 6, 7, 8, 9)))
-    canon = canon.when(s.rlike(_SLASHES), slash)
-    for pattern, groups in _FORMS:
+        slash = slash.when(order == name, _canon(s, _SLASHES, (*groups, 4, 5, 6, 7, 8, 9)))
+    for pattern, groups in rest:
         canon = canon.when(s.rlike(pattern), _canon(s, pattern, groups))
-    parts = F.split("_canon", r"\|")
-    part = lambda k: F.nullif(F.get("_parts", F.lit(k)), F.lit(""))
-    number = lambda k: part(k).try_cast("int")
-    year, month = number(0), F.coalesce(number(1), _lookup(F.lower(part(1)), MONTHS))
-    year = F.when(year < 70, year + 2000).when(year < 100, year + 1900).otherwise(year)
-    half, hour = F.upper(part(7)), number(3)
-    hour = (
-        F.when(half.isNull(), hour)
-        .when(~hour.between(1, 12), None)
-        .otherwise(hour % 12 + F.when(half == "PM", 12).otherwise(0))
-    )
-    micros = F.rpad(F.substring(F.coalesce(part(6), F.lit("0")), 1, 6), 6, "0").cast("int")
-    at = F.expr("try_make_timestamp_ntz(_year, _month, _day, _hour, _minute, cast(_second as decimal(8, 6)))")
-    zone = F.regexp_replace(F.col("_zone"), r"^(GMT|UTC|UT) ?(?=[+-])", "")
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    digits = F.lpad(F.regexp_replace(zone, "[+:-]", ""), 4, "0")
-    hours, minutes = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
-    shift = F.when(
-        zone.rlike(r"^[+-]"), F.when((hours < 15) & (minutes < 60), sign * (hours * 60 + minutes))
-    ).otherwise(_lookup(zone, ZONE_MINUTES))
-    digits_of = F.when(F.col("_canon").startswith("#"), F.substring("_canon", 2, 19))
-    n, width = digits_of.cast("decimal(20,0)"), F.length(digits_of)
-    # 9 or 10 digits count seconds, 12 or 13 milliseconds, 15 or 16 microseconds, 18 tenths of microseconds since 1601
-    epoch = (
+    return canon.when(s.rlike(_SLASHES), slash)
+
+
+def _count(digits: Column) -> Column:
+    """Microseconds since 1970 of a count: 9 or 10 digits are seconds, 12 or 13 milliseconds, 15 or 16 microseconds,
+    18 tenths of microseconds since 1601, 19 nanoseconds."""
+    n, width = digits.try_cast("decimal(20,0)"), F.length(digits)
+    since_1601 = F.lit(11_644_473_600).cast("decimal(20,0)") * MICROS
+    return (
         F.when(width <= 10, n * MICROS)
         .when(width.between(12, 13), n * 1000)
         .when(width.between(15, 16), n)
-        .when(width == 18, F.floor(n / 10) - F.lit(11_644_473_600).cast("decimal(20,0)") * MICROS)
+        .when(width == 18, F.floor(n / 10) - since_1601)
         .when(width == 19, F.floor(n / 1000))
     ).cast("bigint")
-    return (
-        df.withColumn("_canon", canon)
-        .withColumn("_parts", F.when(~F.col("_canon").startswith("#"), parts))
-        .withColumns(
-            {"_year": year, "_month": month, "_day": number(2), "_hour": hour, "_minute": number(4),
-             "_second": F.coalesce(number(5), F.lit(0)), "_zone": F.upper(F.trim(part(8))), "_epoch": epoch}
-        )
-        .withColumn("_second", F.when(F.col("_second") < 60, F.col("_second")))
-        .withColumn("_local", F.timestamp_diff("MICROSECOND", F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz"), at) + micros)
-        .withColumn("_zoned", F.col("_zone").isNotNull())
-        .withColumn("_shift", shift * 60)
-    )
 
 
-SCRATCH = ["_canon", "_parts", "_year", "_month", "_day", "_hour", "_minute", "_second", "_zone", "_epoch", "_local", "_zoned", "_shift", "_home", "_order", "_found", "_at"]
+def _shift(zone: Column) -> Column:
+    """Seconds east of UTC of a written zone; null for letters without a usual meaning."""
+    sign = F.when(zone.startswith("-"), -60).otherwise(60)
+    digits = F.lpad(F.regexp_replace(zone, "[+:-]", ""), 4, "0")
+    hours, minutes = F.substring(digits, 1, 2).try_cast("int"), F.substring(digits, 3, 2).try_cast("int")
+    numeric = F.when((hours < 15) & (minutes < 60), sign * (hours * 60 + minutes))
+    return F.when(zone.rlike("^[+-]"), numeric).otherwise(_lookup(zone, ZONE_MINUTES) * 60)
+
+
+def _fields(parts: Column) -> Column:
+    part = lambda k: F.nullif(F.get(parts, F.lit(k)), F.lit(""))
+    number = lambda k: part(k).try_cast("int")
+    # a cast that fails is slow even when it gives null, so names never come to it
+    month = F.when(part(1).rlike("^[0-9]"), number(1)).otherwise(_lookup(F.lower(part(1)), MONTHS))
+    full_year = lambda y: F.when(y < 70, y + 2000).when(y < 100, y + 1900).otherwise(y)
+    clock = lambda h: (
+        F.when(part(7).isNull(), h).when(h.between(1, 12), h % 12 + F.when(F.upper(part(7)) == "PM", 12).otherwise(0))
+    )
+    second = F.coalesce(number(5), F.lit(0))
+    micros = F.rpad(F.substring(F.coalesce(part(6), F.lit("0")), 1, 6), 6, "0").cast("int")
+    epoch = F.lit(dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+
+    def dated(year: Column) -> Column:
+        at = F.try_make_timestamp_ntz(year, month, number(2), _let(number(3), clock), number(4), second.cast("decimal(8,6)"))
+        at = F.when(second < 60, at)
+        zone = F.regexp_replace(F.upper(F.trim(part(8))), r"^(GMT|UTC|UT) ?(?=[+-])", "")
+        return F.struct(
+            F.lit(None).cast("bigint").alias("count"),
+            (F.timestamp_diff("MICROSECOND", epoch, at) + micros).alias("local"),
+            zone.isNotNull().alias("zoned"),
+            _let(zone, _shift).cast("bigint").alias("shift"),
+            (year * 100 + month).alias("month"),
+        )
+
+    return _let(_let(number(0), full_year), dated)
+
+
+def written_fields(raw: Column, order: Column) -> Column:
+    """Struct of count (microseconds, where the text is a count), local (microseconds of the written clock), zoned and
+    shift (seconds, where a zone is written) and month. Null for text that is no full date."""
+    none = lambda kind: F.lit(None).cast(kind)
+    counted = lambda c: F.struct(
+        _count(F.substring(c, 2, 19)).alias("count"), none("bigint").alias("local"), F.lit(True).alias("zoned"),
+        none("bigint").alias("shift"), none("int").alias("month"),
+    )
+    read = lambda c: F.when(c.startswith("#"), counted(c)).when(c.isNotNull(), _let(F.split(c, r"\|"), _fields))
+    return _let(F.trim(F.regexp_replace(raw, r"(?U)\s+", " ")), lambda s: _let(_canonical(s, order), read))
 
 
 def resolve_instants(messages: DataFrame, sources: DataFrame, first_year: int = 1997, last_year: int = 2013) -> DataFrame:
@@ -155,30 +176,20 @@ def resolve_instants(messages: DataFrame, sources: DataFrame, first_year: int =
     time, days that do not exist and local times that occur twice or never give null. Sources are few; their zones
     are read to build the interval table. Columns of messages are kept; repeated source ids count once.
     """
-    spark = messages.sparkSession
     clocks = sources.where("source_id is not null").groupBy("source_id").agg(
-        F.min_by("home_zone", F.coalesce("home_zone", F.lit("~"))).alias("_home"),
-        F.min_by("date_order", F.coalesce("date_order", F.lit("~"))).alias("_order"),
-    )
+        F.min("home_zone").alias("_home"), F.min("date_order").alias("_order")
+    )
     zones = [r[0] for r in sources.select("home_zone").where("home_zone is not null").distinct().collect()]
-    table = zone_intervals(spark, zones, first_year - 1, last_year + 1)
-    df = messages.join(clocks, "source_id", "left")
-    df = _as_of(written_fields(df, order="_order"), table)
-    one = F.when(F.size("_found") == 1, F.col("_local") - F.get("_found", F.lit(0))["shift"].cast("bigint") * MICROS)
-    instant = F.coalesce("_epoch", F.when(F.col("_zoned"), F.col("_local") - F.col("_shift").cast("bigint") * MICROS).otherwise(one))
-    return df.withColumn("instant_us", instant).drop(*SCRATCH)
-
-
-def _as_of(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Joins each local time to the intervals of its zone and month and keeps those that hold it."""
-    months = table.select(F.col("zone").alias("_home"), F.col("month").alias("_at"), "intervals")
-    df = df.withColumn("_at", F.when(~F.col("_zoned"), F.col("_year") * 100 + F.col("_month")))
-    local = F.col("_local")
-    return (
-        df.join(months, ["_home", "_at"], "left")
-        .withColumn("_found", F.filter("intervals", lambda x: (x["low"] <= local) & (local < x["high"])))
-        .drop("intervals")
-    )
+    table = zone_intervals(messages.sparkSession, zones, first_year - 1, last_year + 1)
+    months = table.select(F.col("zone").alias("_home"), F.col("month").alias("_month"), "intervals")
+    df = messages.join(clocks, "source_id", "left").withColumn("_w", written_fields(F.col("date_raw"), F.col("_order")))
+    df = df.withColumn("_month", F.when(~F.col("_w.zoned"), F.col("_w.month"))).join(months, ["_home", "_month"], "left")
+    local = F.col("_w.local")
+    held = F.filter("intervals", lambda x: (x["low"] <= local) & (local < x["high"]))
+    one = _let(held, lambda x: F.when(F.size(x) == 1, local - F.get(x, F.lit(0))["shift"].cast("bigint") * MICROS))
+    zoned = local - F.col("_w.shift") * MICROS
+    instant = F.coalesce("_w.count", F.when(F.col("_w.zoned"), zoned).otherwise(one))
+    return df.withColumn("instant_us", instant).drop("_home", "_order", "_month", "_w", "intervals")
 
 
 def as_timestamp(us: Column) -> Column:
