@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postquarry.llm.contamination import leaks
 from postquarry.llm.conversations import conversations
+from postquarry.llm.encoding import restore_fields
+from postquarry.llm.truncation import truncated, truncation_rates
 from postquarry.tables import table
 
 
@@ -16,5 +19,32 @@ def p2_turns(spark: SparkSession, d: str) -> DataFrame:
     return conversations(table(spark, d, "messages"), table(spark, d, "sources"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_turns": p2_turns}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_restored(spark, d).select("rec_key", "field_name")
+
+
+def p1_restored(spark: SparkSession, d: str) -> DataFrame:
+    return restore_fields(table(spark, d, "messages"), table(spark, d, "addresses"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncated(table(spark, d, "documents")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation_rates(table(spark, d, "documents"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_turns": p2_turns,
+    "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_rates": p9_rates,
+}
 SQL: dict[str, str] = {}
