@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 RUN, BLOCK = 5, 2
 MOST_BYTES = 64 << 20  # of item text that may go to every task
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,80}>")
+_MARKS = re.compile("[\u0300-\u036f]+")
 _WORD = re.compile(r"[^\W_]+")
 _END = re.compile(r"(?<=[.!?…])[\"'”»)]*\s+")
 
@@ -29,7 +30,7 @@ def words(text: str) -> list[str]:
     text = _TAG.sub(" ", text).replace("\xad", "")
     if not text.isascii():
         text = unicodedata.normalize("NFKD", text.replace("ß", "ss").replace("ẞ", "ss"))
-        text = "".join(c for c in text if not unicodedata.combining(c))
+        text = _MARKS.sub("", text)
     return _WORD.findall(text.lower())
 
 
@@ -53,6 +54,12 @@ class Patterns:
                 self.of_item[i].append(len(self.sentences))
                 self.sentences.append(s)
                 self.item_of.append(i)
+        self.places_of: list[dict[str, int]] = []
+        for s in self.sentences:
+            places: dict[str, int] = {}
+            for j, x in enumerate(s):
+                places[x] = places.get(x, 0) | 1 << j
+            self.places_of.append(places)
         self.kinds = [frozenset(s) for s in self.sentences]
         self.most = [self.allowed(s) for s in self.sentences]
         self.shift: dict[tuple[str, str], int] = {}
@@ -96,15 +103,14 @@ class Patterns:
         covered = {a + j for a, _ in places for j in range(RUN)}
         if len(covered) == len(s) and len({p - a for a, p in places}) == 1:
             return len(s)
-        best = 0
+        best, places_of, full = 0, self.places_of[k], (1 << len(s)) - 1
         for start in {p - a for a, p in places}:
-            piece = text[max(0, start - 3) : start + len(s) + 3]
-            row = [0] * (len(piece) + 1)
-            for x in s:
-                previous = 0
-                for j, y in enumerate(piece, 1):
-                    previous, row[j] = row[j], previous + 1 if x == y else max(row[j], row[j - 1])
-            best = max(best, row[-1])
+            # longest common subsequence, a bit for each word of the sentence
+            row = full
+            for y in text[max(0, start - 3) : start + len(s) + 3]:
+                if at := row & places_of.get(y, 0):
+                    row = (row + at) | (row - at)
+            best = max(best, len(s) - (row & full).bit_count())
             if best == len(s):
                 break
         return best if len(s) - best <= self.allowed(s) else 0
