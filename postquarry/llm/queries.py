@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from postquarry.llm.contamination import leaks
 from postquarry.llm.conversations import conversations
 from postquarry.llm.encoding import restore_fields
+from postquarry.llm.mixing import mixture, mixture_texts
+from postquarry.llm.quoting import cut_bodies, passages
 from postquarry.llm.truncation import truncated, truncation_rates
 from postquarry.tables import table
 
@@ -27,6 +29,14 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore_fields(table(spark, d, "messages"), table(spark, d, "addresses"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return passages(table(spark, d, "messages"))
+
+
+def p4_new_text(spark: SparkSession, d: str) -> DataFrame:
+    return cut_bodies(table(spark, d, "messages")).select("read_ord", "new_text")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_leaks(spark, d).select("doc_id", "item_id")
 
@@ -35,6 +45,14 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_drawn(spark: SparkSession, d: str) -> DataFrame:
+    return mixture_texts(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return truncated(table(spark, d, "documents")).select("doc_id")
 
@@ -45,6 +63,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_turns": p2_turns,
-    "p7_found": p7_found, "p7_leaks": p7_leaks, "p9_found": p9_found, "p9_rates": p9_rates,
+    "p4_found": p4_found, "p4_new_text": p4_new_text, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_drawn": p8_drawn, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates,
 }
 SQL: dict[str, str] = {}

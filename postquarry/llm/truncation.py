@@ -146,20 +146,35 @@ def train(texts: list[tuple[str, int]], seed: int = 11) -> np.ndarray:
     return w
 
 
-def with_lengths(documents: DataFrame) -> DataFrame:
-    """documents with _same: how many other different texts of the source have the same length."""
+def length_counts(documents: DataFrame) -> DataFrame:
+    """(source, _n, _same): how many different texts of a source have a length besides one; only where there are others."""
     whole = documents.where(F.length(F.trim("text")) > 0)
     told = whole.select("source", F.length("text").alias("_n"), F.xxhash64("text").alias("_h")).distinct()
-    counts = told.groupBy("source", "_n").agg((F.count("*") - 1).cast("int").alias("_same")).where("_same > 0")
+    return told.groupBy("source", "_n").agg((F.count("*") - 1).cast("int").alias("_same")).where("_same > 0")
+
+
+def with_lengths(documents: DataFrame) -> DataFrame:
+    """documents that aren't blank with _same: how many other different texts of the source have the same length."""
+    counts = length_counts(documents).withColumnRenamed("source", "_s")
     key = F.col("source").eqNullSafe(F.col("_s")) & (F.length("text") == F.col("_n"))
-    return whole.join(counts.withColumnRenamed("source", "_s"), key, "left").drop("_s", "_n").withColumn("_same", F.coalesce("_same", F.lit(0)))
+    whole = documents.where(F.length(F.trim("text")) > 0)
+    return whole.join(counts, key, "left").drop("_s", "_n").withColumn("_same", F.coalesce("_same", F.lit(0)))
 
 
 def truncated(documents: DataFrame, sample_size: int = 4000, threshold: float = -0.5) -> DataFrame:
     """(doc_id, source, score) of texts that stop inside a word or a sentence. Null and blank texts are none."""
     rows = with_lengths(documents.select("doc_id", "source", "text"))
-    order = F.xxhash64("text", F.lit(5))
-    sample = rows.select("text", "_same", order.alias("_o")).orderBy("_o", "text").limit(sample_size).select("text", "_same").collect()
+    # hashes spread evenly, so a bound on them keeps what each task sends near its part of the sample
+    n = documents.select("doc_id").count()
+    order = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1)
+    bound = min((1 << 63) - 1, (1 << 63) * 2 * sample_size // max(n, 1))
+    pool = documents.select("source", "text", order.alias("_o")).where((F.col("_o") <= bound) & (F.length(F.trim("text")) > 0))
+    picked = [tuple(r) for r in pool.orderBy("_o", "text").limit(sample_size).select("source", "text").collect()]
+    sizes = {(r[0], r[1]): r[2] for r in length_counts(documents).join(
+        F.broadcast(documents.sparkSession.createDataFrame(sorted({(s, len(t)) for s, t in picked}, key=str), "_s string, _l int")),
+        F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_l")),
+    ).select("source", "_n", "_same").collect()}
+    sample = [(t, sizes.get((s, len(t)), 0)) for s, t in picked]
     seen = {t: n for t, n in sample}
     weights = train(sorted(seen.items()))
 
