@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from postquarry.llm.contamination import leaks
 from postquarry.llm.conversations import conversations
 from postquarry.llm.encoding import restore_fields
 from postquarry.llm.mixing import mixture, mixture_texts
+from postquarry.llm.personal import masked, personal_data
 from postquarry.llm.quoting import cut_bodies, passages
 from postquarry.llm.truncation import truncated, truncation_rates
 from postquarry.tables import table
 
 
+KEY = os.environ.get("MASKING_KEY", "a key for trials only")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_turns(spark, d).select("root_id", "message_id", "turn_no")
 
@@ -29,6 +35,18 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return restore_fields(table(spark, d, "messages"), table(spark, d, "addresses"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_data(table(spark, d, "messages"), table(spark, d, "addresses"))
+
+
+def p3_masked(spark: SparkSession, d: str) -> DataFrame:
+    return masked(table(spark, d, "messages"), table(spark, d, "addresses"), key=KEY)
+
+
+def p3_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return masked(table(spark, d, "messages"), table(spark, d, "addresses"), key=KEY, surrogates=True)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return passages(table(spark, d, "messages"))
 
@@ -63,6 +81,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_turns": p2_turns,
-    "p4_found": p4_found, "p4_new_text": p4_new_text, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_drawn": p8_drawn, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates,
+    "p3_found": p3_found, "p3_masked": p3_masked, "p3_surrogates": p3_surrogates, "p4_found": p4_found, "p4_new_text": p4_new_text, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_drawn": p8_drawn, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates,
 }
 SQL: dict[str, str] = {}
