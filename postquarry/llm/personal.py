@@ -21,7 +21,7 @@ from postquarry.llm.encoding import repair
 
 KINDS = ("email", "phone", "idnum", "street", "person")
 MOST_NAMES = 2_000_000
-_S = r"[ \xa0\t]{1,8}"  # wrapped lines are widened to spaces before anything is looked for
+_S = r"(?:[ \xa0\t]{1,8})"  # wrapped lines are widened to spaces before anything is looked for
 _WRAP = re.compile(r"\r?\n(?:[ \t]*(?:[>|]|[A-ZÀ-ÞŠŽŁ]{1,3}>)){0,4}[ \t]?")
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
@@ -53,6 +53,7 @@ STREET = re.compile(
     rf"\b[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|STRASSE|STRAßE|GASSE|WEG|PLATZ){_S}\d{{1,4}}{_S}?[a-z]?\b|\b{_CAP}{_S}(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee){_S}\d{{1,4}}\b|"
     rf"(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter))?,?{_S}(?:rue|impasse|avenue|allée|quai|boulevard|place|chemin|ruelle|cours|passage|square|route)\b{_S}(?:(?:de|du|des|la|le|les|l'|d'){_S}?){{0,3}}{_CAP}|"
     rf"\b(?:Calle|Avda\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía|C/|Rua|Travessa|Praça|Av\.|Largo|Estrada|Alameda)(?:{_S}(?:de|del|la|las|los|da|das|do|dos|el)){{0,3}}(?:{_S}{_CAP}){{1,4}},?{_S}(?:n\.?º{_S}?)?\d{{1,4}}|"
+    rf"\b(?:Am|Im|Zum|Zur|An der|Auf der|In der){_S}{_CAP}{_S}\d{{1,3}}{_S}?[a-z]?\b(?![.:])|"
     rf"(?:\bул\.|\bулица|\bпр\.|\bпроспект|\bпереулок|\bпер\.){_S}(?:{_CAP}{_S}?){{1,3}},?{_S}(?:д\.{_S}?)?\d{{1,4}}"
 )
 _STREET_HINT = re.compile(r"\d")
