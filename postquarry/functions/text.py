@@ -129,16 +129,21 @@ def fold(c: Column) -> Column:
     return F.lower(F.regexp_replace(F.translate(out, one, to), r"[̀-ͯ]+", ""))
 
 
-def tokenize(c: Column) -> Column:
-    """Tokens in order of the text: each of 2 to 60 characters, and after one with inner signs its pieces of 2 to 40."""
+def whole_tokens(c: Column) -> Column:
     raw = F.regexp_extract_all(fold(c), F.lit(r"[a-z0-9][a-z0-9'._+\-]*"), F.lit(0))
-    whole = F.filter(F.transform(raw, lambda t: F.regexp_replace(t, r"^['._+\-]+|['._+\-]+$", "")), lambda t: F.length(t).between(2, 60))
+    bare = F.transform(raw, lambda t: F.regexp_replace(t, r"^['._+\-]+|['._+\-]+$", ""))
+    return F.filter(bare, lambda t: F.length(t).between(2, 60))
+
 
-    def pieces(t: Column) -> Column:
-        parts = F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), lambda p: F.length(p).between(2, 40) & (p != t))
-        return F.when(t.rlike(r"[._+\-]"), F.concat(F.array(t), parts)).otherwise(F.array(t))
+def token_pieces(t: Column) -> Column:
+    """Pieces of 2 to 40 characters of a token with inner signs; none of others."""
+    parts = F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9]+"), F.lit(0)), lambda p: F.length(p).between(2, 40) & (p != t))
+    return F.when(t.rlike(r"[._+\-]"), parts).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(whole, pieces))
+
+def tokenize(c: Column) -> Column:
+    """Tokens in order of the text: each of 2 to 60 characters, and after one with inner signs its pieces. Null gives none."""
+    return F.flatten(F.transform(whole_tokens(c), lambda t: F.concat(F.array(t), token_pieces(t))))
 
 
 def query_terms(query: str) -> list[str]:

@@ -16,8 +16,8 @@ from postquarry.functions.text import query_terms, shard_length, shard_of, text,
 
 
 def postings(docs: DataFrame, key: str, fields: dict[int, Column], caps: dict[int, int] | None = None) -> DataFrame:
-    """(key, token, mask): one row per document and token, masks of its fields joined. All of a document's tokens are in its
-    own row, so the merge is done there and nothing is shuffled."""
+    """(key, token, mask): one row per document and token, masks of its fields joined; a cap counts a field's tokens before stopwords
+    are dropped. Documents without tokens have no rows."""
     caps = caps or {}
     arrays = []
     for bit, c in fields.items():
@@ -29,7 +29,9 @@ def postings(docs: DataFrame, key: str, fields: dict[int, Column], caps: dict[in
     if len(parts) == 1:
         merged = parts[0]
     else:
-        every = F.explode(F.concat(*[F.transform(f"_f{bit}", lambda t, b=bit: F.struct(t.alias("token"), F.lit(b).alias("mask"))) for bit, _ in arrays]))
+        # a second parameter of the function would be the place in the array
+        masked = lambda bit: F.transform(f"_f{bit}", lambda t: F.struct(t.alias("token"), F.lit(bit).alias("mask")))
+        every = F.explode(F.concat(*[masked(bit) for bit, _ in arrays]))
         rows = named.select(key, every.alias("_t")).select(key, "_t.*")
         merged = rows.groupBy(key, "token").agg(F.bit_or("mask").alias("mask"))
     return merged.where(~F.col("token").isin(S.STOPWORDS)).select(key, "token", "mask")
