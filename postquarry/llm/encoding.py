@@ -54,6 +54,7 @@ COSTS = [
 CYRILLIC = re.compile("[а-яёА-ЯЁ]")
 LOST = re.compile(f"(?<=[{_LETTER}])\\?(?=[a-zß-öø-ÿ])")
 HARD = re.compile("[�\x80-\x9f]")
+_BLANKS = str.maketrans("\t\r\n\x0b\x0c", "     ")
 BEYOND = re.compile(r"[^ \t\r\n\x0b\x0c]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\r\n\x0b\x0c]*")
 STEP, MARGIN, MOST_STATES = 0.35, 1.2, 400
 _LOG = {c: 0.12 * (math.log2(1000 / n) - 4.45) for c, n in RUSSIAN.items()}
@@ -132,25 +133,28 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     """(found, restored text, paths): null and plain ASCII text is never found; what can't be restored stays as it is."""
     if not text:
         return False, text, ""
-    words = dict.fromkeys(BEYOND.findall(text))
-    lost = bool(LOST.search(text)) and bool(re.search(r"\w\?[a-z]{1,2}\b", text))
+    # not str.split(): a no-break space may be half of a garbled letter
+    words = {w for w in text.translate(_BLANKS).split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w)}
+    lost = "?" in text and bool(LOST.search(text)) and bool(re.search(r"\w\?[a-z]{1,2}\b", text))
     if not words:
         return lost, text, ""
     results = {w: word_result(w) for w in words}
     gains = {w: r[0] - r[2] for w, r in results.items() if r[3]}
-    hard = any(HARD.search(w) for w in words)
-    if any(CYRILLIC.search(w) for w in words):
+    hard = bool(HARD.search(text))
+    cyrillic = [w for w in words if CYRILLIC.search(w)]
+    before = sum(results[w][0] for w in cyrillic)
+    if before >= MARGIN and before > 0.06 * sum(map(len, cyrillic)):
         # single words of swapped Cyrillic say little; together they do
-        joint = "\n".join(w for w in words if CYRILLIC.search(w))
+        joint = "\n".join(cyrillic)
         before = cost(joint)
         after, price, path = search(joint)
         pieces = after.split("\n")
-        if path and before - price >= MARGIN and len(pieces) == joint.count("\n") + 1:
-            for w, new in zip(joint.split("\n"), pieces):
+        if path and before - price >= MARGIN and len(pieces) == len(cyrillic):
+            for w, new in zip(cyrillic, pieces):
                 results[w] = (results[w][0], new, cost(new), path)
             gains = {w: r[0] - r[2] for w, r in results.items() if r[3]} | {"": before - price}
-        elif before < 0.25 * len(joint):
-            gains = {w: g for w, g in gains.items() if g >= MARGIN}
+    elif cyrillic:
+        gains = {w: g for w, g in gains.items() if g >= MARGIN}
     gain = sum(g for g in gains.values() if g > 0)
     found = hard or lost or gain >= MARGIN
     if not found:
