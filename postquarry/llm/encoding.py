@@ -41,6 +41,7 @@ COSTS = [
     (re.compile(f"(?<=[{_LETTER}])[¡¿ªº°£€©®„‚•№§×]|[°£€©®•·×](?=[{_LETTER}])"), 3.0),
     (re.compile(f"(?<=[{_LETTER}])[«»“”–—…·](?=[{_LETTER}])"), 2.0),
     (re.compile("(?<=[ÃÂÐÑâĂГРÔ√├┬Γ])[\xa0°§«»“”‘’–—…·•£€©®]"), 2.0),
+    (re.compile("[ÃÂ][œžšŸŒŠŽ]"), 2.0),
     (re.compile("[‘’](?=[А-Яа-я])|(?<=[А-Яа-я])[‘’“]"), 1.0),
     (re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŽŁŒ]"), 2.5),
     (re.compile("(?<=[à-öø-ÿ])[à-öø-ÿ]"), 1.0),
@@ -56,7 +57,8 @@ LOST = re.compile(f"(?<=[{_LETTER}])\\?(?=[a-zß-öø-ÿ])")
 HARD = re.compile("[�\x80-\x9f]")
 _BLANKS = str.maketrans("\t\r\n\x0b\x0c", "     ")
 BEYOND = re.compile(r"[^ \t\r\n\x0b\x0c]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\r\n\x0b\x0c]*")
-STEP, MARGIN, MOST_STATES = 0.35, 1.2, 400
+# PLAIN: text that costs less is taken at once
+STEP, MARGIN, MOST_STATES, PLAIN = 0.35, 1.2, 400, 0.25
 _LOG = {c: 0.12 * (math.log2(1000 / n) - 4.45) for c, n in RUSSIAN.items()}
 
 
@@ -111,11 +113,15 @@ def search(text: str) -> tuple[str, float, str]:
             n += 1
             way = f"{path} > {name}"
             if isinstance(new, bytes):
-                heapq.heappush(queue, (at + STEP, n, new, way))
+                # bytes that read as UTF-8 hardly do so by chance: they come first
+                sure = 1.0 if _decode(new, "utf-8") is not None else 0.0
+                heapq.heappush(queue, (at + STEP - sure, n, new, way))
                 continue
             price = cost(new)
             if price + STEP * (steps + 1) < best[0] + (STEP * best[2].count(">")):
                 best = (price, new, way)
+                if price < PLAIN:
+                    return best[1], best[0], best[2][3:]
             heapq.heappush(queue, (price + STEP * (steps + 1), n, new, way))
     return best[1], best[0], best[2][3:]
 
