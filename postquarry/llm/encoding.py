@@ -41,7 +41,15 @@ COSTS = [
     (re.compile(f"(?<=[{_LETTER}])[¡¿ªº°£€©®„‚•№§×]|[°£€©®•·×](?=[{_LETTER}])"), 3.0),
     (re.compile(f"(?<=[{_LETTER}])[«»“”–—…·](?=[{_LETTER}])"), 2.0),
     (re.compile("(?<=[ÃÂÐÑâĂГРÔ√├┬Γ])[\xa0°§«»“”‘’–—…·•£€©®]"), 2.0),
-    (re.compile("[ÃÂ][œžšŸŒŠŽ]"), 2.0),
+    (re.compile("[ÃÂÅ][œžšŸŒŠŽ]"), 2.0),
+    # English contractions, amounts and quotes whose sign became a letter
+    (re.compile("\\b(?:[Cc]an|[Dd]on|[Ww]on|[Ii]sn|[Aa]ren|[Dd]idn|[Dd]oesn|[Ww]asn|[Cc]ouldn|[Ww]ouldn|[Ss]houldn|[Hh]aven)[íÆ´]t\\b"), 3.0),
+    (re.compile("\\b(?:[Ii]t|[Tt]hat|[Ww]hat|[Tt]here|[Hh]ere|[Hh]e|[Ss]he|[Ll]et|[Ww]ho)[íÆ´]s\\b"), 3.0),
+    (re.compile("(?<![^\\W\\d])[À-ÖØ-Þ](?=\\d)"), 2.5),
+    (re.compile("‚(?=[À-Þ])"), 3.0),
+    (re.compile("\\b[ÿìî](?=[a-z]{2})"), 1.5),
+    (re.compile("¿(?=[^\\W\\d])"), 1.3),
+    (re.compile("(?<=[A-Z])[À-ÖØ-Þ](?=[a-z])|[À-ÖØ-Þ]{2}(?=[a-z])"), 2.0),
     (re.compile("[‘’](?=[А-Яа-я])|(?<=[А-Яа-я])[‘’“]"), 1.0),
     (re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŠŽŁŒ]"), 2.5),
     (re.compile("(?<=[à-öø-ÿ])[à-öø-ÿ]"), 1.0),
@@ -142,6 +150,8 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     # not str.split(): a no-break space may be half of a garbled letter
     words = {w for w in text.translate(_BLANKS).split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w)}
     lost = "?" in text and bool(LOST.search(text)) and bool(re.search(r"\w\?[a-z]{1,2}\b", text))
+    if "?" in text:
+        words = {w for w in words if w[0] != "¿"}  # it opens a question
     if not words:
         return lost, text, ""
     results = {w: word_result(w) for w in words}
