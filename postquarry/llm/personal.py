@@ -27,9 +27,9 @@ _WRAP = re.compile(r"\r?\n(?:[ \t]*(?:[>|]|[A-ZÀ-ÞŠŽŁ]{1,3}>)){0,4}[ \t]?")
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _AT = rf"(?:@|{_S}?[(\[{{<]{_S}?at{_S}?[)\]}}>]{_S}?|{_S}at{_S}|{_S}AT{_S})"
 _DOT = rf"(?:\.|{_S}?[(\[{{<]{_S}?dot{_S}?[)\]}}>]{_S}?|{_S}dot{_S}|{_S}DOT{_S})"
-EMAIL = re.compile(
-    rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@{_LABEL}(?:\.{_LABEL})+|(?<![\w.+-])[A-Za-z0-9][\w.+-]*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?<=[A-Za-z])"
-)
+EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@{_LABEL}(?:\.{_LABEL})+")
+DISGUISED = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?<=[A-Za-z])")
+_DISGUISE = re.compile(r"[(\[{<][ \xa0]{0,4}at[ \xa0]{0,4}[)\]}>]|[ \xa0]dot[ \xa0]|[ \xa0]DOT[ \xa0]|[(\[{<]dot[)\]}>]|[ \xa0]at[ \xa0]{1,8}[\w-]{1,40}\.[a-z]", re.I)
 _PLAIN_AT = re.compile(rf"^[A-Za-z0-9][\w.+-]*{_S}(?:at|AT){_S}{_LABEL}(?:\.{_LABEL})+$")
 PHONE = re.compile(
     rf"(?<![\w.+/@-])(?:\+33{_S}\d(?:{_S}\d\d){{4}}|\+44{_S}(?:\(0\))?\d{{2}}{_S}\d{{4}}{_S}\d{{4}}|\+44{_S}(?:\(0\))?\d{{4}}{_S}\d{{3}}{_S}\d{{3}}|\+1{_S}\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}|\+49{_S}\d{{2,4}}{_S}\d{{4,6}}-\d{{2,4}}|"
@@ -48,15 +48,21 @@ _PERSONAL = re.compile(
 )
 _OTHER = re.compile(r"(?:ticket|invoice|part(?:{0} no\.?)?|build|order|parcel|serial|rechnung|bestellung|auftrag|facture|commande|factura|pedido|fatura|счёт|заказ|версия|version|release|case|no|nr|№|#)[.:#]?[ \xa0]{{0,8}}$".format(""), re.I)
 _CAP = r"[A-ZÀ-ÞŠŽŁА-Я][\w’'-]+"
-STREET = re.compile(
+_HOUSE_FIRST = re.compile(
     rf"(?<![\w.,/-])\d{{1,4}}[a-z]?,?{_S}(?:{_CAP}{_S}){{1,3}}(?:Street|St\.|Road|Rd\.|Lane|Close|Court|Avenue|Ave\.|Rise|Row|Terrace|Drive|Way|Place|Square|Gardens|Crescent|Hill|Walk|Mews|Yard|Boulevard)\b|"
+    rf"(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter))?,?{_S}(?:rue|impasse|avenue|allée|quai|boulevard|place|chemin|ruelle|cours|passage|square|route)\b{_S}(?:(?:de|du|des|la|le|les|l'|d'){_S}?){{0,3}}{_CAP}"
+)
+_ROAD_FIRST = re.compile(
     rf"\b[A-ZÄÖÜ][\w-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|STRASSE|STRAßE|GASSE|WEG|PLATZ){_S}\d{{1,4}}{_S}?[a-z]?\b|\b{_CAP}{_S}(?:Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee){_S}\d{{1,4}}\b|"
-    rf"(?<![\w.,/-])\d{{1,4}}(?:{_S}?(?:bis|ter))?,?{_S}(?:rue|impasse|avenue|allée|quai|boulevard|place|chemin|ruelle|cours|passage|square|route)\b{_S}(?:(?:de|du|des|la|le|les|l'|d'){_S}?){{0,3}}{_CAP}|"
     rf"\b(?:Calle|Avda\.|Avenida|Plaza|Paseo|Camino|Ronda|Travesía|C/|Rua|Travessa|Praça|Av\.|Largo|Estrada|Alameda)(?:{_S}(?:de|del|la|las|los|da|das|do|dos|el)){{0,3}}(?:{_S}{_CAP}){{1,4}},?{_S}(?:n\.?º{_S}?)?\d{{1,4}}|"
     rf"\b(?:Am|Im|Zum|Zur|An der|Auf der|In der){_S}{_CAP}{_S}\d{{1,3}}{_S}?[a-z]?\b(?![.:])|"
     rf"(?:\bул\.|\bулица|\bпр\.|\bпроспект|\bпереулок|\bпер\.){_S}(?:{_CAP}{_S}?){{1,3}},?{_S}(?:д\.{_S}?)?\d{{1,4}}"
 )
-_STREET_HINT = re.compile(r"\d")
+# words of the second pattern with a number not far behind; cheap to look for
+_ROAD_HINT = re.compile(
+    r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|STRASSE|STRAßE|GASSE|WEG|PLATZ|Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|\b(?:Am|Im|Zum|Zur|An der|Auf der|In der|Calle|Avda\.|Avenida|Plaza|Paseo|Camino|"
+    r"Ronda|Travesía|C/|Rua|Travessa|Praça|Av\.|Largo|Estrada|Alameda|ул\.|улица|пр\.|проспект|переулок|пер\.)[ \xa0])[^\d]{0,60}\d"
+)
 WORD = re.compile(r"[^\W\d_][\w’'-]*")
 _CLOSE = re.compile(r"(?:^|[\s.,(<\"“„«>-])$")
 # Greetings and other places where a name follows, by language.
@@ -93,8 +99,9 @@ def find(text: str | None, names: frozenset[str]) -> list[Entity]:
             taken[a:b] = b"\1" * (b - a)
             out.append(Entity(a, b, kind, norm))
 
-    if "@" in view or "at" in view or "AT" in view:
-        for m in EMAIL.finditer(view):
+    mails = EMAIL.finditer(view) if "@" in view else ()
+    for pattern in (mails, DISGUISED.finditer(view) if _DISGUISE.search(view) else ()):
+        for m in pattern:
             s = m[0]
             if "@" not in s and _PLAIN_AT.match(s) and not re.search(r"[\d_]|\w\.\w", s.split()[0]):
                 continue  # two words around "at" before a dotted word
@@ -114,7 +121,8 @@ def find(text: str | None, names: frozenset[str]) -> list[Entity]:
             if m[0].isdigit() and not _PERSONAL.search(before + view[m.end() : m.end() + 30]):
                 continue
             add(m.start(), m.end(), "idnum", re.sub(r"[\s.-]", "", m[0]).lower())
-        for m in STREET.finditer(view):
+        streets = [*_HOUSE_FIRST.finditer(view), *(_ROAD_FIRST.finditer(view) if _ROAD_HINT.search(view) else ())]
+        for m in streets:
             add(m.start(), m.end(), "street", re.sub(r"[\s,]+", " ", m[0]).lower())
     spans: list[tuple[int, int]] = []
     for m in WORD.finditer(view):
