@@ -100,15 +100,14 @@ def conversations(messages: DataFrame, sources: DataFrame) -> DataFrame:
     turns = cut_lineage(fold_messages(messages, sources))
     edges = turns.select(F.col("message_id").alias("a"), F.explode(F.array_distinct(F.concat("named", F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>"))))).alias("b"))
     edges = cut_lineage(edges)
-    rings = edges.where("a = b").select(F.col("a").alias("node")).distinct()
     labels = components(edges)
-    part = labels.join(turns.withColumnRenamed("message_id", "node"), "node", "left").join(rings.withColumn("_ring", F.lit(True)), "node", "left")
+    part = labels.join(turns.withColumnRenamed("message_id", "node"), "node", "left")
     present = F.col("named").isNotNull()
     facts = part.groupBy("label").agg(
         F.count_if(~present).alias("missing"), F.count_if(present & F.col("parent").isNull()).alias("roots"), F.count_if(F.col("parent").isNotNull()).alias("replies"),
-        F.count_if("_ring").alias("rings"), F.max("seen").alias("seen"), F.min("sender").alias("low"), F.max("sender").alias("high"), F.count("*").alias("size"),
+        F.max("seen").alias("seen"), F.min("sender").alias("low"), F.max("sender").alias("high"), F.count("*").alias("size"),
     )
-    sound = facts.where("missing = 0 and roots = 1 and replies > 0 and rings = 0 and seen and low <> high").select("label", "size")
+    sound = facts.where("missing = 0 and roots = 1 and replies > 0 and seen and low <> high").select("label", "size")
     kept = cut_lineage(part.join(sound, "label").select("label", "size", F.col("node").alias("message_id"), "sender", "parent", "instant_us"))
     keyed = turn_keys(kept).join(kept.drop("parent"), "message_id")
     whole = keyed.groupBy("label").agg(F.count("*").alias("_n"), F.first("size").alias("_size")).where("_n = _size").select("label")

@@ -125,7 +125,8 @@ def search(text: str) -> tuple[str, float, str]:
                 sure = 1.0 if _decode(new, "utf-8") is not None else 0.0
                 heapq.heappush(queue, (at + STEP - sure, n, new, way))
                 continue
-            price = cost(new)
+            # few senders wrote in these
+            price = cost(new) + (0.3 if name in ("decode mac-roman", "decode cp437", "decode cp850") else 0.0)
             if price + STEP * (steps + 1) < best[0] + (STEP * best[2].count(">")):
                 best = (price, new, way)
                 if price < PLAIN:
@@ -175,6 +176,14 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     found = hard or lost or gain >= MARGIN
     if not found:
         return False, text, ""
+    garbled = [w for w, r in results.items() if r[0] >= 0.5]
+    if len(garbled) > 1 and not cyrillic:
+        # several readings of a word may be plain; all words together mostly have one
+        after, price, path = search("\n".join(garbled))
+        pieces = after.split("\n")
+        if path and len(pieces) == len(garbled) and price <= sum(results[w][2] for w in garbled) + PLAIN:
+            for w, new in zip(garbled, pieces):
+                results[w] = (results[w][0], new, cost(new), path)
     ways = Counter(r[3] for r in results.values() if r[3])
     swap = {w: r[1] for w, r in results.items() if r[3] and r[1] != w}
     if ways:

@@ -140,8 +140,8 @@ def find(text: str | None, names: frozenset[str]) -> list[Entity]:
             raw = text[b : spans[k + 1][0]]
             if "\n" in raw and (raw.count("\n") > 1 or not text[text.rfind("\n", 0, a) + 1 : a].strip(" \t>|")):
                 break  # a name alone on its line ends there
-            # "Given Surname" and "SURNAME, Given" are one name; a list of given names is not
-            if "," in view[b : spans[k + 1][0]] and not view[a:b].isupper() and view[a:b].count(" ") == 0 and view[spans[k + 1][0] : spans[k + 1][1]].isupper():
+            # "SURNAME, Given" is one name; others with a comma between are a list
+            if "," in raw and not text[a:b].isupper():
                 break
             k += 1
             b = max(b, spans[k][1])

@@ -102,7 +102,7 @@ def html_lines(source: str) -> str:
         for pattern, by in MARKUP[1:]:
             piece = pattern.sub(by, piece)
         piece = html.unescape(re.sub(r"<[^<>]*>", "", piece)).replace("\xa0", " ")
-        out += [("> " * depth + line.strip()) if depth else line.strip() for line in piece.split("\n")]
+        out += ["> " * depth + bare if (bare := line.strip()) else "" for line in piece.split("\n")]
         if m:
             depth = max(0, depth + (-1 if m[0][1] == "/" else 1))
             at = m.end()
