@@ -98,15 +98,17 @@ def _decode(raw: bytes, codec: str) -> str | None:
 
 
 def search(text: str) -> tuple[str, float, str]:
-    """(cheapest reachable text, its cost, path to it). States are texts and byte strings; a path's length counts a little."""
-    first = cost(text)
-    best = (first, text, "")
-    seen, queue, n = {hash((str, text))}, [(first, 0, text, "")], 0
+    """(cheapest reachable text, its cost, path to it).
+
+    States are texts and byte strings. The queue takes fewer decodings first, then the lower cost; bytes that read as UTF-8 hardly do so
+    by chance and come before others. The search ends at a plain text, once no shorter way is open.
+    """
+    best = (cost(text), text, "", 0)
+    seen, queue, n = {hash((str, text))}, [(0, best[0], 0, text, "")], 0
     while queue and len(seen) < MOST_STATES:
-        at, _, state, path = heapq.heappop(queue)
-        steps = path.count(">")
-        if at - STEP * steps > best[0] + 4 or steps >= 6:
-            continue
+        hops, at, _, state, path = heapq.heappop(queue)
+        if best[0] < PLAIN and hops >= best[3] and best[2] or hops > 2:
+            break
         if isinstance(state, bytes):
             edges = [(f"decode {c}", _decode(state, c)) for c in WRITTEN_IN]
         else:
@@ -121,17 +123,15 @@ def search(text: str) -> tuple[str, float, str]:
             n += 1
             way = f"{path} > {name}"
             if isinstance(new, bytes):
-                # bytes that read as UTF-8 hardly do so by chance: they come first
-                sure = 1.0 if _decode(new, "utf-8") is not None else 0.0
-                heapq.heappush(queue, (at + STEP - sure, n, new, way))
+                heapq.heappush(queue, (hops, at - 1000 * (_decode(new, "utf-8") is not None), n, new, way))
                 continue
             # few senders wrote in these
             price = cost(new) + (0.3 if name in ("decode mac-roman", "decode cp437", "decode cp850") else 0.0)
-            if price + STEP * (steps + 1) < best[0] + (STEP * best[2].count(">")):
-                best = (price, new, way)
-                if price < PLAIN:
-                    return best[1], best[0], best[2][3:]
-            heapq.heappush(queue, (price + STEP * (steps + 1), n, new, way))
+            if price + STEP * (hops + 1) < best[0] + STEP * best[3]:
+                best = (price, new, way, hops + 1)
+                if price < PLAIN and name == "decode utf-8":
+                    return new, price, way[3:]
+            heapq.heappush(queue, (hops + 1, price, n, new, way))
     return best[1], best[0], best[2][3:]
 
 
