@@ -97,6 +97,11 @@ def _decode(raw: bytes, codec: str) -> str | None:
         return None
 
 
+def _price_of(hops: int) -> float:
+    """What a way of so many decodings costs: text is rarely decoded wrongly more than once."""
+    return STEP * min(hops, 1) + 1.5 * max(0, hops - 1)
+
+
 def search(text: str) -> tuple[str, float, str]:
     """(cheapest reachable text, its cost, path to it).
 
@@ -127,7 +132,7 @@ def search(text: str) -> tuple[str, float, str]:
                 continue
             # few senders wrote in these
             price = cost(new) + (0.3 if name in ("decode mac-roman", "decode cp437", "decode cp850") else 0.0)
-            if price + STEP * (hops + 1) < best[0] + STEP * best[3]:
+            if price + _price_of(hops + 1) < best[0] + _price_of(best[3]):
                 best = (price, new, way, hops + 1)
                 if price < PLAIN and name == "decode utf-8":
                     return new, price, way[3:]
