@@ -70,7 +70,7 @@ _BEFORE = re.compile(
     r"(?:\b(?:Dr|Prof|Mr|Mrs|Ms|Herr|Frau|Mme|M|Sr|Sra|Dra|Doña|Don)\.?[ \xa0]{1,8}|^[ \t]*(?:Dear|Hi|Hello|Hey|Morning|Good morning|Hallo|Liebe/r|Liebe|Lieber|Guten Tag|Bonjour|Cher/chère|Cher|Chère|Salut|Hola|Buenos días|Querid[oa]|Olá|"
     r"Car[oa]|Bom dia|Здравствуйте|Привет|Уважаем\w+)[, ][ \xa0]{0,3})([A-ZÀ-ÞŠŽŁА-Я][^\W\d_][\w’'-]*)", re.M
 )
-_NOT_NAMES = {"all", "readers", "team", "everyone", "friends", "colleagues", "alle", "zusammen", "tous", "todos", "všem"}
+_NOT_NAMES = {"sir", "madam", "sirs", "customer", "customers", "list", "support", "damen", "herren", "kunden", "kollegen", "there", "again", "all", "readers", "team", "everyone", "friends", "colleagues", "alle", "zusammen", "tous", "todos", "všem"}
 
 
 @dataclass(frozen=True)
