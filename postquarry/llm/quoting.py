@@ -53,7 +53,7 @@ LEGAL = [
     "confidential", "privileged", "addressee", "intended for the named", "named recipient", "in error", "not permitted", "no contract", "liability", "attachments for virus", "registered office",
     "unless stated otherwise", "opinions in this mail", "vertraulich", "genannten empfänger", "rechtlich geschützt", "unbefugte", "weitergabe", "löschen sie", "haftung", "confidentiel", "réservé à son",
     "sans accord", "par erreur", "l'intégrité du message", "décline toute", "détruire", "confidencial", "exclusivamente", "se dirige solo", "por error", "prohibida", "no responde", "bórrelo",
-    "destinatario", "destinatário", "por engano", "proibida", "não responde", "конфиденциальн", "адресат", "по ошибке", "разглашени",
+    "destinatario", "destinatário", "por engano", "proibida", "não responde", "конфиденциальн", "адресат", "разглашени",
 ]
 NOTICE = re.compile(r"^\s*(?:\*+\s*)?(?:notice|disclaimer|confidentiality|hinweis|avis|aviso|внимание)\b\s*:?", re.I)
 PHONE = re.compile(r"(?:\+|\(|\b0|\b\d)[\d ().\-/]{6,}\d|\b(?:tel|tél|phone|fax|mob|mobile|cell|t|тел)\.?:?\s*\+?[\d(]", re.I)
@@ -67,7 +67,9 @@ MARKUP = [
     (re.compile(r"(?i)\s*<br\s*/?>\s*"), "\n"),
     (re.compile(r"(?i)</?(?:p|div|tr|li|h[1-6]|table|ul|ol|pre|body|html|hr)\b[^>]*>"), "\n"),
 ]
-_QUOTED = re.compile(r"(?is)<blockquote\b[^>]*>|</blockquote\s*>")
+_BLOCK = re.compile(r"(?is)<(/?)(blockquote|div)\b([^>]*)>|<hr\b[^>]*>")
+_EARLIER = re.compile(r"""(?i)\bclass\s*=\s*["']?[^"'>]*(?:quote|earlier|reply|forward|cite|original)""")
+_SIGNED = re.compile(r"""(?i)\bclass\s*=\s*["']?[^"'>]*\bsig""")
 
 
 @lru_cache(maxsize=1)
@@ -91,21 +93,35 @@ def legal_count(text: str) -> int:
 
 
 def html_lines(source: str) -> str:
-    """Text of HTML with a line for each block and > before what a blockquote holds."""
-    depth, out = 0, []
-    for pattern, by in MARKUP[:1]:
-        source = pattern.sub(by, source)
-    at = 0
-    for m in [*_QUOTED.finditer(source), None]:
+    """Text of HTML with a line for each block, > before what a quoting block holds (blockquote, a class that says so, what follows a
+    rule at once), and a delimiter before a block classed as signature."""
+    pattern, by = MARKUP[0]
+    source = pattern.sub(by, source)
+    out: list[str] = []
+    stack: list[tuple[str, bool]] = []
+    at, ruled = 0, False
+    for m in [*_BLOCK.finditer(source), None]:
         piece = source[at : m.start()] if m else source[at:]
         piece = re.sub(r"[\r\n]+", " ", piece)
         for pattern, by in MARKUP[1:]:
             piece = pattern.sub(by, piece)
         piece = html.unescape(re.sub(r"<[^<>]*>", "", piece)).replace("\xa0", " ")
+        depth = sum(q for _, q in stack)
         out += ["> " * depth + bare if (bare := line.strip()) else "" for line in piece.split("\n")]
-        if m:
-            depth = max(0, depth + (-1 if m[0][1] == "/" else 1))
-            at = m.end()
+        if m is None:
+            break
+        at, tag = m.end(), (m[2] or "hr").lower()
+        ruled = ruled and not piece.strip()
+        if tag == "hr":
+            ruled = True
+        elif m[1]:
+            while stack and stack.pop()[0] != tag:
+                pass
+            out.append("")
+        else:
+            stack.append((tag, tag == "blockquote" or bool(_EARLIER.search(m[3])) or ruled))
+            ruled = False
+            out += ["", "-- "] if _SIGNED.search(m[3]) and not source[at:].lstrip().startswith("--") else [""]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip("\n")
 
 
@@ -384,8 +400,13 @@ def label(text: str, model: Model, answered: str | None = None) -> tuple[list[st
     labels = [y for (a, b), y in zip(spans, model.decode(features)) for _ in range(a, b)]
     if DISCLAIMER in labels:
         for a, b in paragraphs(lines):
-            if DISCLAIMER in labels[a:b] and not legal_count(" ".join(lines[a:b])):
+            if DISCLAIMER in labels[a:b] and (not legal_count(" ".join(lines[a:b])) or any(map(HEADER.match, lines[a:b]))):
                 labels[a:b] = [QUOTE if y == DISCLAIMER else y for y in labels[a:b]]
+    for k, (a, b) in enumerate(paragraphs(lines)):
+        # blocks that can't be anything else
+        if k and not any(labels[a:b]):
+            kind = DISCLAIMER if _legal(lines[a:b]) else SIGNATURE if _card(lines[a:b]) else NEW
+            labels[a:b] = [kind] * (b - a)
     if answered:
         known = None
         for a, b in paragraphs(lines):
@@ -402,7 +423,7 @@ def newly_written(lines: list[str], labels: list[int]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip("\n")
 
 
-MARKED = r"(?m)^\s{0,3}(?:[>|]|[A-Z]{1,3}>)|^ {4}\S|^-{3,} ?\S|^_{20,}\s*$|<blockquote"
+MARKED = r"(?m)^\s{0,3}(?:[>|]|[A-Z]{1,3}>)|^ {4}\S|^-{3,} ?\S|^_{20,}\s*$|<blockquote|<hr|(?i)class=.(?:earlier|[a-z_-]*quote)"
 
 
 def with_answered(messages: DataFrame) -> DataFrame:

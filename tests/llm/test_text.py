@@ -122,7 +122,8 @@ def test_unmarked_quotes_are_told_by_the_answered_message():
 
 
 def test_html_lines():
-    assert quoting.html_lines("<html><body><p>a<br>b</p><blockquote>q<blockquote>r</blockquote></blockquote><style>x</style></body></html>") == "a\nb\n\n> q\n> > r"
+    assert quoting.html_lines("<html><body><p>a<br>b</p><blockquote>q<blockquote>r</blockquote></blockquote><style>x</style></body></html>") == "a\nb\n\n> q\n\n> > r"
+    assert quoting.html_lines('<p>a</p><hr><div>q</div><p>b</p><div class="sig">N</div>') == "a\n\n> q\n\nb\n\n-- \nN"
 
 
 def test_bodies(spark):
