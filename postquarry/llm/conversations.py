@@ -7,7 +7,7 @@ neither a long conversation nor one that holds a third of all rows has to fit in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postquarry.functions.identifiers import bare_id
@@ -18,17 +18,21 @@ LATE = 1 << 62  # stands for a missing instant: after all others
 MINUTE, DAY = 60_000_000, 86_400_000_000
 
 
+def _refs() -> Column:
+    return F.filter(F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda x: bare_id(x)), lambda x: x.isNotNull())
+
+
 def deliveries(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with an identifier: message_id, at (arrival), sender, reply, refs, instant_us, seen (has visible text)."""
+    """Rows with an identifier: message_id, at (arrival), sender, reply, last_ref, instant_us, seen (has visible text)."""
     rows = resolve_instants(
         messages.select("read_ord", "fetched_at", "source_id", "message_id", "from_addr", "in_reply_to", "refs", "date_raw", "body_text", "body_html"), sources
     )
-    refs = F.filter(F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda x: bare_id(x)), lambda x: x.isNotNull())
     markup = r"(?is)<(script|style|head|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&nbsp;|&#160;|&#xa0;"
     visible = lambda c: F.coalesce(c.rlike("(?U)[^\\s \u200b\ufeff]"), F.lit(False))
+    refs = _refs()
     return rows.select(
         bare_id(F.col("message_id")).alias("message_id"), F.struct(F.coalesce("fetched_at", F.lit("9999-01-01").cast("timestamp_ntz")).alias("at"), "read_ord").alias("at"),
-        F.nullif(F.lower(F.trim("from_addr")), F.lit("")).alias("sender"), bare_id(F.col("in_reply_to")).alias("reply"), refs.alias("refs"), "instant_us",
+        F.nullif(F.lower(F.trim("from_addr")), F.lit("")).alias("sender"), bare_id(F.col("in_reply_to")).alias("reply"), F.get(refs, F.size(refs) - 1).alias("last_ref"), "instant_us",
         (visible(F.col("body_text")) | visible(F.regexp_replace("body_html", markup, ""))).alias("seen"),
     ).where("message_id is not null")
 
@@ -41,20 +45,19 @@ def fold_messages(rows: DataFrame) -> DataFrame:
     identifier on a third of the rows is no hot spot.
     """
     first = lambda c, told=None: F.min_by(c, F.when(c.isNotNull() if told is None else told, F.col("at")))
-    last_ref = F.element_at(F.when(F.size("refs") > 0, F.col("refs")), -1)
     minute = lambda c: F.floor(c / MINUTE)
     folded = rows.groupBy("message_id").agg(
-        first(F.col("sender")).alias("sender"), F.coalesce(first(F.col("reply")), first(last_ref)).alias("parent"), first(F.col("instant_us")).alias("_date"),
+        first(F.col("sender")).alias("sender"), F.coalesce(first(F.col("reply")), first(F.col("last_ref"))).alias("parent"), first(F.col("instant_us")).alias("_date"),
         first(F.col("instant_us"), F.col("instant_us") % MINUTE != 0).alias("_exact"), F.max("seen").alias("seen"),
     )
     date = F.when(minute(F.col("_exact")) == minute(F.col("_date")), F.col("_exact")).otherwise(F.col("_date"))
     return folded.select("message_id", "sender", "parent", date.alias("instant_us"), "seen")
 
 
-def named_links(rows: DataFrame) -> DataFrame:
-    """(a, b): message a names identifier b in in_reply_to or refs of any delivery."""
-    named = F.array_distinct(F.array_compact(F.concat("refs", F.array("reply"))))
-    return rows.select(F.col("message_id").alias("a"), F.explode(named).alias("b")).distinct()
+def named_links(messages: DataFrame) -> DataFrame:
+    """(a, b): message a names identifier b in in_reply_to or refs of any delivery. Reads three columns."""
+    named = F.array_distinct(F.array_compact(F.concat(_refs(), F.array(bare_id(F.col("in_reply_to"))))))
+    return messages.select(bare_id(F.col("message_id")).alias("a"), F.explode(named).alias("b")).where("a is not null").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -83,6 +86,7 @@ def turn_keys(links: DataFrame, rounds: int = 40) -> DataFrame:
     The wanted order always takes the earliest message whose parent has been taken. A message's place in it is given by
     the maxima of its path, each taken below the one before: joining two pieces of path drops the end of the upper one that
     is earlier than the lower one's first. That is associative, so paths double in length each round.
+    Keys are as long as a path has such maxima: one entry where dates grow with the answers, as they mostly do.
     Messages whose path runs in a circle never reach a root and are left out.
     """
     own = F.array(F.struct(F.coalesce("instant_us", F.lit(LATE)).alias("at"), F.col("message_id").alias("id")))
@@ -106,9 +110,8 @@ def conversations(messages: DataFrame, sources: DataFrame) -> DataFrame:
     named in them has no row, answers run in a circle, more than one message answers none, nobody but the first
     sender wrote in them, or no message has visible text.
     """
-    rows = cut_lineage(deliveries(messages, sources))
-    turns = cut_lineage(fold_messages(rows))
-    edges = cut_lineage(named_links(rows))
+    turns = cut_lineage(fold_messages(deliveries(messages, sources)))
+    edges = cut_lineage(named_links(messages))
     labels = components(edges)
     part = labels.join(turns.withColumnRenamed("message_id", "node").withColumn("_row", F.lit(True)), "node", "left")
     present = F.col("_row")
