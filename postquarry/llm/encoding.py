@@ -181,12 +181,18 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     found = hard or lost or gain >= MARGIN
     if not found:
         return False, text, ""
-    garbled = [w for w, r in results.items() if r[0] >= 0.5]
+    garbled = [w for w, r in results.items() if r[0] >= 0.5 and "\ufffd" not in w]
     if len(garbled) > 1 and not cyrillic:
-        # several readings of a word may be plain; all words together mostly have one
-        after, price, path = search("\n".join(garbled))
-        pieces = after.split("\n")
-        if path and len(pieces) == len(garbled) and price <= sum(results[w][2] for w in garbled) + PLAIN:
+        # several readings of a word may be plain; all words together mostly have one, often that of the most words
+        alone = sum(results[w][2] for w in garbled)
+        for path, _ in Counter(results[w][3] for w in garbled if results[w][3]).most_common():
+            pieces = [follow(w, path) for w in garbled]
+            if None not in pieces and sum(map(cost, pieces)) <= alone + PLAIN:
+                break
+        else:
+            after, price, path = search("\n".join(garbled))
+            pieces = after.split("\n") if path and price <= alone + PLAIN else []
+        if len(pieces) == len(garbled):
             for w, new in zip(garbled, pieces):
                 results[w] = (results[w][0], new, cost(new), path)
     ways = Counter(r[3] for r in results.values() if r[3])
