@@ -60,10 +60,10 @@ COSTS = [
     (re.compile("[а-яёА-ЯЁ](?=[A-Za-zÀ-ÿ])|[A-Za-zÀ-ÿ](?=[а-яёА-ЯЁ])"), 2.0),
     (re.compile("&(?:#\\d{2,5}|#x[0-9A-Fa-f]{2,4}|[A-Za-z]{2,8});"), 1.5),
 ]
+_ANY = re.compile("|".join(f"(?:{p.pattern})" for p, _ in COSTS))
 CYRILLIC = re.compile("[а-яёА-ЯЁ]")
 LOST = re.compile(f"(?<=[{_LETTER}])\\?(?=[a-zß-öø-ÿ])")
 HARD = re.compile("[�\x80-\x9f]")
-_BLANKS = str.maketrans("\t\r\n\x0b\x0c", "     ")
 BEYOND = re.compile(r"[^ \t\r\n\x0b\x0c]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\r\n\x0b\x0c]*")
 # PLAIN: text that costs less is taken at once
 STEP, MARGIN, MOST_STATES, PLAIN = 0.35, 1.2, 400, 0.25
@@ -72,8 +72,15 @@ _LOG = {c: 0.12 * (math.log2(1000 / n) - 4.45) for c, n in RUSSIAN.items()}
 
 def cost(text: str) -> float:
     """How implausible the characters of the text are beside each other; about 0 for ordinary writing."""
-    total = sum(weight * len(pattern.findall(text)) for pattern, weight in COSTS)
-    return total + sum(_LOG[c.lower()] for c in CYRILLIC.findall(text))
+    total = 0.0
+    if not text.isascii() or "&" in text:
+        if _ANY.search(text):
+            for pattern, weight in COSTS:
+                if found := pattern.findall(text):
+                    total += weight * len(found)
+        for c in CYRILLIC.findall(text):
+            total += _LOG[c.lower()]
+    return total
 
 
 def _encode(text: str, codec: str) -> bytes | None:
@@ -154,7 +161,7 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     if not text:
         return False, text, ""
     # not str.split(): a no-break space may be half of a garbled letter
-    words = {w for w in text.translate(_BLANKS).split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w)}
+    words = {w for w in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w)}
     lost = "?" in text and bool(LOST.search(text)) and bool(re.search(r"\w\?[a-z]{1,2}\b", text))
     if "?" in text:
         words = {w for w in words if w[0] != "¿"}  # it opens a question
