@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from postquarry import schema as S
 from postquarry.functions import identity, text as X
 from postquarry.operators import filing, index, listing, manifest
+from postquarry.plans.pages import pages
 from postquarry.sources.datasource import read_mail
 
 
@@ -71,6 +72,11 @@ def build(spark: SparkSession, sources: list[str], out: str, now: str, accounts:
     rows = normalise(read.drop("_failed"))
     one = keep_longest(rows)
     old = manifest.load(spark, str(base / "manifest"))
+    if old is None and (base / "pages").exists():
+        # a lost manifest is recovered from the pages
+        found = manifest.recover(spark.read.parquet(str(base / "pages"))).select("uid", "hash", "nav", "folder", F.lit(now).alias("first_seen"), F.lit(now).alias("last_built"))
+        found.write.mode("overwrite").parquet(str(base / "work" / "recovered"))
+        old = spark.read.parquet(str(base / "work" / "recovered"))
     old = old if old is not None else spark.createDataFrame([], "uid string, hash string, nav string, folder string, first_seen string, last_built string")
     manifest.guard_empty(one, old, prune)
     candidate = filing.account_candidate(F.col("box"), F.col("sender.addr"), F.col("headers"), F.transform("to", lambda a: a["addr"]))
@@ -111,6 +117,7 @@ def build(spark: SparkSession, sources: list[str], out: str, now: str, accounts:
     index.write_index(index.postings(messages, "gid", fields, {S.FIELD_BODY: S.BODY_TOKENS}), str(base / "index"))
     current = messages.select("uid", "hash", "nav", F.col("path").alias("folder"))
     actions = manifest.diff(current, old, force)
+    pages(messages).write.mode("overwrite").parquet(str(base / "pages"))
     counts = manifest.stats(actions).first()
     manifest.save(manifest.next_manifest(current, old, now, prune), str(base / "manifest"))
     read_rows, kept = messages.agg(F.sum("copies"), F.count("*")).first()

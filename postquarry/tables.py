@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,19 +12,31 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder spark.checkpoint.dir names, which on a cluster is shared storage. A temporary one only where it is unset and the master local."""
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or _made.get(spark.sparkContext.applicationId)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+        folder = _made[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="tables-")
+    return folder
+
+
+_made: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder and returns the written copy.
+    """Writes df as a table in the shared folder and returns what was written: compressed, readable by any executor, and
+    with the sizes that let joins be planned. drop_written() removes one that is no longer needed."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_at = path
+    return written
+
 
-    The folder comes from spark.checkpoint.dir, which on a cluster names shared storage. Only where the
-    setting is missing and the master is local is a temporary folder used.
-    """
+def drop_written(df: DataFrame) -> None:
+    """Deletes the table behind a frame of cut_lineage()."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -153,7 +153,14 @@ def test_build_is_incremental(spark, sources):
     hits = search(spark, out, "number body").collect()
     assert len(hits) == 4
     export_json(spark, out)
+    page = spark.read.parquet(out + "/pages").where("html like '%Number 0%'").first()
+    assert "Body 0" in page["html"] and page["plain"] and page["page"].startswith("msg/")
+    (sources / "out" / "manifest" / "current.json").unlink()
+    recovered = build(spark, paths, out, now="t2")
+    assert (recovered.added, recovered.unchanged) == (0, 4)
+    first_seen = {"t2"}
     (sources / "Inbox.mbox").write_bytes(box(MESSAGES[:1]))
+    assert {r["first_seen"] for r in load(spark, out + "/manifest").collect()} == first_seen
     less = build(spark, [str(sources / "Inbox.mbox")], out, now="t3")
     assert less.gone == 3 and load(spark, out + "/manifest").count() == 4
     (sources / "Inbox.mbox").write_bytes(b"")
