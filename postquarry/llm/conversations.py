@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postquarry.functions.identifiers import bare_id
 from postquarry.operators.instants import resolve_instants
-from postquarry.tables import cut_lineage
+from postquarry.tables import cut_lineage, drop_written
 
 LATE = 1 << 62  # stands for a missing instant: after all others
 MINUTE, DAY = 60_000_000, 86_400_000_000
@@ -73,10 +73,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("_near")).withColumnRenamed("a", "node")
         stepped = labels.join(near, "node").select("node", F.least("label", "_near").alias("_step"), F.col("label").alias("_was"))
         over = stepped.join(stepped.select(F.col("node").alias("_step"), F.col("_step").alias("_jump")), "_step", "left")
-        new = cut_lineage(over.select("node", F.least("_step", "_jump").alias("label"), "_was"))
-        labels = new.select("node", "label")
-        if new.where("label <> _was").isEmpty():
-            return labels
+        new = cut_lineage(over.select("node", F.least("_step", "_jump").alias("label"), (F.least("_step", "_jump") != F.col("_was")).alias("moved")))
+        drop_written(labels)
+        labels = new
+        if new.where("moved").isEmpty():
+            drop_written(both)
+            return labels.select("node", "label")
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
@@ -99,7 +101,9 @@ def turn_keys(links: DataFrame, rounds: int = 40) -> DataFrame:
         joined = F.concat(F.filter("_key", lambda x: x >= F.get("key", F.lit(0))), F.col("key"))
         met = open_.join(upper, "up").select("message_id", F.col("_up").alias("up"), F.col("_top").alias("top"), joined.alias("key"))
         # a circle's paths come back to themselves
-        paths = cut_lineage(done.unionByName(met.where("up is null or up <> message_id")))
+        longer = cut_lineage(done.unionByName(met.where("up is null or up <> message_id")))
+        drop_written(paths)
+        paths = longer
     return paths.where("up is null").select("message_id", F.col("top").alias("root_id"), "key")
 
 
