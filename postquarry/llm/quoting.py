@@ -453,7 +453,11 @@ def cut_bodies(messages: DataFrame, sample_size: int = 3000) -> DataFrame:
     """
     body = F.coalesce(F.when(F.trim("body_text") != "", F.col("body_text")), F.col("body_html"))
     pool = messages.select(body.alias("b")).where("b is not null and trim(b) <> ''")
-    sample = [r[0] for r in pool.select("b", F.xxhash64("b").alias("h")).distinct().orderBy("h").limit(sample_size).collect()]
+    # hashes spread evenly over the different bodies, so a bound on them keeps what each task sends near its part of the sample
+    hashed = pool.select("b", F.shiftrightunsigned(F.xxhash64("b"), 1).alias("h"))
+    n = hashed.agg(F.approx_count_distinct("h")).first()[0]
+    bound = min((1 << 63) - 1, (1 << 63) * 2 * sample_size // max(n, 1))
+    sample = [r[0] for r in hashed.where(F.col("h") <= bound).distinct().orderBy("h", "b").limit(sample_size).collect()]
     model = train([html_lines(b) if b.lstrip()[:1] == "<" else b for b in sample])
     emission, transition = model.emission.astype(np.float32), model.transition
 
