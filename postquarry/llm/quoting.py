@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import ahocorasick
@@ -393,8 +393,14 @@ def runs(text: str, width: int = 6) -> set[int]:
     return {hash(tuple(w[i : i + width])) for i in range(len(w) - width + 1)}
 
 
-def label(text: str, model: Model, answered: str | None = None) -> tuple[list[str], list[int]]:
-    """Lines of a body and their labels. Paragraphs labelled new that mostly repeat the answered message are quotes."""
+@lru_cache(maxsize=64)
+def _answered_runs(text: str) -> set[int]:
+    """Runs of an answered text; answers to one message stand together after the join, so few are kept."""
+    return runs(html_lines(text) if text.lstrip()[:1] == "<" else text)
+
+
+def label(text: str, model: Model, answered: str | Sequence[str] | None = None) -> tuple[list[str], list[int]]:
+    """Lines of a body and their labels. Paragraphs labelled new that mostly repeat a delivery of the answered message are quotes."""
     lines = lines_of(text)
     spans, features = units(lines)
     labels = [y for (a, b), y in zip(spans, model.decode(features)) for _ in range(a, b)]
@@ -407,13 +413,12 @@ def label(text: str, model: Model, answered: str | None = None) -> tuple[list[st
         if k and not any(labels[a:b]):
             kind = DISCLAIMER if _legal(lines[a:b]) else SIGNATURE if _card(lines[a:b]) else NEW
             labels[a:b] = [kind] * (b - a)
-    if answered:
-        known = None
+    texts = [answered] if isinstance(answered, str) else [] if answered is None else answered
+    if len(texts):
         for a, b in paragraphs(lines):
             if labels[a] == NEW and len((piece := " ".join(lines[a:b])).split()) >= 8:
-                known = runs(answered) if known is None else known
                 own = runs(piece)
-                if own and len(own & known) >= 0.6 * len(own):
+                if own and any(len(own & _answered_runs(x)) >= 0.6 * len(own) for x in texts if x):
                     labels[a:b] = [QUOTE] * (b - a)
     return lines, labels
 
@@ -423,26 +428,22 @@ def newly_written(lines: list[str], labels: list[int]) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(kept)).strip("\n")
 
 
-MARKED = r"(?m)^\s{0,3}(?:[>|]|[A-Z]{1,3}>)|^ {4}\S|^-{3,} ?\S|^_{20,}\s*$|<blockquote|<hr|(?i)class=.(?:earlier|[a-z_-]*quote)"
-
-
 def with_answered(messages: DataFrame) -> DataFrame:
-    """(read_ord, body_text, body_html, answered): answered is the text of the message a row answers, for rows that have no mark of a
-    quote; one delivery of it is taken (lowest read_ord with a body). Null where there is none."""
+    """(read_ord, body_text, body_html, answered): answered has the different texts of the deliveries of the message a row answers, in
+    order; null where there is none. Identifiers nobody answers, which unrelated mail may share, meet no join."""
     refs = F.col("refs")
     last = F.get(refs, F.size(refs) - 1)
-    unmarked = ~(F.coalesce(F.col("body_text").rlike(MARKED), F.lit(False)) | F.coalesce(F.col("body_html").rlike(MARKED), F.lit(False)))
-    parent = F.when(unmarked, F.coalesce(bare_id(F.col("in_reply_to")), bare_id(last)))
+    parent = F.coalesce(bare_id(F.col("in_reply_to")), bare_id(last))
     rows = messages.where("body_text is not null or body_html is not null")
     rows = rows.select("read_ord", "body_text", "body_html", parent.alias("_parent"))
     open_ = rows.where("_parent is not null")
     wanted = open_.select("_parent").distinct()
     text = F.coalesce(F.when(F.trim("body_text") != "", F.col("body_text")), F.col("body_html"))
-    bodies = messages.select(bare_id(F.col("message_id")).alias("_parent"), text.alias("_text"), "read_ord").where("_parent is not null and _text is not null")
-    bodies = bodies.join(wanted, "_parent", "left_semi").groupBy("_parent").agg(F.min_by("_text", "read_ord").alias("answered"))
+    bodies = messages.select(bare_id(F.col("message_id")).alias("_parent"), text.alias("_text")).where("_parent is not null and _text is not null")
+    bodies = bodies.join(wanted, "_parent", "left_semi").groupBy("_parent").agg(F.sort_array(F.collect_set("_text")).alias("answered"))
     kept = ["read_ord", "body_text", "body_html", "answered"]
     joined = open_.join(bodies, "_parent", "left").select(kept)
-    return joined.unionByName(rows.where("_parent is null").select("read_ord", "body_text", "body_html", F.lit(None).cast("string").alias("answered")))
+    return joined.unionByName(rows.where("_parent is null").select("read_ord", "body_text", "body_html", F.lit(None).cast("array<string>").alias("answered")))
 
 
 def cut_bodies(messages: DataFrame, sample_size: int = 3000) -> DataFrame:
@@ -466,7 +467,6 @@ def cut_bodies(messages: DataFrame, sample_size: int = 3000) -> DataFrame:
         for batch in batches:
             out = []
             for read_ord, text, markup, answered in zip(batch["read_ord"], batch["body_text"], batch["body_html"], batch["answered"]):
-                answered = html_lines(answered) if answered and answered.lstrip()[:1] == "<" else answered
                 new, kinds = None, set()
                 for x in (text, html_lines(markup) if markup else None):
                     if x and x.strip():

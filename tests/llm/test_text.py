@@ -121,6 +121,23 @@ def test_unmarked_quotes_are_told_by_the_answered_message():
     assert quoting.newly_written(lines, labels) == "Fine by me, the market opens soon."
 
 
+def test_marks_elsewhere_do_not_hide_an_unmarked_quote(spark):
+    rng = random.Random(6)
+    old, other = (" ".join(sentence(rng) for _ in range(4)) for _ in range(2))
+    reply = "Fine by me, the market opens soon.\n\n"
+    rows = [
+        (1, "<a@x>", None, None, old, None), (2, "<A@x>", None, None, other, None), (3, "<a@x>", None, None, old, "<p>x</p>"), (4, "<b@x>", "<a@x>", None, reply + old, '<p>Fine</p><div class="earlier">x</div>'),
+        (5, "<c@x>", None, ["<a@x>"], reply + other + "\n\n-----\nJo", None), (6, "<d@x>", "<gone@x>", None, reply, None),
+    ]
+    m = spark.createDataFrame(rows, "read_ord bigint, message_id string, in_reply_to string, refs array<string>, body_text string, body_html string")
+    got = {r["read_ord"]: r for r in quoting.with_answered(m).collect()}
+    assert len(got) == 6 and got[4]["answered"] == got[5]["answered"] == sorted([old, other]) and got[6]["answered"] is None
+    model = quoting.train([b for b, _, _ in variants(seed=1)])
+    for k, quoted in ((4, old), (5, other)):
+        lines, labels = quoting.label(got[k]["body_text"], model, got[k]["answered"])
+        assert labels[lines.index(quoted)] == quoting.QUOTE and labels[0] == quoting.NEW
+
+
 def test_html_lines():
     assert quoting.html_lines("<html><body><p>a<br>b</p><blockquote>q<blockquote>r</blockquote></blockquote><style>x</style></body></html>") == "a\nb\n\n> q\n\n> > r"
     assert quoting.html_lines('<p>a</p><hr><div>q</div><p>b</p><div class="sig">N</div>') == "a\n\n> q\n\nb\n\n-- \nN"
