@@ -158,15 +158,21 @@ def word_result(word: str) -> tuple[float, str, float, str]:
 
 def repair(text: str | None) -> tuple[bool, str | None, str]:
     """(found, restored text, paths): null and plain ASCII text is never found; what can't be restored stays as it is."""
+    found, swap, paths = repaired_words(text)
+    return found, BEYOND.sub(lambda m: swap.get(m[0], m[0]), text) if swap else text, paths
+
+
+def repaired_words(text: str | None) -> tuple[bool, dict[str, str], str]:
+    """(found, restored words by garbled ones, paths): the words are those of BEYOND."""
     if not text:
-        return False, text, ""
+        return False, {}, ""
     # not str.split(): a no-break space may be half of a garbled letter
     words = {w for w in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w)}
     lost = "?" in text and bool(LOST.search(text)) and bool(re.search(r"\w\?[a-z]{1,2}\b", text))
     if "?" in text:
         words = {w for w in words if w[0] != "¿"}  # it opens a question
     if not words:
-        return lost, text, ""
+        return lost, {}, ""
     results = {w: word_result(w) for w in words}
     gains = {w: r[0] - r[2] for w, r in results.items() if r[3]}
     hard = bool(HARD.search(text))
@@ -187,7 +193,7 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     gain = sum(g for g in gains.values() if g > 0)
     found = hard or lost or gain >= MARGIN
     if not found:
-        return False, text, ""
+        return False, {}, ""
     garbled = [w for w, r in results.items() if r[0] >= 0.5 and "\ufffd" not in w]
     if len(garbled) > 1 and not cyrillic:
         # several readings of a word may be plain; all words together mostly have one, often that of the most words
@@ -210,8 +216,7 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
             # words too plain to tell by themselves follow the field's usual path where that costs nothing
             if w not in swap and (new := follow(w, common)) and cost(new) <= r[0]:
                 swap[w] = new
-    restored = BEYOND.sub(lambda m: swap.get(m[0], m[0]), text) if swap else text
-    return True, restored, "; ".join(ways)
+    return True, swap, "; ".join(ways)
 
 
 def follow(text: str, path: str) -> str | None:

@@ -10,14 +10,16 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postquarry.llm.encoding import repair
+from postquarry.llm.encoding import BEYOND, repair, repaired_words
 
 KINDS = ("email", "phone", "idnum", "street", "person")
 MOST_NAMES = 2_000_000
@@ -210,25 +212,58 @@ def surrogate(e: Entity, source: str, key: bytes, turn: int) -> str:
     return WORD.sub(lambda m: m[0] if len(m[0]) == 1 else _made_name(m[0], key, turn), source)
 
 
+class Repaired:
+    """A text with wrongly decoded words repaired, and the places of the original its spans stand for."""
+
+    def __init__(self, text: str):
+        swap = {} if text.isascii() else repaired_words(text)[1]
+        self.blocks, out, at, shift = [], [], 0, 0
+        for m in BEYOND.finditer(text) if swap else ():
+            old, new = m[0], swap.get(m[0], m[0])
+            if new == old:
+                continue
+            # letters within a word keep their places; very long words change as one
+            codes = SequenceMatcher(None, old, new, False).get_opcodes() if len(old) <= 200 else [("replace", 0, len(old), 0, len(new))]
+            a = m.start()
+            self.blocks += [(a + shift + j, a + shift + l, a + i, a + k) for tag, i, k, j, l in codes if tag != "equal"]
+            out += [text[at:a], new]
+            at, shift = m.end(), shift + len(new) - len(old)
+        self.text = "".join(out) + text[at:]
+        self._starts = [b[0] for b in self.blocks]
+
+    def place(self, p: int, end: bool = False) -> int:
+        """The original's place of a span's start or end; within a changed block, the block's."""
+        k = bisect_right(self._starts, p) - 1
+        if k < 0:
+            return p
+        a, b, old_a, old_b = self.blocks[k]
+        if p == a and (end or b > a):
+            return old_a
+        return old_b + p - b if p >= b else old_b if end else old_a
+
+
 def replace(text: str | None, names: frozenset[str], key: bytes, surrogates: bool = False) -> str | None:
-    """The text with every entity replaced and all else unchanged. Equal entities get equal replacements; if two different
+    """The text with every entity replaced and all else unchanged; entities are looked for in the repaired text. Equal entities get equal replacements; if two different
     ones would get the same in this text, or one that the text already holds, the later is drawn again."""
-    entities = find(text, names)
+    if not text:
+        return text
+    repaired = Repaired(text)
+    entities = find(repaired.text, names)
     if not entities:
         return text
     chosen: dict[tuple[str, str], str] = {}
     owner: dict[str, tuple[str, str]] = {}
     out, at = [], 0
     for e in entities:
-        who, source, turn = (e.kind, e.norm), text[e.start : e.end], 0
+        who, source, turn = (e.kind, e.norm), repaired.text[e.start : e.end], 0
         made = chosen.get(who) if not surrogates or e.kind == "email" else None
         while made is None:
             made = surrogate(e, source, key, turn) if surrogates else placeholder(e, key, turn)
             if owner.setdefault(made, who) != who or turn < 8 and made in text:
                 made, turn = None, turn + 1
         chosen[who] = made
-        out += [text[at : e.start], made]
-        at = e.end
+        out += [text[at : max(at, repaired.place(e.start))], made]
+        at = max(at, repaired.place(e.end, end=True))
     return "".join(out) + text[at:]
 
 

@@ -194,6 +194,23 @@ def test_spans_never_overlap(text):
         assert personal.replace(text, NAMES, b"k") == text
 
 
+def test_what_is_found_in_garbled_text_is_masked(spark):
+    garble = lambda x: x.encode().decode("latin-1")
+    a = spark.createDataFrame([(i, n, f"x{i}@y") for i, n in enumerate(["Petronel Müllenbach", "Müllenbach, Petronel", "Stellan Crèvemont", "Crèvemont, Stellan"])], "address_id bigint, addr_name string, addr string")
+    rows = [(1, garble("größere Post für Stellan Crèvemont"), garble("„Petronel Müllenbach“ <p.m@mail.example>, überholt; (Müllenbach)!\nWeberstraße 12, schöne Grüße")), (2, "from Crèvemont", "Müllenbach und M&uuml;ller schön")]
+    m = spark.createDataFrame(rows, "read_ord bigint, subject string, body_text string")
+    found = {tuple(r) for r in personal.personal_data(m, a).collect()}
+    assert {(1, "subject", "person"), (1, "body_text", "person"), (1, "body_text", "street"), (1, "body_text", "email"), (2, "body_text", "person")} <= found
+    for surrogates in (False, True):
+        out = {(r["read_ord"], r["field_name"]): r["text"] for r in personal.masked(m, a, "k", surrogates).collect()}
+        assert not any(x in t for t in out.values() for x in ("llenbach", "vemont", "Weberstra", "Petronel", "p.m@"))
+        assert out[(1, "subject")].startswith(garble("größere Post für ")) and out[(1, "body_text")].endswith(garble(", schöne Grüße")) and garble(">, überholt; (") in out[(1, "body_text")]
+        assert ")!\n" in out[(1, "body_text")]
+    masked = personal.masked(m, a, "k")
+    back = masked.groupBy("read_ord").pivot("field_name", ["subject", "body_text"]).agg({"text": "first"})
+    assert personal.personal_data(back, a).count() == 0
+
+
 def test_tables(spark):
     a = spark.createDataFrame([(i, n, f"x{i}@y") for i, n in enumerate(["Jutta Berg", "Berg, Jutta", "Jutta (Silver Works)", None, "", "A list of many people here"])], "address_id bigint, addr_name string, addr string")
     m = spark.createDataFrame([(1, "from Jutta", "x"), (2, None, None), (3, "", "call 020 7946 0888"), (4, "JÃ¼rgen Jutta".replace("JÃ¼rgen ", ""), "y")], "read_ord bigint, subject string, body_text string")
