@@ -1,8 +1,9 @@
 """Personal data in free text: found, and replaced by typed placeholders or by surrogates of the same kind and form.
 
 Names are known from the archive's own address book (all of it is aggregated) and from the places names stand in; addresses, numbers and
-streets from their forms. Replacements are keyed hashes of the normalised entity, so one entity has one replacement everywhere and different
-ones differ; within a text collisions are checked and resolved.
+streets from their forms. One entity has one replacement in all texts and different ones differ: names of the vocabulary are dealt surrogates
+in one pass over all of it that resolves collisions, numbers go through a keyed permutation of their digits, and whatever else is replaced
+gets a keyed hash of 65 bits or more of the normalised entity.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -158,58 +160,111 @@ def find(text: str | None, names: frozenset[str]) -> list[Entity]:
 # ---- replacements
 
 _SYLLABLES = {"latin": ("ba be di do fa ga ka la le lo ma mi na ne no pa ra re ri ro sa se ta te ti va ve zo".split(), "n r l s".split()), "cyrillic": ("ба ве ди до га ка ла ле ма ми на но па ра ре ро са та ти ва зо".split(), "н р л с".split())}
-_ROADS = "Alder Birch Cedar Hazel Holly Linden Maple Rowan Willow Elm Oak Pine Fern Ivy Heather Clover".split()
+_ROAD_KINDS = {"Street", "Road", "Lane", "Close", "Court", "Avenue", "Rise", "Row", "Terrace", "Flat", "Calle", "Avenida", "Rua", "Plaza"}
+# syllables of surrogates that no table keeps apart: even 21 ** 15 is more than 2 ** 65
+LONG = 16
 
 
 def _digest(key: bytes, kind: str, norm: str, turn: int) -> bytes:
     return hmac.new(key, f"{kind}\0{norm}\0{turn}".encode(), hashlib.sha256).digest()
 
 
-def placeholder(e: Entity, key: bytes, turn: int) -> str:
-    return f"[{e.kind.upper()}_{_digest(key, e.kind, e.norm, turn)[:8].hex()}]"
+def placeholder(e: Entity, key: bytes) -> str:
+    return f"[{e.kind.upper()}_{_digest(key, e.kind, e.norm, 0)[:12].hex()}]"
 
 
-def _refill(shape: str, raw: bytes, first: int = 0) -> str:
-    """The shape with digits and capitals drawn anew; other characters stay."""
-    n, out = int.from_bytes(raw, "big"), []
-    for i, c in enumerate(shape):
-        if c.isdigit() and i >= first:
-            n, r = divmod(n, 10)
-            out.append(str(r))
-        else:
-            out.append(c)
-    return "".join(out)
+def permuted(digits: str, key: bytes, tweak: str) -> str:
+    """Another string of as many digits: a keyed permutation (Feistel rounds on both halves), so different ones stay different."""
+    if len(digits) < 2:
+        shift = _digest(key, "digit", tweak, 0)[0]
+        return str((int(digits) + shift) % 10) if digits else ""
+    half = len(digits) // 2
+    a, b = digits[:half], digits[half:]
+    for turn in range(10):
+        c = (int(a) + int.from_bytes(_digest(key, "digits", f"{tweak}\0{len(digits)}\0{b}", turn)[:16], "big")) % 10 ** len(a)
+        a, b = b, str(c).zfill(len(a))
+    return a + b
 
 
-def _made_name(word: str, key: bytes, turn: int) -> str:
-    """A name in the word's script, letter case and usual ending of its gender, always the same for the same word."""
-    raw = _digest(key, "name", word.lower(), turn)
-    cyrillic = bool(re.search("[А-Яа-яЁё]", word))
+def _new_digits(norm: str, key: bytes) -> str:
+    """The digits that stand for a number's own, by its normalised form alone: one number is the same in all ways of writing, and as many
+    digits and the same letters come out. Long numbers keep two digits of their prefix."""
+    digits, letters = re.sub(r"\D", "", norm), re.sub(r"\d", "0", norm)
+    kept = 2 if norm == digits and len(digits) >= 10 else 0
+    return digits[:kept] + permuted(digits[kept:], key, letters + digits[:kept])
+
+
+def _refill(shape: str, digits: str) -> str:
+    """The shape with other digits; other characters stay."""
+    new = iter(digits)
+    return re.sub(r"\d", lambda m: next(new), shape)
+
+
+def _syllabic(raw: bytes, cyrillic: bool, count: int, feminine: bool) -> str:
     syllables, ends = _SYLLABLES["cyrillic" if cyrillic else "latin"]
-    n = int.from_bytes(raw[:12], "big")
+    n = int.from_bytes(raw, "big")
     parts = []
-    for _ in range(3):
+    for _ in range(count):
         n, r = divmod(n, len(syllables))
         parts.append(syllables[r])
+    return "".join(parts)[:-1] + ("а" if cyrillic else "a") if feminine else "".join(parts) + ends[n % len(ends)]
+
+
+def _made_name(word: str, key: bytes, turn: int, count: int) -> str:
+    """A lower-case name of so many syllables in the word's script, with the usual ending of its gender."""
     # names in -a, -e, -ne or -ie are mostly women's, others get a closing consonant
-    feminine = word.lower()[-1:] in "aeéаяё"
-    made = "".join(parts)[:-1] + ("а" if cyrillic else "a") if feminine else "".join(parts) + ends[n % len(ends)]
-    return made.upper() if word.isupper() and len(word) > 1 else made.capitalize()
+    return _syllabic(_digest(key, "name", word, turn), bool(re.search("[а-яё]", word)), count, word[-1:] in "aeéаяё")
+
+
+@lru_cache(maxsize=2)
+def made_names(names: frozenset[str], key: bytes) -> dict[str, str]:
+    """The vocabulary's surrogates, all different and none a name of it. A word whose surrogate is taken draws again, longer after some draws."""
+    out: dict[str, str] = {}
+    taken = set(names)
+    for word in sorted(names):
+        turn = 0
+        while (made := _made_name(word, key, turn, min(3 + turn // 8, LONG - 1))) in taken:
+            turn += 1
+        taken.add(made)
+        out[word] = made
+    return out
+
+
+def _name_like(word: str, made: dict[str, str], key: bytes) -> str:
+    """The surrogate of a word in its letter case. Words outside the vocabulary get long ones, which no word of it has."""
+    new = made.get(word.lower()) or _made_name(word.lower(), key, 0, LONG)
+    return new.upper() if word.isupper() and len(word) > 1 else new.capitalize()
+
+
+def _new_street(source: str, view: str, norm: str, key: bytes) -> str:
+    """The address with other digits and roads of two made-up words; the word for the kind of road stays where there is another."""
+    raw = _digest(key, "street", norm, 0)
+    caps = list(re.finditer(_CAP, view))
+    own = [m for m in caps if m[0] not in _ROAD_KINDS] or caps
+    cyrillic = bool(re.search("[А-Яа-яЁё]", view))
+    roads = [_syllabic(raw[k : k + 16], cyrillic, LONG // 2, False).capitalize() for k in (0, 16)]
+    out, at = [], 0
+    for k, m in enumerate(own):
+        out += [source[at : m.start()], " ".join(roads) if len(own) == 1 else roads[k % 2]]
+        at = m.end()
+    digits = re.sub(r"\D", "", source)
+    return _refill("".join(out) + source[at:], permuted(digits, key, norm))
 
 
-def surrogate(e: Entity, source: str, key: bytes, turn: int) -> str:
-    raw = _digest(key, e.kind, e.norm, turn)
+def surrogate(e: Entity, source: str, view: str, made: dict[str, str], key: bytes) -> str:
+    """source: the entity as written; view: the same without line ends and marks of quotes."""
     if e.kind == "email":
-        return f"u{raw[:7].hex()}@mail.example"
-    if e.kind == "phone":
-        return _refill(source, raw, first=4 if source[0] in "+0(" else 0)
-    if e.kind == "idnum":
-        return _refill(source, raw)
+        return f"u{_digest(key, e.kind, e.norm, 0)[:16].hex()}@mail.example"
+    if e.kind in ("phone", "idnum"):
+        return _refill(source, _new_digits(e.norm, key))
     if e.kind == "street":
-        road = _ROADS[raw[0] % len(_ROADS)]
-        words = re.sub(_CAP, lambda m: m[0] if m[0] in ("Street", "Road", "Lane", "Close", "Court", "Avenue", "Rise", "Row", "Terrace", "Flat", "Calle", "Avenida", "Rua", "Plaza") else road, source, count=2)
-        return _refill(words, raw[1:])
-    return WORD.sub(lambda m: m[0] if len(m[0]) == 1 else _made_name(m[0], key, turn), source)
+        return _new_street(source, view, e.norm, key)
+    out, at = [], 0
+    for m in WORD.finditer(view):
+        if len(m[0]) > 1:
+            out += [source[at : m.start()], _name_like(m[0], made, key)]
+            at = m.end()
+    return "".join(out) + source[at:]
 
 
 class Repaired:
@@ -242,27 +297,21 @@ class Repaired:
         return old_b + p - b if p >= b else old_b if end else old_a
 
 
-def replace(text: str | None, names: frozenset[str], key: bytes, surrogates: bool = False) -> str | None:
-    """The text with every entity replaced and all else unchanged; entities are looked for in the repaired text. Equal entities get equal replacements; if two different
-    ones would get the same in this text, or one that the text already holds, the later is drawn again."""
+def replace(text: str | None, names: frozenset[str], key: bytes, surrogates: bool = False, made: dict[str, str] | None = None) -> str | None:
+    """The text with every entity replaced and all else unchanged; entities are looked for in the repaired text. What replaces an
+    entity depends on it, the key and the vocabulary alone, never on the text. made: surrogates of the vocabulary, if at hand."""
     if not text:
         return text
     repaired = Repaired(text)
     entities = find(repaired.text, names)
     if not entities:
         return text
-    chosen: dict[tuple[str, str], str] = {}
-    owner: dict[str, tuple[str, str]] = {}
+    if surrogates:
+        made, view = made_names(names, key) if made is None else made, _view(repaired.text)
     out, at = [], 0
     for e in entities:
-        who, source, turn = (e.kind, e.norm), repaired.text[e.start : e.end], 0
-        made = chosen.get(who) if not surrogates or e.kind == "email" else None
-        while made is None:
-            made = surrogate(e, source, key, turn) if surrogates else placeholder(e, key, turn)
-            if owner.setdefault(made, who) != who or turn < 8 and made in text:
-                made, turn = None, turn + 1
-        chosen[who] = made
-        out += [text[at : max(at, repaired.place(e.start))], made]
+        new = surrogate(e, repaired.text[e.start : e.end], view[e.start : e.end], made, key) if surrogates else placeholder(e, key)
+        out += [text[at : max(at, repaired.place(e.start))], new]
         at = max(at, repaired.place(e.end, end=True))
     return "".join(out) + text[at:]
 
@@ -312,11 +361,12 @@ def personal_data(messages: DataFrame, addresses: DataFrame) -> DataFrame:
 def masked(messages: DataFrame, addresses: DataFrame, key: str, surrogates: bool = False) -> DataFrame:
     """(read_ord, field_name, text) with all entities replaced. The key decides the replacements; keep it secret."""
     names, secret = known_names(addresses), key.encode()
-    shared = messages.sparkSession.sparkContext.broadcast(names)
+    shared = messages.sparkSession.sparkContext.broadcast((names, made_names(names, secret) if surrogates else None))
 
     @F.pandas_udf("string")
     def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([replace(x, shared.value, secret, surrogates) for x in batch])
+            known, made = shared.value
+            yield pd.Series([replace(x, known, secret, surrogates, made) for x in batch])
 
     return text_fields(messages).select("read_ord", "field_name", mask("text").alias("text"))

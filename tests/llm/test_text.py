@@ -185,6 +185,28 @@ def test_replacements_keep_the_rest_and_who_is_who():
     assert made[0].upper() == made[1] and made[1].isupper() and made[0] != made[2]
 
 
+def test_surrogates_are_one_for_one_in_all_texts():
+    rng = random.Random(8)
+    names = frozenset("".join(rng.choice("bcdfglmnrst") + rng.choice("aeiou") for _ in range(4)) + rng.choice("ae") for _ in range(30_000))
+    made = personal.made_names(names, b"k")
+    assert len(set(made.values())) == len(made) == len(names) and not names & set(made.values())
+    # more women's names than three syllables give; each is the same beside any other
+    two = sorted(names)[:400]
+    alone = {w: personal.replace(w.capitalize(), names, b"k", True, made) for w in two}
+    assert len({*alone.values()}) == 400
+    assert all(personal.replace(f"{a.capitalize()}; {b.capitalize()}", names, b"k", True, made) == f"{alone[a]}; {alone[b]}" for a, b in zip(two, two[1:]))
+    streets = [f"{n} {w} Lane" for n in range(1, 10) for w in ("Saddler", "Miller", "Old Weaver", "Baker", "Cooper") ] + [f"{n} Court Lane" for n in range(1, 10)]
+    assert len({personal.replace(x, frozenset(), b"k", True) for x in streets}) == len(streets)
+    phones = [f"020 7946 {n:04}" for n in range(3000)]
+    out = [personal.replace(x, frozenset(), b"k", True) for x in phones]
+    assert len(set(out)) == 3000 and all(x[:2] == "02" and x[3] == x[8] == " " and x not in phones[i : i + 1] for i, x in enumerate(out))
+    assert len({personal.permuted(f"{n:03}", b"k", "") for n in range(1000)}) == 1000
+    # one number, two ways of writing
+    a, b = (personal.replace(x, frozenset(), b"k", True) for x in ("(030) 23125 636", "+44 20 7946 0888"))
+    assert "".join(filter(str.isdigit, b)) == "".join(filter(str.isdigit, personal.replace("+44 20 7946 0888".replace(" 0888", "\n> 0888"), frozenset(), b"k", True)))
+    assert "AB>" in personal.replace("Dear Jutta\nAB> Berg", NAMES, b"k", True)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=200))
 def test_spans_never_overlap(text):
