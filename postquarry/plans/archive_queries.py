@@ -814,6 +814,26 @@ def mime_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("read_ord", F.md5(F.col("m.subject").cast("binary")).alias("subject_digest"), F.lower("m.sender_addr").alias("sender"))
 
 
+def written_message(sender: Column, subject: Column, body: Column) -> Column:
+    """RFC 822 bytes of a text message: the subject in encoded words, the body in base64; null sender and subject have no header."""
+    # eleven characters are 44 bytes at most, so a word stays within 75 characters and no character is cut
+    words = F.transform(F.regexp_extract_all(subject, F.lit("(?s).{1,11}"), F.lit(0)), lambda x: F.concat(F.lit("=?utf-8?b?"), F.base64(F.encode(x, "utf-8")), F.lit("?=")))
+    head = F.concat(X.text(F.concat(F.lit("From: <"), sender, F.lit(">\n"))), X.text(F.concat(F.lit("Subject: "), F.array_join(words, "\n "), F.lit("\n"))))
+    lines = F.regexp_replace(F.base64(F.encode(X.text(body), "utf-8")), r"(.{76})(?!\r?\n)", "$1\n")
+    return F.encode(F.concat(head, F.lit("MIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), lines), "utf-8")
+
+
+@query()
+def mime_roundtrip_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every message is written as RFC 822 bytes and parsed again: subject, sender and body. Parsing puts subjects on one line."""
+    from postquarry.sources.columns import parse_mime
+
+    raw = written_message(F.col("from_addr"), F.col("subject"), F.col("body_text"))
+    parsed = table(spark, d, "messages").select("read_ord", parse_mime(raw).alias("m"))
+    digest = lambda c: F.md5(F.col(c).cast("binary"))
+    return parsed.select("read_ord", digest("m.subject").alias("subject_digest"), F.lower("m.sender_addr").alias("sender"), digest("m.body_text").alias("body_digest"))
+
+
 @query("SELECT source_id, count(*) AS n FROM messages WHERE coalesce(body_text,'') <> '' GROUP BY source_id")
 def mbox_split_udtf(spark: SparkSession, d: str) -> DataFrame:
     """Each message packed as a mailbox of its own, split by the byte-level splitter."""

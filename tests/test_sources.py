@@ -191,3 +191,33 @@ def test_registered_functions(spark):
     spark.createDataFrame([(box(),)], "c binary").createOrReplaceTempView("packed")
     assert spark.sql("select count(*) n from packed, lateral mbox_messages(c)").first().n == 4
     assert spark.sql("select m.subject from packed, lateral mbox_messages(c) x, lateral mime_message(x.raw) m").count() == 4
+
+
+def test_every_message_is_written_and_parsed(spark, tmp_path):
+    import email
+    import hashlib
+    import re
+    from email import policy
+
+    from pyspark.sql import functions as F
+
+    from postquarry.plans.archive_queries import mime_roundtrip_all, written_message
+
+    long = "Größere Sendung für München 😀 " * 9 + "Ende"
+    rows = [
+        (1, "A@X.example", long, "Grüße\r\nJo\n" * 40), (2, "b@x.example", "=?utf-8?q?literal?=", "From x\n.\n"), (3, None, None, None), (4, "c@x.example", "", ""), (5, None, "  two\nlines\t", " \n "),
+        (6, "d@x.example", "plain", "x" * 20_000), (7, "", "Сводный почтамт", "é" * 57),
+    ]
+    m = spark.createDataFrame(rows, "read_ord bigint, from_addr string, subject string, body_text string")
+    m.write.parquet(str(tmp_path / "messages.parquet"))
+    got = {r["read_ord"]: r for r in mime_roundtrip_all(spark, str(tmp_path)).collect()}
+    raw = {r["read_ord"]: bytes(r["raw"]) for r in m.select("read_ord", written_message(F.col("from_addr"), F.col("subject"), F.col("body_text")).alias("raw")).collect()}
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    assert len(got) == len(rows)
+    for k, sender, subject, body in rows:
+        read = email.message_from_bytes(raw[k], policy=policy.compat32)
+        assert read.get_payload(decode=True).decode() == (body or "") and max(map(len, raw[k].split(b"\n"))) <= 85
+        assert read["From"] is None if sender is None else read["From"] == f"<{sender}>"
+        want = re.sub(r"[\r\n\t]+", " ", subject or "").strip()
+        assert str(email.header.make_header(email.header.decode_header(read["Subject"] or ""))) == (subject or "")
+        assert (got[k]["subject_digest"], got[k]["sender"], got[k]["body_digest"]) == (md5(want), (sender or "").lower(), md5((body or "").strip()))
