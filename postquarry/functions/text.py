@@ -169,8 +169,15 @@ def slugify(c: Column) -> Column:
 
 
 def size_text(n: Column) -> Column:
-    kb, mb = F.format_string("%.0f KB", n / 1024), F.format_string("%.1f MB", n / 1048576)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, kb).otherwise(mb)
+    """Size for people; null stays null. Halves go to the even digit, as Python's formats round, in whole numbers."""
+
+    def rounded(x: Column, unit: int) -> Column:
+        whole, rest = F.floor(x / unit), F.lit(2) * (x % unit)
+        return whole + ((rest > unit) | ((rest == unit) & (whole % 2 == 1))).cast("bigint")
+
+    kb, tenths = rounded(n, 1024).cast("string"), rounded(n.cast("bigint") * 10, 1048576)
+    mb = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1048576, F.concat(kb, F.lit(" KB"))).otherwise(F.concat(mb, F.lit(" MB")))
 
 
 def page_path(uid: Column) -> Column:

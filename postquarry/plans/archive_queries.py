@@ -663,10 +663,15 @@ def address_display(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT read_ord, CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' B' WHEN size_bytes < 1048576 THEN printf('%.0f KB', size_bytes / 1024.0) ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS size FROM messages WHERE size_bytes % 1024 <> 512")
 def size_format(spark: SparkSession, d: str) -> DataFrame:
-    # halves round differently in the two languages
+    # the rows of the SQL; size_format_all has them all
     return table(spark, d, "messages").where("size_bytes % 1024 <> 512").select("read_ord", X.size_text(F.col("size_bytes")).alias("size"))
 
 
+@query()
+def size_format_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "messages").select("read_ord", X.size_text(F.col("size_bytes")).alias("size"))
+
+
 @query("SELECT DISTINCT uid, 'msg/' || substr(uid, 1, 2) || '/' || uid || '.html' AS page FROM messages WHERE uid IS NOT NULL")
 def page_path(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").where("uid is not null").select("uid", X.page_path(F.col("uid")).alias("page")).distinct()

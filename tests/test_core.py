@@ -266,3 +266,12 @@ def test_mailto(spark):
     assert url == "mailto:s@x.org?subject=Re%3A%20a%20b&body=%0A%0As%40x.org%20wrote%3A%0A%3E%20l1%0A%3E%20l2&in-reply-to=%3Cm%40x%3E"
     assert one(spark, mailto("reply", F.lit("a"), F.lit(""), F.lit(""), F.lit(""), F.lit(""))) == ""
     assert "Fwd%3A" in one(spark, mailto("forward", F.lit("a"), F.lit(""), F.lit(""), F.lit(""), F.lit("")))
+
+
+def test_sizes_with_ties_and_nulls(spark, tmp_path):
+    from postquarry.plans.archive_queries import size_format_all
+
+    sizes = [None, 0, 1, 512, 1023, 1024, 1536, 2560, 3584, 2559, 2561, 1048064, 1048575, 1048576, 1310720, 1835008, 1310719, 1310721, 5 * 1048576 + 52429, 7 << 40, *range(1024, 60_000, 256), *range(1048576, 4_000_000, 65536)]
+    spark.createDataFrame(list(enumerate(sizes)), "read_ord bigint, size_bytes bigint").write.parquet(str(tmp_path / "messages.parquet"))
+    want = {i: None if n is None else f"{n} B" if n < 1024 else f"{n / 1024:.0f} KB" if n < 1048576 else f"{n / 1048576:.1f} MB" for i, n in enumerate(sizes)}
+    assert {r["read_ord"]: r["size"] for r in size_format_all(spark, str(tmp_path)).collect()} == want
