@@ -40,7 +40,8 @@ _FORMS = [
 ]
 _SLASHES = rf"^(\d{{1,4}})/(\d{{1,2}})/(\d{{1,4}}),? {_TIME}{_ZONE}$"
 _ORDERS = {"dmy": (3, 2, 1), "mdy": (3, 1, 2), "ymd": (1, 2, 3)}
-_EPOCH = r"^\d{9,19}$"
+# the widths that _count knows; fourteen digits are a date
+_EPOCH = r"^(?:\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})$"
 MICROS = 1_000_000
 
 

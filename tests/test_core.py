@@ -275,3 +275,9 @@ def test_sizes_with_ties_and_nulls(spark, tmp_path):
     spark.createDataFrame(list(enumerate(sizes)), "read_ord bigint, size_bytes bigint").write.parquet(str(tmp_path / "messages.parquet"))
     want = {i: None if n is None else f"{n} B" if n < 1024 else f"{n / 1024:.0f} KB" if n < 1048576 else f"{n / 1048576:.1f} MB" for i, n in enumerate(sizes)}
     assert {r["read_ord"]: r["size"] for r in size_format_all(spark, str(tmp_path)).collect()} == want
+
+
+def test_compact_dates_without_t(spark, clocks):
+    rows = [(1, 1, "20050102030405"), (2, 1, "20050102T030405"), (3, 1, "20050102030405Z"), (4, 1, "20051302030405"), (5, 1, "11046374450"), (6, 1, "1104637445")]
+    got = {r["read_ord"]: r["instant_us"] for r in instants.resolve_instants(spark.createDataFrame(rows, "read_ord bigint, source_id int, date_raw string"), clocks).collect()}
+    assert got[1] == got[2] is not None and got[3] == 1104635045 * 10**6 and got[4] is None and got[5] is None and got[6] == 1104637445 * 10**6
