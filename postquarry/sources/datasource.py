@@ -1,8 +1,8 @@
 """Spark data source "mail": mailboxes, trees and containers read in parallel.
 
-One partition a mailbox file or member of a zip; directories of single messages are cut into groups. spark.read.format("mail") takes
-a path, several with paths (JSON list), kind to force a kind, and unquote. A source that fails gives a row with error; what was read before
-is kept.
+Plain mailboxes are cut into byte ranges (range_bytes) that find their first message themselves, directories of single messages into groups
+of files; what is compressed or in a container is read by one task each. spark.read.format("mail") takes a path, several with paths (JSON
+list), kind to force a kind, and unquote. A source or message file that fails gives a row with error; all else is read.
 """
 
 from __future__ import annotations
@@ -23,13 +23,16 @@ from postquarry.schema import MESSAGE
 from postquarry.sources import mailbox, pst
 
 GROUP = 500  # message files a partition
+RANGE_BYTES = 128 << 20  # bytes of a plain mailbox a partition
 
 
 @dataclass
 class Part(InputPartition):
     path: str
     kind: str
-    files: list[str] = field(default_factory=list)
+    files: list[str] = field(default_factory=list)  # members of a container, or a directory of message files
+    start: int = 0
+    end: int | None = None
     value: int = 0
 
 
@@ -38,17 +41,19 @@ class MailReader(DataSourceReader):
         self.names = [f.name for f in schema.fields]
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
         self.kind, self.unquote = options.get("kind"), options.get("unquote", "false").lower() == "true"
+        self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
     def partitions(self) -> list[Part]:
         out: list[Part] = []
         for path in self.paths:
             kind = self.kind or mailbox.detect(path)
             if kind in ("eml", "maildir"):
-                files = [str(p) for p in mailbox.eml_files(Path(path))]
-                out += [Part(path, kind, files[a : a + GROUP]) for a in range(0, len(files), GROUP)]
+                out += [Part(path, kind, [folder], a, a + GROUP) for folder, n in mailbox.eml_folders(Path(path)) for a in range(0, n, GROUP)]
             elif kind == "mbox-archive" and zipfile.is_zipfile(path):
                 out += [Part(path, kind, [m]) for m in mailbox.members(path)]
-            elif kind in ("mbox", "mbox-compressed", "mbox-archive", "eml-file", "pst"):
+            elif kind == "mbox":
+                out += [Part(path, kind, [], a, a + self.range_bytes) for a in range(0, max(1, Path(path).stat().st_size), self.range_bytes)]
+            elif kind in ("mbox-compressed", "mbox-archive", "eml-file", "pst"):
                 out.append(Part(path, kind))
             else:
                 raise ValueError(f"unknown kind of source: {kind}")
@@ -62,15 +67,19 @@ class MailReader(DataSourceReader):
             failed = {"source": partition.path, "error": f"{type(e).__name__}: {e}"}
             yield tuple(failed.get(n) for n in self.names)
 
+    def message_file(self, path: Path, root: Path) -> dict | None:
+        """The record of a file in a tree; none if it is no message or has neither headers nor subject."""
+        try:
+            raw = path.read_bytes()
+            record = mailbox.read_eml(raw, mailbox.eml_folder(path, root), str(path)) if mailbox.looks_like_message(raw) else None
+        except Exception as e:  # noqa: BLE001 - the directory's other files go on
+            return {"source": str(path), "error": f"{type(e).__name__}: {e}"}
+        return record if record and (record.get("error") or record["headers"] or record["subject"]) else None
+
     def records(self, part: Part) -> Iterator[dict]:
         if part.kind in ("eml", "maildir"):
-            root = Path(part.path)
-            for name in part.files:
-                raw = Path(name).read_bytes()
-                if not mailbox.looks_like_message(raw):
-                    continue
-                record = mailbox.read_eml(raw, mailbox.eml_folder(Path(name), root), name)
-                if record is not None and (record.get("error") or record["headers"] or record["subject"]):
+            for path in mailbox.eml_files(part.files[0], part.start, part.end):
+                if (record := self.message_file(path, Path(part.path))) is not None:
                     yield record
         elif part.kind == "eml-file":
             if (record := mailbox.read_eml(Path(part.path).read_bytes(), "Inbox", part.path)) is not None:
@@ -95,7 +104,10 @@ class MailReader(DataSourceReader):
         else:
             with open(part.path, "rb") as f:
                 unpack = mailbox.opener(f.peek(8)[:8])
-                yield from mailbox.read_mbox(unpack(f) if unpack else f, mailbox.folder_of_file(Path(part.path).name), part.path, self.unquote)
+                stream, start, end = (unpack(f), 0, None) if unpack else (f, part.start, part.end)
+                if unpack and part.start:
+                    return  # forced to be read as plain, but compressed: the first range reads it all
+                yield from mailbox.read_mbox(stream, mailbox.folder_of_file(Path(part.path).name), part.path, self.unquote, start, end)
 
 
 class MailSource(DataSource):
@@ -110,7 +122,7 @@ class MailSource(DataSource):
         return MailReader(schema, dict(self.options))
 
 
-def read_mail(spark: SparkSession, *paths: str, kind: str | None = None, unquote: bool = False) -> DataFrame:
+def read_mail(spark: SparkSession, *paths: str, kind: str | None = None, unquote: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     spark.dataSource.register(MailSource)
-    reader = spark.read.format("mail").option("paths", json.dumps(list(paths))).option("unquote", str(unquote).lower())
+    reader = spark.read.format("mail").option("paths", json.dumps(list(paths))).option("unquote", str(unquote).lower()).option("range_bytes", range_bytes)
     return (reader.option("kind", kind) if kind else reader).load()

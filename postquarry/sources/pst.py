@@ -123,11 +123,11 @@ def _read_by_program(path: str) -> Iterator[dict]:
         raise RuntimeError("reading .pst files needs the pypff package (libpff-python) or the readpst program")
     from pathlib import Path
 
-    from postquarry.sources.mailbox import eml_files, eml_folder, read_eml
+    from postquarry.sources.mailbox import eml_files, eml_folder, eml_folders, read_eml
 
     with tempfile.TemporaryDirectory() as folder:
         subprocess.run(["readpst", "-e", "-q", "-o", folder, path], check=True)
         root = Path(folder)
-        for p in eml_files(root):
+        for p in (p for below, _ in eml_folders(root) for p in eml_files(below)):
             if (record := read_eml(p.read_bytes(), eml_folder(p, root), f"{path}:{p.relative_to(root)}")) is not None:
                 yield record

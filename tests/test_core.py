@@ -281,3 +281,15 @@ def test_compact_dates_without_t(spark, clocks):
     rows = [(1, 1, "20050102030405"), (2, 1, "20050102T030405"), (3, 1, "20050102030405Z"), (4, 1, "20051302030405"), (5, 1, "11046374450"), (6, 1, "1104637445")]
     got = {r["read_ord"]: r["instant_us"] for r in instants.resolve_instants(spark.createDataFrame(rows, "read_ord bigint, source_id int, date_raw string"), clocks).collect()}
     assert got[1] == got[2] is not None and got[3] == 1104635045 * 10**6 and got[4] is None and got[5] is None and got[6] == 1104637445 * 10**6
+
+
+def test_links_and_recovery():
+    line = H.linkify('see <http://x.org/a?b=1&c=2>, www.y.org. "me@www.z.org"')
+    assert 'href="http://x.org/a?b=1&amp;c=2"' in line and ">www.y.org</a>." in line and 'href="mailto:me@www.z.org"' in line and line.startswith("see &lt;")
+    assert H.linkify("http://a") == "http://a" and H.linkify("") == ""
+    assert H.strip_tags("<object>lost<body>kept<p>too") == "kept\ntoo"
+    out, held = H.sanitize('<img src="a.gif"><img src="cid:p@q"><b><i>x</b></u>y', cids={"p@q": "files/p"})
+    assert held == 1 and 'data-remote-src="a.gif"' in out and 'src="files/p"' in out and out.endswith("<b><i>x</i></b>y")
+    assert H.sanitize('<img src="a.gif">', block_remote=False) == ('<img src="a.gif">', 0)
+    lost = "<title>never closed <body><p>" + "words of the message " * 5
+    assert "words of the message" in H.sanitize(lost)[0]

@@ -4,6 +4,7 @@ import bz2
 import gzip
 import io
 import lzma
+import random
 import tarfile
 import zipfile
 
@@ -221,3 +222,64 @@ def test_every_message_is_written_and_parsed(spark, tmp_path):
         want = re.sub(r"[\r\n\t]+", " ", subject or "").strip()
         assert str(email.header.make_header(email.header.decode_header(read["Subject"] or ""))) == (subject or "")
         assert (got[k]["subject_digest"], got[k]["sender"], got[k]["body_digest"]) == (md5(want), (sender or "").lower(), md5((body or "").strip()))
+
+
+def plainly_split(raw):
+    """Lines of a mailbox, divided by the rule as it is stated."""
+    out, held, last = [], b"", b"\n"
+    for line in io.BytesIO(raw):
+        if line.startswith(b"From ") and (last in (b"\n", b"\r\n") or mailbox._ENVELOPE.match(line)):
+            out, held = out + [held], b""
+        else:
+            held += line
+        last = line
+    return [x for x in [*out, held] if x]
+
+
+def test_ranges_of_a_mailbox_give_each_message_once():
+    rng = random.Random(4)
+    pieces = [b"From a@b Mon Jan  1 00:00:00 2001\n", b"From here on\n", b"From x\r\n", b"Subject: y\n", b"\n", b"\r\n", b"text\n", b">From z\n", b" From w\n", b"From", b"long " * 40 + b"\n"]
+    for _ in range(300):
+        raw = b"".join(rng.choice(pieces) for _ in range(rng.randint(0, 30)))
+        want = plainly_split(raw)
+        assert list(mailbox.split_mbox(io.BytesIO(raw))) == want
+        step = rng.randint(1, 90)
+        got = [x for a in range(0, max(1, len(raw)), step) for x in mailbox.mailbox_parts(io.BytesIO(raw), a, a + step)]
+        assert [x for _, x in got] == want and [a for a, _ in got] == sorted({a for a, _ in got})
+        assert all(raw[a : a + len(x)] == x for a, x in got)
+
+
+def test_blocks_cut_no_message(monkeypatch):
+    monkeypatch.setattr(mailbox, "BLOCK", 8)
+    assert list(mailbox.split_mbox(io.BytesIO(box()))) == plainly_split(box())
+    assert list(mailbox.split_mbox(io.BytesIO(b"From a\n>From b\n>>From c\nx >From d\n"), unquote=True)) == [b"From b\n>From c\nx >From d\n"]
+
+
+def test_large_mailbox_is_read_in_ranges(spark, tmp_path):
+    from postquarry.sources.datasource import read_mail
+
+    many = [m.replace(b"<m", b"<n%d-" % k) for k in range(40) for m in MESSAGES]
+    (tmp_path / "Big.mbox").write_bytes(box(many))
+    rows = read_mail(spark, str(tmp_path / "Big.mbox"), range_bytes=700)
+    assert rows.rdd.getNumPartitions() > 20
+    got = rows.orderBy("pos").select("message_id", "folder").collect()
+    assert [r[0] for r in got] == [f"n{k}-{i}@one.example" for k in range(40) for i in range(4)] and {r[1] for r in got} == {"Big"}
+
+
+def test_one_broken_file_costs_no_other(spark, tmp_path):
+    from postquarry.sources.datasource import MailReader, read_mail
+    from postquarry.schema import MESSAGE
+
+    for i in range(3):
+        (tmp_path / f"{i}.eml").write_bytes(MESSAGES[i])
+    (tmp_path / "1b.eml").symlink_to(tmp_path / "1b.eml")
+    rows = read_mail(spark, str(tmp_path)).select("message_id", "error").collect()
+    assert len({r["message_id"] for r in rows if r["error"] is None}) == 3
+    assert "FileNotFoundError" in MailReader(MESSAGE, {"path": "x"}).message_file(tmp_path / "gone.eml", tmp_path)["error"]
+
+
+def test_forwarded_messages_and_charsets():
+    raw = b"Content-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: message/rfc822\n\nSubject: In/ner\n\nx\n--b\nContent-Type: message/rfc822\n\n\n\ny\n--b\nContent-Type: text/plain; charset=none-such\n\n\x81caf\xe9\n--b--\n"
+    r = mime.from_bytes(raw)
+    assert [a["filename"] for a in r["attachments"]] == ["ner.eml", "Forwarded message.eml"] and r["body_text"] == "\x81café"
+    assert mime.decode_bytes("“é”".encode(), "ascii") == "“é”" and mime.decode_bytes(b"\x93x\x94", None) == "“x”" and mime.decode_bytes(b"YQ==", "base64") == "YQ=="
