@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,16 +28,32 @@ _made: dict[str, str] = {}
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Writes df as a table in the shared folder and returns what was written: compressed, readable by any executor, and
-    with the sizes that let joins be planned. drop_written() removes one that is no longer needed."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    with the sizes that let joins be planned. drop_written() removes those that are no longer needed; what results still read stays until the
+    application ends, then all its tables go."""
+    spark = df.sparkSession
+    own = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_remove, spark, own)
+    path = f"{own}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
     written._written_at = path
     return written
 
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the table behind a frame of cut_lineage()."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+_owned: set[str] = set()
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001 - the session may have ended before
+        pass
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Deletes the tables behind frames of cut_lineage()."""
+    for df in frames:
+        _remove(df.sparkSession, df._written_at)
