@@ -1,12 +1,14 @@
 """Conversations rebuilt from message rows.
 
-Rows are an event log: deliveries fold into one message per identifier, links between messages give the
-conversations, and those that are broken, empty or unanswered are dropped. All steps are joins and aggregations, so
-neither a long conversation nor one that holds a third of all rows has to fit in a task.
+Rows are an event log: creates, edits, retries and deletes of a message fold by version (arrival) into one final turn per identifier, links
+between messages give the conversations, and those that are broken, empty or unanswered are dropped. All steps are joins and aggregations,
+so neither a long conversation nor one that holds a third of all rows has to fit in a task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,36 +24,40 @@ def _refs() -> Column:
     return F.filter(F.transform(F.coalesce("refs", F.array().cast("array<string>")), lambda x: bare_id(x)), lambda x: x.isNotNull())
 
 
-def deliveries(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows with an identifier: message_id, at (arrival), sender, reply, last_ref, instant_us, seen (has visible text)."""
-    rows = resolve_instants(
-        messages.select("read_ord", "fetched_at", "source_id", "message_id", "from_addr", "in_reply_to", "refs", "date_raw", "body_text", "body_html"), sources
-    )
+def deliveries(messages: DataFrame, sources: DataFrame, deleted: Column | None = None) -> DataFrame:
+    """Events with an identifier: message_id, at (version: arrival, then read_ord), sender, reply, last_ref, instant_us, seen (has visible
+    text), deleted (the event takes the message back; null and no column: it doesn't)."""
+    gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
+    kept = ["read_ord", "fetched_at", "source_id", "message_id", "from_addr", "in_reply_to", "refs", "date_raw", "body_text", "body_html"]
+    rows = resolve_instants(messages.select(*kept, gone.alias("_gone")), sources)
     markup = r"(?is)<(script|style|head|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&nbsp;|&#160;|&#xa0;"
     visible = lambda c: F.coalesce(c.rlike("(?U)[^\\s \u200b\ufeff]"), F.lit(False))
     refs = _refs()
     return rows.select(
         bare_id(F.col("message_id")).alias("message_id"), F.struct(F.coalesce("fetched_at", F.lit("9999-01-01").cast("timestamp_ntz")).alias("at"), "read_ord").alias("at"),
         F.nullif(F.lower(F.trim("from_addr")), F.lit("")).alias("sender"), bare_id(F.col("in_reply_to")).alias("reply"), F.get(refs, F.size(refs) - 1).alias("last_ref"), "instant_us",
-        (visible(F.col("body_text")) | visible(F.regexp_replace("body_html", markup, ""))).alias("seen"),
+        (visible(F.col("body_text")) | visible(F.regexp_replace("body_html", markup, ""))).alias("seen"), F.col("_gone").alias("deleted"),
     ).where("message_id is not null")
 
 
 def fold_messages(rows: DataFrame) -> DataFrame:
-    """One row per bare identifier: sender, parent, instant_us, seen.
+    """One row per bare identifier: sender, parent, instant_us, seen, last_ord (read_ord of the version whose text counts).
 
-    The earliest delivery by arrival (fetched_at, read_ord) that has a value gives it, so later deliveries mend missing values but
-    don't change given ones; of dates in the same minute one with seconds says more. All sums are partial before the shuffle, so an
-    identifier on a third of the rows is no hot spot.
+    Who wrote a message, what it answers and when it was written belong to its creation: the earliest event that has a value gives it, so
+    later ones mend missing values but no unrelated mail under the same identifier takes a message over; of dates in the same minute one with
+    seconds says more. The text is that of the last version with visible text, so edits count and empty retries don't. A message whose last
+    event deletes it is left out, and answers to it lead nowhere. All sums are partial before the shuffle, so an identifier on a third of the
+    rows is no hot spot.
     """
     first = lambda c, told=None: F.min_by(c, F.when(c.isNotNull() if told is None else told, F.col("at")))
     minute = lambda c: F.floor(c / MINUTE)
     folded = rows.groupBy("message_id").agg(
         first(F.col("sender")).alias("sender"), F.coalesce(first(F.col("reply")), first(F.col("last_ref"))).alias("parent"), first(F.col("instant_us")).alias("_date"),
         first(F.col("instant_us"), F.col("instant_us") % MINUTE != 0).alias("_exact"), F.max("seen").alias("seen"),
+        F.max(F.when(F.col("seen"), F.col("at")))["read_ord"].alias("last_ord"), F.max(F.struct("at", "deleted"))["deleted"].alias("_gone"),
     )
     date = F.when(minute(F.col("_exact")) == minute(F.col("_date")), F.col("_exact")).otherwise(F.col("_date"))
-    return folded.select("message_id", "sender", "parent", date.alias("instant_us"), "seen")
+    return folded.where("not _gone").select("message_id", "sender", "parent", date.alias("instant_us"), "seen", "last_ord")
 
 
 def named_links(messages: DataFrame) -> DataFrame:
@@ -82,39 +88,43 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no fixed point after {rounds} rounds")
 
 
-def turn_keys(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(message_id, root_id, key) for links (message_id, parent, instant_us) of messages; sorting by key gives the turns.
+def turn_keys(links: DataFrame) -> DataFrame:
+    """(message_id, root_id, key) for links (message_id, parent, instant_us, size) of messages, size being the number of messages of their
+    component; sorting by key gives the turns.
 
     The wanted order always takes the earliest message whose parent has been taken. A message's place in it is given by
     the maxima of its path, each taken below the one before: joining two pieces of path drops the end of the upper one that
-    is earlier than the lower one's first. That is associative, so paths double in length each round.
+    is not later than the lower one's first. That is associative, so paths double in length each round.
     Keys are as long as a path has such maxima: one entry where dates grow with the answers, as they mostly do.
-    Messages whose path runs in a circle never reach a root and are left out.
+    A path that has covered as many steps as its component has messages without reaching a root runs in a circle and is left out. Going round
+    one adds nothing to a key, so no key has more entries than there are messages, and rounds are as many as the largest component has bits.
     """
     own = F.array(F.struct(F.coalesce("instant_us", F.lit(LATE)).alias("at"), F.col("message_id").alias("id")))
-    paths = cut_lineage(links.select("message_id", F.col("parent").alias("up"), F.col("message_id").alias("top"), own.alias("key")))
-    for _ in range(rounds):
-        open_, done = paths.where("up is not null"), paths.where("up is null")
-        if open_.isEmpty():
-            break
-        upper = paths.select(F.col("message_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("key").alias("_key"))
-        joined = F.concat(F.filter("_key", lambda x: x >= F.get("key", F.lit(0))), F.col("key"))
-        met = open_.join(upper, "up").select("message_id", F.col("_up").alias("up"), F.col("_top").alias("top"), joined.alias("key"))
-        # a circle's paths come back to themselves
-        longer = cut_lineage(done.unionByName(met.where("up is null or up <> message_id")))
-        drop_written(paths)
-        paths = longer
-    return paths.where("up is null").select("message_id", F.col("top").alias("root_id"), "key")
-
-
-def conversations(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """(root_id, message_id, turn_no, speaker, role, instant_us) of the kept conversations.
-
-    role is owner for the first sender and correspondent for all others. Conversations are dropped if an identifier
-    named in them has no row, answers run in a circle, more than one message answers none, nobody but the first
-    sender wrote in them, or no message has visible text.
+    paths = cut_lineage(links.select("message_id", F.col("parent").alias("up"), F.col("message_id").alias("top"), own.alias("key"), "size"))
+    open_, done = paths.where("up is not null"), [paths.where("up is null")]
+    steps = 1
+    while not open_.isEmpty():
+        known = reduce(DataFrame.unionByName, [*done, open_])
+        upper = known.select(F.col("message_id").alias("up"), F.col("up").alias("_up"), F.col("top").alias("_top"), F.col("key").alias("_key"))
+        joined = F.concat(F.filter("_key", lambda x: x > F.get("key", F.lit(0))), F.col("key"))
+        steps *= 2
+        met = open_.join(upper, "up").select("message_id", F.col("_up").alias("up"), F.col("_top").alias("top"), joined.alias("key"), "size")
+        # only what moved is written again
+        met = cut_lineage(met.where(F.col("up").isNull() | (F.col("size") > steps)))
+        open_ = met.where("up is not null")
+        done.append(met.where("up is null"))
+    return reduce(DataFrame.unionByName, done).select("message_id", F.col("top").alias("root_id"), "key")
+
+
+def conversations(messages: DataFrame, sources: DataFrame, deleted: Column | None = None) -> DataFrame:
+    """(root_id, message_id, turn_no, speaker, role, instant_us, last_ord) of the kept conversations.
+
+    role is owner for the first sender and correspondent for all others; last_ord is the read_ord of the row that has the turn's final text,
+    null for a turn without any. Conversations are dropped if an identifier named in them has no row or was deleted, answers run in a circle,
+    more than one message answers none, nobody but the first sender wrote in them, or no message has visible text. deleted marks rows that
+    take a message back, if the log has such.
     """
-    turns = cut_lineage(fold_messages(deliveries(messages, sources)))
+    turns = cut_lineage(fold_messages(deliveries(messages, sources, deleted)))
     edges = cut_lineage(named_links(messages))
     labels = components(edges)
     part = labels.join(turns.withColumnRenamed("message_id", "node").withColumn("_row", F.lit(True)), "node", "left")
@@ -124,7 +134,8 @@ def conversations(messages: DataFrame, sources: DataFrame) -> DataFrame:
         F.max("seen").alias("seen"), F.min("sender").alias("low"), F.max("sender").alias("high"), F.count("*").alias("size"),
     )
     sound = facts.where("missing = 0 and roots = 1 and replies > 0 and seen and low <> high").select("label", "size")
-    kept = cut_lineage(part.join(sound, "label").select("label", "size", F.col("node").alias("message_id"), "sender", "parent", "instant_us"))
+    kept = cut_lineage(part.join(sound, "label").select("label", "size", F.col("node").alias("message_id"), "sender", "parent", "instant_us", "last_ord"))
+    drop_written(turns, edges)
     keyed = turn_keys(kept).join(kept.drop("parent"), "message_id")
     whole = keyed.groupBy("label").agg(F.count("*").alias("_n"), F.first("size").alias("_size")).where("_n = _size").select("label")
     keyed = keyed.join(whole, "label", "left_semi").withColumn("_day", F.floor(F.get("key", F.lit(0))["at"] / DAY))
@@ -136,4 +147,11 @@ def conversations(messages: DataFrame, sources: DataFrame) -> DataFrame:
     owners = kept.where("parent is null").select(F.col("message_id").alias("root_id"), F.col("sender").alias("_owner"))
     numbered = keyed.withColumn("_rank", F.row_number().over(in_day)).join(days, ["root_id", "_day"]).join(owners, "root_id")
     role = F.when(F.col("sender").eqNullSafe(F.col("_owner")), "owner").otherwise("correspondent")
-    return numbered.select("root_id", "message_id", (F.col("_before") + F.col("_rank")).cast("bigint").alias("turn_no"), F.col("sender").alias("speaker"), role.alias("role"), "instant_us")
+    return numbered.select("root_id", "message_id", (F.col("_before") + F.col("_rank")).cast("bigint").alias("turn_no"), F.col("sender").alias("speaker"), role.alias("role"), "instant_us", "last_ord")
+
+
+def conversation_texts(messages: DataFrame, sources: DataFrame, deleted: Column | None = None) -> DataFrame:
+    """The turns with their subject and final text: text is body_text, body_html where that is blank. Bodies meet one join by row."""
+    text = F.coalesce(F.when(F.trim("body_text") != "", F.col("body_text")), F.col("body_html"))
+    bodies = messages.select(F.col("read_ord").alias("last_ord"), "subject", text.alias("text"))
+    return conversations(messages, sources, deleted).join(bodies, "last_ord", "left").drop("last_ord")

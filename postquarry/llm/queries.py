@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from postquarry.llm.contamination import leaks
-from postquarry.llm.conversations import conversations
+from postquarry.llm.conversations import conversation_texts, conversations
 from postquarry.llm.encoding import restore_fields
 from postquarry.llm.mixing import mixture, mixture_texts
 from postquarry.llm.personal import masked, personal_data
@@ -20,11 +20,11 @@ KEY = os.environ.get("MASKING_KEY", "a key for trials only")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_turns(spark, d).select("root_id", "message_id", "turn_no")
+    return conversations(table(spark, d, "messages"), table(spark, d, "sources")).select("root_id", "message_id", "turn_no")
 
 
 def p2_turns(spark: SparkSession, d: str) -> DataFrame:
-    return conversations(table(spark, d, "messages"), table(spark, d, "sources"))
+    return conversation_texts(table(spark, d, "messages"), table(spark, d, "sources"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

@@ -107,3 +107,28 @@ def test_long_chain(spark, clocks):
     rows = [row(i, f"m{i:03d}@x", f"s{i % 2}@y", f"m{i - 1:03d}@x" if i else None, None, 500 - i) for i in range(130)]
     got = run(spark, clocks, rows)
     assert {(m, n) for _, m, n in got} == {(f"m{i:03d}@x", i + 1) for i in range(130)}
+
+
+@pytest.mark.parametrize("length", [2, 3, 5, 6])
+def test_circles_beside_a_root_end_and_give_nothing(spark, clocks, length):
+    rows = [row(0, "root@x", "a@y")]
+    ids = [f"c{i}@x" for i in range(length)]
+    # the circle hangs on the root by refs only; a tail hangs on the circle
+    rows += [row(1 + i, m, "b@y", ids[(i + 1) % length], ["root@x"], i) for i, m in enumerate(ids)]
+    rows += [row(20, "tail@x", "c@y", ids[0], ["root@x"], 9), row(30, "p@x", "a@y"), row(31, "q@x", "b@y", "p@x", None, 3)]
+    assert run(spark, clocks, rows) == {("p@x", "p@x", 1), ("p@x", "q@x", 2)}
+
+
+def test_edits_deletes_and_retries_fold_by_version(spark, clocks):
+    from pyspark.sql import functions as F
+
+    rows = [
+        (1, START, 1, "a@x", "me@y", None, None, None, "first", None, "s"), (2, START + dt.timedelta(hours=2), 1, "a@x", "me@y", None, None, None, "edited", None, "s"),
+        (3, START + dt.timedelta(hours=3), 1, "a@x", "me@y", None, None, None, " ", None, "s"), (4, START, 1, "b@x", "you@y", "a@x", None, None, None, "<p>reply</p>", "s"),
+        (5, START, 1, "c@x", "me@y", None, None, None, "gone", None, "s"), (6, START, 1, "d@x", "you@y", "c@x", None, None, "lost", None, "s"), (7, START + dt.timedelta(hours=1), 1, "c@x", None, None, None, None, None, None, "delete"),
+    ]
+    df = spark.createDataFrame([(*r, "S") for r in rows], SCHEMA + ", subject string")
+    deleted = F.col("root_id") == "delete"
+    got = {r["message_id"]: (r["turn_no"], r["text"], r["role"]) for r in C.conversation_texts(df, clocks, deleted).collect()}
+    assert got == {"a@x": (1, "edited", "owner"), "b@x": (2, "<p>reply</p>", "correspondent")}
+    assert set(C.conversation_texts(df, clocks).toPandas()["message_id"]) == {"a@x", "b@x", "c@x", "d@x"}
