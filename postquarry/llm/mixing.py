@@ -1,16 +1,19 @@
 """Mixtures of sources with target weights, sized in tokens of a public tokenizer.
 
 Each source is a stream of its documents in hashed order, repeated as often as needed and allowed, and cut into blocks of equal
-size. Pfair scheduling gives block k of a source with weight w the window from floor(k/w) to ceil((k+1)/w); taking the earliest deadline
-among released blocks keeps every source less than one block from its share at every moment. Weights are multiples of
-1/period, so the schedule repeats: one period is worked out on the driver (period rows) and joined to the blocks.
+size. Pfair scheduling gives block k of a source that has n of a mixture's N blocks the window from floor(k * N / n) to ceil((k + 1) * N / n),
+in whole numbers; taking the earliest deadline among released blocks keeps every source less than one block from its share at every
+moment, however long the mixture is. One task per mixture runs through its slots and streams them out, so none is held in the driver; blocks
+grow with the total where a mixture would have more than MOST_SLOTS of them.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -18,26 +21,30 @@ from pyspark.sql import functions as F
 
 from postquarry.tables import cut_lineage
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 MOST_TARGETS = 100_000
+MOST_SLOTS = 1 << 24
 STRIPE_BITS = 10
 
 
-def token_counter(vocabulary: str = VOCABULARY):
-    """Column function: number of tokens of a text; 0 for null and empty texts. The vocabulary file is read in each worker."""
-    held: dict[str, object] = {}
+@lru_cache(maxsize=2)
+def tokenizer(vocabulary: str):
+    """The tokenizer of a vocabulary file, read once in each Python worker and kept for its later tasks."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_counter(vocabulary: str):
+    """Column function: number of tokens of a text; 0 for null and empty texts."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import public_tokenizers
-        import tiktoken
-
-        if "e" not in held:
-            with open(vocabulary, "rb") as lines:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-            held["e"] = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        encode = tokenizer(vocabulary).encode_ordinary
         for batch in batches:
-            yield pd.Series([len(held["e"].encode_ordinary(t)) if t else 0 for t in batch], dtype="int64")
+            yield pd.Series([len(encode(t)) if t else 0 for t in batch], dtype="int64")
 
     return count
 
@@ -72,38 +79,38 @@ def quotas(targets: list[dict], have: dict[str, int], total: int, default_repeat
     return [{"source": s, "wanted": weights[s] / whole, "quota": given[s]} for s in sorted(weights)]
 
 
-def period_weights(quota: dict[str, int], period: int) -> dict[str, int]:
-    """Whole numbers with sum period, as near to the quotas' shares as can be and at least 1."""
-    whole = sum(quota.values())
-    exact = {s: q * period / whole for s, q in quota.items() if q > 0}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] - out[s]), s))
-    k = 0
-    while (d := period - sum(out.values())) != 0:
-        s = by_rest[k % len(by_rest)] if d > 0 else max(out, key=lambda s: (out[s], s))
-        out[s] += 1 if d > 0 else -1
-        k += 1
-    return out
-
-
-def pfair(weights: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slot of every block in one period: earliest deadline among the released, the heavier source first on ties."""
-    released: list[tuple] = []
-    waiting = [(0, s, 0) for s in sorted(weights)]
-    heapq.heapify(waiting)
-    slots: dict[str, list[int]] = {s: [] for s in weights}
-    for t in range(period):
+def pfair(blocks: dict[str, int]) -> Iterator[tuple[int, str, int]]:
+    """(slot, source, block) of every block: earliest deadline among the released, the heavier source first on ties."""
+    total = sum(blocks.values())
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    waiting = [(0, i, 0) for i in range(len(names))]
+    count = [blocks[s] for s in names]
+    released: list[tuple[int, int, int, int]] = []
+    for t in range(total):
         while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            w = weights[s]
-            heapq.heappush(released, (-(-(k + 1) * period // w), (k + 1) * period % w == 0, -w, s, k))
-        if not released:
-            continue
-        _, _, _, s, k = heapq.heappop(released)
-        slots[s].append(t)
-        if k + 1 < weights[s]:
-            heapq.heappush(waiting, (max(t + 1, (k + 1) * period // weights[s]), s, k + 1))
-    return slots
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(released, (-(-(k + 1) * total // count[i]), -count[i], i, k))
+        _, _, i, k = heapq.heappop(released)
+        yield t, names[i], k
+        if k + 1 < count[i]:
+            heapq.heappush(waiting, (max(t + 1, (k + 1) * total // count[i]), i, k + 1))
+
+
+SLOTS = "mix_name string, source string, _k bigint, slot bigint"
+
+
+def schedule(plan: DataFrame, size: int = 50_000) -> DataFrame:
+    """(mix_name, source, _k, slot) for plan (mix_name, source, _blocks): each mixture by one task, its slots streamed out in batches."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"mix_name": [], "source": [], "_blocks": []}), *batches])
+        for name, own in rows.groupby("mix_name", sort=True):
+            slots = pfair({s: int(n) for s, n in zip(own["source"], own["_blocks"])})
+            while part := list(itertools.islice(slots, size)):
+                t, s, k = zip(*part)
+                yield pd.DataFrame({"mix_name": name, "source": s, "_k": k, "slot": t})
+
+    return plan.select("mix_name", "source", "_blocks").repartition("mix_name").mapInPandas(run, SLOTS)
 
 
 def offsets(sized: DataFrame) -> DataFrame:
@@ -119,14 +126,14 @@ def offsets(sized: DataFrame) -> DataFrame:
 
 
 def mixture(
-    documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, block: int = 4096, period: int = 10_000,
-    vocabulary: str = VOCABULARY, default_repeats: int = 1,
+    documents: DataFrame, targets: DataFrame, vocabulary: str, total_tokens: int | None = None, block: int = 4096, default_repeats: int = 1, most_slots: int = MOST_SLOTS,
 ) -> tuple[DataFrame, DataFrame]:
-    """(drawn, shares). drawn has mix_name, slot, source, doc_id, epoch, tokens, in the order slot, source, place; shares has mix_name,
-    source, wanted, quota, tokens, reached.
+    """(drawn, shares). drawn has mix_name, slot, source, place, doc_id, epoch, tokens, in the order slot, source, place; shares has mix_name,
+    source, wanted, quota, tokens, uses, reached.
 
-    total_tokens is the size of each mixture, by default half of the tokens of its sources. A document begins in the block its
-    first token falls into. Documents without text or source are never drawn.
+    vocabulary is the file of a public tokenizer. total_tokens is the size of each mixture, by default half of the tokens of its sources. A
+    document begins in the block its first token falls into. block is the size of blocks in tokens, more where a mixture would have more than
+    most_slots of them. Documents without text or source are never drawn.
     """
     spark = documents.sparkSession
     sized = documents.where("source is not null").select("doc_id", "source", token_counter(vocabulary)("text").alias("tokens"))
@@ -136,24 +143,20 @@ def mixture(
         raise ValueError(f"more than {MOST_TARGETS} targets")
     wanted = spark.createDataFrame([(s,) for s in sorted({r["source"] for r in rows if r["source"]})], "source string")
     have = {r[0]: r[1] for r in sized.join(wanted, "source", "left_semi").groupBy("source").agg(F.sum("tokens")).collect()}
-    plan, slots = [], []
+    plan = []
     for name in sorted({r["mix_name"] for r in rows if r["mix_name"] is not None}):
         own = [r for r in rows if r["mix_name"] == name]
         total = total_tokens or sum(have.get(s, 0) for s in {r["source"] for r in own}) // 2
-        given = quotas(own, have, total, default_repeats)
-        weights = period_weights({q["source"]: q["quota"] for q in given}, period) if any(q["quota"] for q in given) else {}
-        plan += [(name, q["source"], q["wanted"], q["quota"], have.get(q["source"], 0), weights.get(q["source"], 0)) for q in given]
-        slots += [(name, s, k, t) for s, x in pfair(weights, period).items() for k, t in enumerate(x)] if weights else []
-    plan_df = spark.createDataFrame(plan, "mix_name string, source string, wanted double, quota bigint, _size bigint, _weight int")
-    slot_df = spark.createDataFrame(slots, "mix_name string, source string, _k int, _t int")
+        step = max(block, -(-total // most_slots))
+        plan += [(name, q["source"], q["wanted"], q["quota"], have.get(q["source"], 0), step, -(-q["quota"] // step)) for q in quotas(own, have, total, default_repeats)]
+    plan_df = spark.createDataFrame(plan, "mix_name string, source string, wanted double, quota bigint, _size bigint, _block bigint, _blocks bigint")
+    slots = schedule(plan_df.where("_blocks > 0"))
     placed = offsets(sized).join(plan_df.where("quota > 0"), "source").where("_from < quota")
     last = F.floor((F.col("quota") - 1 - F.col("_from")) / F.col("_size")).cast("int")
     drawn = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
     place = F.col("epoch").cast("bigint") * F.col("_size") + F.col("_from")
-    number = F.floor(place / block)
-    drawn = drawn.withColumns({"_place": place, "_k": F.pmod(number, F.col("_weight")).cast("int"), "_round": F.floor(number / F.col("_weight"))})
-    drawn = drawn.join(slot_df, ["mix_name", "source", "_k"])
-    drawn = drawn.select("mix_name", (F.col("_round") * period + F.col("_t")).cast("bigint").alias("slot"), "source", F.col("_place").alias("place"), "doc_id", "epoch", "tokens")
+    drawn = drawn.withColumns({"place": place, "_k": F.floor(place / F.col("_block"))}).join(slots, ["mix_name", "source", "_k"])
+    drawn = drawn.select("mix_name", "slot", "source", "place", "doc_id", "epoch", "tokens")
     reached = drawn.groupBy("mix_name", "source").agg(F.sum("tokens").alias("tokens"), (F.max("epoch") + 1).alias("uses"))
     shares = plan_df.join(reached, ["mix_name", "source"], "left").select("mix_name", "source", "wanted", "quota", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("uses", F.lit(0)).alias("uses"))
     whole = Window.partitionBy("mix_name")
@@ -161,7 +164,7 @@ def mixture(
     return drawn, shares
 
 
-def mixture_texts(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
+def mixture_texts(documents: DataFrame, targets: DataFrame, vocabulary: str, **options) -> DataFrame:
     """The drawn rows with their texts."""
-    drawn, _ = mixture(documents, targets, **options)
+    drawn, _ = mixture(documents, targets, vocabulary, **options)
     return drawn.join(documents.select("doc_id", "text"), "doc_id")

@@ -16,6 +16,7 @@ from postquarry.llm.truncation import truncated, truncation_rates
 from postquarry.tables import table
 
 
+VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 KEY = os.environ.get("MASKING_KEY", "a key for trials only")
 
 
@@ -64,11 +65,11 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_drawn(spark: SparkSession, d: str) -> DataFrame:
-    return mixture_texts(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixture_texts(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+    return mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), VOCABULARY)[1]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

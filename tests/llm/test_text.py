@@ -251,23 +251,51 @@ def make_items(rng, n=12):
 def test_search_agrees_with_brute_force():
     rng = random.Random(3)
     items = [(i, "Read this and answer the following question now. " + t) for i, t in make_items(rng)]
+    items += [(100 + i, " ".join(sentence(rng, rng.randint(2, 4)) for _ in range(6))) for i in range(6)]
     p = contamination.Patterns(items)
     for _ in range(60):
         text = [rng.choice(WORDS) for _ in range(80)]
         if rng.random() < 0.7:
             s = rng.choice(p.sentences)
-            text[20:20] = s[: rng.randint(3, len(s))]
+            text[20:20] = s[: rng.randint(3, len(s)) if len(s) > 3 else len(s)]
         held = set(text)
         want = {}
         for k, s in enumerate(p.sentences):
             if len(set(s) - held) > p.most[k]:
                 continue
-            hits = [(a, i) for i in range(len(text) - 4) for a in range(len(s) - 4) if s[a : a + 5] == text[i : i + 5]]
+            n = min(5, len(s))
+            hits = [(a, i) for i in range(len(text) - n + 1) for a in range(len(s) - n + 1) if tuple(s[a : a + n]) == tuple(text[i : i + n])]
             if hits:
                 want[k] = sorted(hits)
         assert {k: sorted(v) for k, v in p.occurrences(text).items()} == want
 
 
+def test_equal_short_and_single_items_are_found():
+    rng = random.Random(11)
+    noise = [sentence(rng, 10) for _ in range(8)]
+    held = lambda p, *parts: {i for i, _, _ in p.leaked(" ".join([*noise[:4], *parts, *noise[4:]]))}
+    two = " ".join(sentence(rng, 11) for _ in range(2))
+    for n in (1, 3, 4, 9):
+        assert held(contamination.Patterns([(i, two) for i in range(n)]), two) == set(range(n))
+    short = "Lamps glow. Rivers bend slowly. Nobody laughed then. Why? Doors close at nine."
+    mixed = "Otters swim upstream whenever the old mill opens its heavy gate. They dive. They hide well. " + "Nobody counted the silver fish that the tall heron left behind."
+    single = "Quiet engines carry seven crates of amber glass over the northern ridge."
+    p = contamination.Patterns([(1, short), (2, single), (3, mixed), (4, "Yes. No."), (5, ""), (6, None)])
+    assert held(p, short) == {1} and held(p, single) == {2} and held(p, single.replace("seven", "nine")) == {2} and held(p, mixed) == {3} and held(p) == set()
+    assert held(p, "Rivers bend slowly.", "Why? Doors close at nine.") == {1} and held(p, "Doors close at nine.") == set() and held(p, "They dive. They hide well.") == set()
+    # what many begin with tells nothing, what they hold later does
+    told = "Answer the question after reading it. "
+    q = contamination.Patterns([(i, told + " ".join(sentence(rng, 9) for _ in range(3))) for i in range(5)] + [(9, told)])
+    assert held(q, told) == {9} or held(q, told) == set()
+    shared = sentence(rng, 12)
+    r = contamination.Patterns([(i, sentence(rng, 9) + " " + shared) for i in range(6)])
+    assert all(shared[:-1].lower().split() == list(s) for s in r.sentences[1::2])
+
+
+def test_single_words_join_their_neighbour():
+    assert contamination.sentences_of("No. It is not. Why?") == (("no", "it", "is", "not", "why"),) and contamination.sentences_of("Alone") == (("alone",),)
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     items = make_items(rng)
@@ -286,6 +314,8 @@ def test_leaks(spark):
 
 # ---- mixtures
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 def test_quotas_fill_what_others_can_not_give():
     t = [{"source": "a", "target_share": 2.0, "max_repeats": 1}, {"source": "b", "target_share": 2.0, "max_repeats": 2}, {"source": "c", "target_share": 0.0, "max_repeats": 1}, {"source": "d", "target_share": 1.0, "max_repeats": None}]
     got = {q["source"]: q["quota"] for q in mixing.quotas(t, {"a": 100, "b": 10, "c": 50}, 100)}
@@ -293,17 +323,34 @@ def test_quotas_fill_what_others_can_not_give():
     assert {q["source"]: q["quota"] for q in mixing.quotas(t, {}, 100)} == {"a": 0, "b": 0, "d": 0}
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.integers(1, 1000), min_size=1, max_size=8), st.sampled_from([50, 97, 360]))
-def test_schedule_stays_within_a_block(sizes, period):
-    weights = mixing.period_weights({str(i): s for i, s in enumerate(sizes)}, period)
-    assert sum(weights.values()) == period
-    slots = mixing.pfair(weights, period)
-    assert sorted(itertools.chain(*slots.values())) == list(range(period))
-    for s, w in weights.items():
-        for k, t in enumerate(sorted(slots[s])):
-            # block k runs in its window: at time t the source is less than one block from its share
-            assert k * period // w <= t < -(-(k + 1) * period // w)
+def check_windows(blocks):
+    total, done = sum(blocks.values()), dict.fromkeys(blocks, 0)
+    for n, (t, s, k) in enumerate(mixing.pfair(blocks)):
+        # block k runs in its window: at every moment the source is less than one block from its share
+        assert t == n and k == done[s] and k * total // blocks[s] <= t < -(-(k + 1) * total // blocks[s])
+        done[s] += 1
+    assert done == blocks
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 400), min_size=1, max_size=12))
+def test_schedule_stays_within_a_block(sizes):
+    check_windows({str(i): n for i, n in enumerate(sizes)})
+
+
+def test_long_schedules_and_many_sources_stay_within_a_block():
+    rng = random.Random(1)
+    check_windows({"a": 61_803, "b": 27_182, "c": 14_142, "d": 1, "e": 3})
+    check_windows({str(i): rng.choice([1, 1, 2, 7, 40]) for i in range(11_000)})
+
+
+def test_more_sources_than_ten_thousand(spark):
+    n = 10_400
+    d = spark.createDataFrame([(i, "paper garden silver market", f"s{i}") for i in range(n)], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("m", f"s{i}", 1.0 + i % 3, 2) for i in range(n)], "mix_name string, source string, target_share double, max_repeats int")
+    drawn, shares = mixing.mixture(d, t, TOKENIZER, total_tokens=n * 4, block=2)
+    assert shares.count() == n
+    assert shares.where("abs(tokens - quota) > 8").isEmpty()
 
 
 def test_mixture(spark):
@@ -311,7 +358,7 @@ def test_mixture(spark):
     docs = [(i, " ".join(sentence(rng) for _ in range(rng.randint(1, 6))), "big" if i % 3 else "small") for i in range(400)] + [(900, None, "big"), (901, "", "small"), (902, "x", None)]
     d = spark.createDataFrame([(*r, 0) for r in docs], "doc_id bigint, text string, source string, tokens int")
     t = spark.createDataFrame([("m", "big", 0.5, 1), ("m", "small", 0.5, 3), ("m", "none", 1.0, 1), ("n", "small", 7.0, 2), (None, "big", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
-    drawn, shares = mixing.mixture(d, t, total_tokens=9000, block=256, period=100)
+    drawn, shares = mixing.mixture(d, t, TOKENIZER, total_tokens=9000, block=256)
     rows, by = drawn.collect(), {(r["mix_name"], r["source"]): r for r in shares.collect()}
     assert by[("m", "none")]["tokens"] == 0
     for key, r in by.items():
@@ -321,8 +368,8 @@ def test_mixture(spark):
         for x in own:
             times[x["doc_id"]] = times.get(x["doc_id"], 0) + 1
         assert max(times.values(), default=0) <= (3 if key == ("m", "small") else 2)
-    assert mixing.mixture_texts(d, t, total_tokens=2000).where("text is null or text = ''").isEmpty()
-    assert mixing.mixture(d.limit(0), t)[0].count() == 0
+    assert mixing.mixture_texts(d, t, TOKENIZER, total_tokens=2000, most_slots=3).where("text is null or text = ''").isEmpty()
+    assert mixing.mixture(d.limit(0), t, TOKENIZER)[0].count() == 0
 
 
 # ---- cut texts
