@@ -2,7 +2,11 @@
 
 Intact texts are cut artificially to give positive cases; hashed logistic regression over closing characters, the shape of the
 last line and sentence, and the number of texts of the same source and length then scores every text. Only training uses a
-bounded sample (sample_size texts, the ones of lowest hash); lengths are counted over all texts and all are scored.
+bounded sample (sample_size texts, the ones of lowest hash); lengths are counted over all texts and all are scored. The closing is looked
+for in the last LAST_LINES and LAST_SENTENCE characters: a longer line or sentence counts as one that long.
+
+The number of texts of equal length enters as one of BUCKETS steps, so each text is scored once for every step where it is read. Texts that are
+cut at every step or at none need no count; only the others are joined with the counts, as numbers, without their text.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 
 BITS = 16
 SLOTS = 40
-MARKS = ["...", "…", "...", "…", " ...", " …", "[...]", " [...]", " [cut]", "\n[text shortened]", "\n\n[rest left out]", " [... more ...]", " <cut>", " (more)", "\n** no more room **"]
+BUCKETS = 7  # steps of the number of other texts of equal length: 0, 1, 2-3, 4-7, and so on, the last open
+LAST_LINES, LAST_SENTENCE = 2000, 600
 _MARK = re.compile(r"(?:\s*(?:\[[^\[\]\n]{0,60}\]|\([^()\n]{0,60}\)|<[^<>\n/]{1,30}>|\*{1,3} ?[^*\n]{1,40}\*{1,3}|\.{3,}|…))+\ufffd?$")
 _SENTENCE = re.compile(r"[.!?…]+[\"'”»)\]]*\s+|\n\s*\n")
 _BULLET = re.compile(r"^\s*(?:[*•‣–—+-]|\d{1,3}[.)])\s+")
@@ -41,18 +46,32 @@ def _bucket(n: int) -> int:
     return n if n < 5 else min(12, 4 + n.bit_length())
 
 
+def _slot(feature: str) -> int:
+    return zlib.crc32(feature.encode()) & ((1 << BITS) - 1)
+
+
+def bucket(same_length: int) -> int:
+    return min(BUCKETS - 1, same_length.bit_length())
+
+
 def features(text: str, same_length: int) -> list[int]:
     """Slots of the hashed features; same_length is the number of other texts of the source with this length."""
+    fixed, counted = closing_features(text)
+    return fixed + counted[bucket(same_length)]
+
+
+def closing_features(text: str) -> tuple[list[int], list[list[int]]]:
+    """(slots of the features of the closing, slots to add for each step of the number of texts of equal length)."""
     end = _TAGS.sub("", text.rstrip())
     broken = end.endswith("\ufffd")
     end = end.rstrip("\ufffd")
     mark = _MARK.search(end)
     core = end[: mark.start()] if mark else end
-    lines = core[-2000:].split("\n")
+    lines = core[-LAST_LINES:].split("\n")
     last = _QUOTE.sub("", lines[-1]) if lines else ""
     before = lines[-2].strip() if len(lines) > 1 else ""
     apart = len(lines) > 1 and not before.strip("> |")
-    tail = core[-600:]
+    tail = core[-LAST_SENTENCE:]
     starts = [m.end() for m in _SENTENCE.finditer(tail)]
     sentence = tail[starts[-1] :] if starts and starts[-1] < len(tail) else tail
     words, line_words = sentence.split(), last.split()
@@ -71,10 +90,22 @@ def features(text: str, same_length: int) -> list[int]:
         f"i:{words[0].lower() if words else ''}{m}{ended}", f"j:{form}{line_words[0].lower() if line_words else ''}{ended}",
         f"k:{form}{_shape(line_words[0]) if line_words else ''}{ended}", f"p:{' '.join(words[:2]).lower()}{m}{ended}", f"q:{' '.join(words[-2:]).lower()}{m}{ended}",
         f"z:{form}{' '.join(_shape(x) for x in line_words[:3])}", f"a:{form}{' '.join(line_words[-2:]).lower()}{ended}", f"h:{sentence.lower()[:80]}",
-        f"y:{min(6, same_length.bit_length())}{m}{ended}", f"x:{min(6, same_length.bit_length())}{form}", f"g:{ended}{m}", f"b:{m}{len(word)}{ended}",
+        f"g:{ended}{m}", f"b:{m}{len(word)}{ended}",
         f"o:{'upper' if sentence[:1].isupper() else 'lower'}{ended}{form}", f"sp:{len(text) - len(end) > 0}{ended}", f"u:{sum(map(str.isdigit, last)) > 2}{form}{ended}",
     ]
-    return [zlib.crc32(x.encode()) & ((1 << BITS) - 1) for x in found]
+    counted = [[_slot(f"y:{k}{m}{ended}"), _slot(f"x:{k}{form}")] for k in range(BUCKETS)]
+    return [_slot(x) for x in found], counted
+
+
+def note(body: str, rng: random.Random) -> str:
+    """A made-up note of an omission: dots, or some words of the text in brackets or between stars, in the line or on one of its own."""
+    if rng.random() < 0.5:
+        return rng.choice(["...", "…", " ...", " …", "[...]", " [...]", "[…]"])
+    words = re.findall(r"[^\W\d_]{2,}", body[:4000]) or ["x"]
+    few = " ".join(rng.choice(words).lower() for _ in range(rng.randint(1, 4)))
+    dots = rng.choice(["", "", "... "])
+    left, right = rng.choice([("[", "]"), ("[", "]"), ("(", ")"), ("<", ">"), ("** ", " **"), ("*", "*")])
+    return rng.choice([" ", " ", "\n", "\n\n"]) + left + dots + few + dots[::-1] + right
 
 
 def cut(text: str, rng: random.Random) -> str | None:
@@ -95,7 +126,7 @@ def cut(text: str, rng: random.Random) -> str | None:
             continue
         if rng.random() < 0.06:
             return piece + "\ufffd" + rng.choice(["", "", "…", "..."])
-        return piece + (rng.choice(MARKS) if rng.random() < 0.45 else "")
+        return piece + (note(body, rng) if rng.random() < 0.45 else "")
     return None
 
 
@@ -153,17 +184,8 @@ def length_counts(documents: DataFrame) -> DataFrame:
     return told.groupBy("source", "_n").agg((F.count("*") - 1).cast("int").alias("_same")).where("_same > 0")
 
 
-def with_lengths(documents: DataFrame) -> DataFrame:
-    """documents that aren't blank with _same: how many other different texts of the source have the same length."""
-    counts = length_counts(documents).withColumnRenamed("source", "_s")
-    key = F.col("source").eqNullSafe(F.col("_s")) & (F.length("text") == F.col("_n"))
-    whole = documents.where(F.length(F.trim("text")) > 0)
-    return whole.join(counts, key, "left").drop("_s", "_n").withColumn("_same", F.coalesce("_same", F.lit(0)))
-
-
 def truncated(documents: DataFrame, sample_size: int = 4000, threshold: float = -0.5) -> DataFrame:
     """(doc_id, source, score) of texts that stop inside a word or a sentence. Null and blank texts are none."""
-    rows = with_lengths(documents.select("doc_id", "source", "text"))
     # hashes spread evenly, so a bound on them keeps what each task sends near its part of the sample
     n = documents.select("doc_id").count()
     order = F.shiftrightunsigned(F.xxhash64("text", F.lit(5)), 1)
@@ -178,13 +200,20 @@ def truncated(documents: DataFrame, sample_size: int = 4000, threshold: float =
     seen = {t: n for t, n in sample}
     weights = train(sorted(seen.items()))
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for text, same in batches:
-            yield pd.Series(weights[_matrix([features(t, n) for t, n in zip(text, same)])].sum(1) if len(text) else [], dtype=float)
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = [closing_features(t) for t in texts]
+            fixed = weights[_matrix([f for f, _ in found])].sum(1) if found else []
+            yield pd.Series([(base + weights[np.array(counted)].sum(1)).tolist() for base, (_, counted) in zip(fixed, found)], dtype=object)
 
-    scored = rows.select("doc_id", "source", score("text", "_same").alias("score"))
-    return scored.where(F.col("score") > threshold)
+    whole = documents.where(F.length(F.trim("text")) > 0)
+    scored = whole.select("doc_id", "source", F.length("text").alias("_n"), scores("text").alias("_s")).where(F.array_max("_s") > threshold)
+    counts = length_counts(documents).withColumnRenamed("source", "_c")
+    key = F.col("source").eqNullSafe(F.col("_c")) & (scored["_n"] == counts["_n"])
+    steps = F.length(F.regexp_replace(F.bin(F.coalesce("_same", F.lit(0)).cast("bigint")), "^0$", ""))
+    score = F.get("_s", F.least(steps, F.lit(BUCKETS - 1)))
+    return scored.join(counts, key, "left").select("doc_id", "source", score.alias("score")).where(F.col("score") > threshold)
 
 
 def truncation_rates(documents: DataFrame) -> DataFrame:
