@@ -1,8 +1,9 @@
 """Text decoded with the wrong character encoding: found and restored.
 
-Words with characters beyond ASCII are nodes of a graph whose edges encode, decode or unescape them. A best-first search led
-by a cost of implausible characters takes the cheapest text it can reach; visited states are kept by hash. Words repeat
-a great deal, so results are cached in each Python worker.
+Words with characters beyond ASCII, or with signs of lost ones, are nodes of a graph whose edges encode, decode or unescape them, or give lost
+characters up. A best-first search led by the plausibility of the characters (cost) and the length of the way takes the cheapest text it can
+reach; visited states are kept by hash. A field is garbled if the search gains enough over its words, and nothing else makes it so. Words
+repeat a great deal, so results are cached in each Python worker.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ RUSSIAN = {
 _LOWER = "a-zß-öø-ÿšžłœ"
 _UPPER = "A-ZÀ-ÖØ-ÞŠŽŁŒ"
 _LETTER = f"{_LOWER}{_UPPER}а-яёА-ЯЁ"
-_USUAL = f"\x00-\x7f{_LETTER}\xa0¡¿«»ªº°§£€©®‘’“”„‚–—…·•×№"
+_USUAL = f"\x00-\x7f{_LETTER}\xa0¡¿«»ªº°§£€©®‘’“”„‚–—…·•×№\ue000"
 COSTS = [
     (re.compile("�"), 4.0),
     (re.compile("[\x80-\x9f]"), 4.0),
@@ -42,10 +43,10 @@ COSTS = [
     (re.compile(f"(?<=[{_LETTER}])[«»“”–—…·](?=[{_LETTER}])"), 2.0),
     (re.compile("(?<=[ÃÂÐÑâĂГРÔ√├┬Γ])[\xa0°§«»“”‘’–—…·•£€©®]"), 2.0),
     (re.compile("[ÃÂÅ][œžšŸŒŠŽ]"), 2.0),
-    # English contractions, amounts and quotes whose sign became a letter
-    (re.compile("\\b(?:[Cc]an|[Dd]on|[Ww]on|[Ii]sn|[Aa]ren|[Dd]idn|[Dd]oesn|[Ww]asn|[Cc]ouldn|[Ww]ouldn|[Ss]houldn|[Hh]aven)[íÆ´]t\\b"), 3.0),
+    # English contractions (any not; pronouns with is), amounts and quotes whose sign became a letter
+    (re.compile("(?<=[a-z]n)[íÆ´]t\\b"), 3.0),
     (re.compile("\\b(?:[Ii]t|[Tt]hat|[Ww]hat|[Tt]here|[Hh]ere|[Hh]e|[Ss]he|[Ll]et|[Ww]ho)[íÆ´]s\\b"), 3.0),
-    (re.compile("(?<![^\\W\\d])[À-ÖØ-Þ](?=\\d)"), 2.5),
+    (re.compile("(?<![^\\W\\d])[À-ÖØ-ÞА-ЯЁа-яё](?=\\d)"), 2.5),
     (re.compile("‚(?=[À-Þ])"), 3.0),
     (re.compile("\\b[ÿìî](?=[a-z]{2})"), 1.5),
     (re.compile("¿(?=[^\\W\\d])"), 1.3),
@@ -59,21 +60,28 @@ COSTS = [
     (re.compile("(?<=[А-ЯЁ])[А-ЯЁ]"), 0.15),
     (re.compile("[а-яёА-ЯЁ](?=[A-Za-zÀ-ÿ])|[A-Za-zÀ-ÿ](?=[а-яёА-ЯЁ])"), 2.0),
     (re.compile("&(?:#\\d{2,5}|#x[0-9A-Fa-f]{2,4}|[A-Za-z]{2,8});"), 1.5),
+    # a question mark in place of a letter or sign, before the last letters of a word
+    (re.compile(f"(?<=[{_LETTER}])\\?(?=[a-z]{{1,2}}(?![\\w=]))"), 2.5),
+    (re.compile("\ue000"), 1.0),
 ]
 _ANY = re.compile("|".join(f"(?:{p.pattern})" for p, _ in COSTS))
 CYRILLIC = re.compile("[а-яёА-ЯЁ]")
-LOST = re.compile(f"(?<=[{_LETTER}])\\?(?=[a-zß-öø-ÿ])")
-HARD = re.compile("[�\x80-\x9f]")
+# characters lost for good: replacements, controls that no encoding explains, and question marks within words. GIVEN_UP stands for one of them
+LOST = re.compile(f"[\ufffd\x80-\x9f]|(?<=[{_LETTER}])\\?(?=[a-z])")
+QUESTIONED = re.compile(f"(?<=[{_LETTER}])\\?(?=[a-z]{{1,2}}(?![\\w=]))")
+GIVEN_UP = "\ue000"
+_SPACES = re.compile("[\n\r\t]")
 BEYOND = re.compile(r"[^ \t\r\n\x0b\x0c]*(?:[^\x00-\x7f]|&#?\w{2,8};)[^ \t\r\n\x0b\x0c]*")
-# PLAIN: text that costs less is taken at once
-STEP, MARGIN, MOST_STATES, PLAIN = 0.35, 1.2, 400, 0.25
+# STEP: what the first decoding costs, MORE: each further one; MARGIN: what a field must gain; PLAIN: text that costs less ends a search; MOST_STATES: texts and
+# byte strings one search looks at, after which the best one found counts
+STEP, MORE, MARGIN, PLAIN, MOST_STATES = 0.35, 1.5, 1.2, 0.25, 2000
 _LOG = {c: 0.12 * (math.log2(1000 / n) - 4.45) for c, n in RUSSIAN.items()}
 
 
 def cost(text: str) -> float:
     """How implausible the characters of the text are beside each other; about 0 for ordinary writing."""
     total = 0.0
-    if not text.isascii() or "&" in text:
+    if not text.isascii() or "&" in text or "?" in text:
         if _ANY.search(text):
             for pattern, weight in COSTS:
                 if found := pattern.findall(text):
@@ -106,20 +114,34 @@ def _decode(raw: bytes, codec: str) -> str | None:
 
 def _price_of(hops: int) -> float:
     """What a way of so many decodings costs: text is rarely decoded wrongly more than once."""
-    return STEP * min(hops, 1) + 1.5 * max(0, hops - 1)
+    return STEP * min(hops, 1) + MORE * max(0, hops - 1)
+
+
+def _promise(raw: bytes) -> float:
+    """What bytes may cost as text: if they read as UTF-8, which hardly happens by chance, what that costs, else no more than plain text."""
+    read = _decode(raw, "utf-8")
+    return PLAIN if read is None else min(PLAIN, cost(read))
+
+
+def _hope(text: str, price: float) -> float:
+    """What a text may cost in the end: no more than plain text if its own bytes read as UTF-8 once more."""
+    again = (raw for c in READ_AS if (raw := _encode(text, c)))
+    return PLAIN if price > PLAIN and not text.isascii() and any(_decode(raw, "utf-8") is not None for raw in again) else price
 
 
 def search(text: str) -> tuple[str, float, str]:
     """(cheapest reachable text, its cost, path to it).
 
-    States are texts and byte strings. The queue takes fewer decodings first, then the lower cost; bytes that read as UTF-8 hardly do so
-    by chance and come before others. The search ends at a plain text, once no shorter way is open.
+    States are texts and byte strings. The queue is led by what a state costs or promises to cost, plus the price of the way to it. The
+    search ends where every state in the queue is led by more than the best text, its way and one more decoding cost, where a plain text was found
+    and none is led by less, or after MOST_STATES.
     """
-    best = (cost(text), text, "", 0)
-    seen, queue, n = {hash((str, text))}, [(0, best[0], 0, text, "")], 0
+    own = cost(text)
+    best = (own, own, text, "")
+    seen, queue, n = {hash((str, text))}, [(own, 0, 0, text, "")], 0
     while queue and len(seen) < MOST_STATES:
-        hops, at, _, state, path = heapq.heappop(queue)
-        if best[0] < PLAIN and hops >= best[3] and best[2] or hops > 2:
+        led, _, hops, state, path = heapq.heappop(queue)
+        if best[3] and led >= best[0] + (0 if best[1] < PLAIN else MORE):
             break
         if isinstance(state, bytes):
             edges = [(f"decode {c}", _decode(state, c)) for c in WRITTEN_IN]
@@ -127,6 +149,8 @@ def search(text: str) -> tuple[str, float, str]:
             edges = [(f"encode {c}", _encode(state, c)) for c in READ_AS]
             if "&" in state:
                 edges.append(("unescape", html.unescape(state)))
+            if LOST.search(state):
+                edges.append(("lose", LOST.sub(GIVEN_UP, state)))
         for name, new in edges:
             # a text and its bytes may share a plain hash
             if not new or (key := hash((type(new), new))) in seen:
@@ -135,23 +159,26 @@ def search(text: str) -> tuple[str, float, str]:
             n += 1
             way = f"{path} > {name}"
             if isinstance(new, bytes):
-                heapq.heappush(queue, (hops, at - 1000 * (_decode(new, "utf-8") is not None), n, new, way))
+                heapq.heappush(queue, (_promise(new) + _price_of(hops + 1), n, hops, new, way))
                 continue
             # few senders wrote in these
             price = cost(new) + (0.3 if name in ("decode mac-roman", "decode cp437", "decode cp850") else 0.0)
-            if price + _price_of(hops + 1) < best[0] + _price_of(best[3]):
-                best = (price, new, way, hops + 1)
-                if price < PLAIN and name == "decode utf-8":
+            whole = price + _price_of(hops + 1)
+            if whole < best[0]:
+                best = (whole, price, new, way)
+                if price < PLAIN and name == "decode utf-8" and not hops:
                     return new, price, way[3:]
-            heapq.heappush(queue, (hops + 1, price, n, new, way))
-    return best[1], best[0], best[2][3:]
+            hope = _hope(new, price) if name == "decode utf-8" else price
+            heapq.heappush(queue, (hope + _price_of(hops + 1), n, hops + 1, new, way))
+    return best[2], best[1], best[3][3:]
 
 
 @lru_cache(maxsize=200_000)
 def word_result(word: str) -> tuple[float, str, float, str]:
-    """(cost, restored word, its cost, path)."""
+    """(cost, restored word, its cost, path). A word that costs no more than a step has no cheaper way; those with Cyrillic letters, which
+    may cost less than nothing, are searched together."""
     price = cost(word)
-    if price < 0.5:
+    if price <= STEP:
         return price, word, price, ""
     return price, *search(word)
 
@@ -162,20 +189,33 @@ def repair(text: str | None) -> tuple[bool, str | None, str]:
     return found, BEYOND.sub(lambda m: swap.get(m[0], m[0]), text) if swap else text, paths
 
 
+def _given_back(word: str, new: str) -> str:
+    """The restored word with the characters that were given up as they stood."""
+    if GIVEN_UP not in new:
+        return new
+    lost = iter(LOST.findall(word))
+    return re.sub(GIVEN_UP, lambda _: next(lost, "\ufffd"), new)
+
+
+def _candidates(text: str) -> set[str]:
+    """Words that could be garbled: those of BEYOND, and with question marks for letters if any word shows that surely."""
+    # not str.split(): a no-break space may be half of a garbled letter
+    questioned = "?" in text and bool(QUESTIONED.search(text))
+    return {w for w in _SPACES.sub(" ", text).split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w) or questioned and "?" in w and LOST.search(w)}
+
+
 def repaired_words(text: str | None) -> tuple[bool, dict[str, str], str]:
     """(found, restored words by garbled ones, paths): the words are those of BEYOND."""
     if not text:
         return False, {}, ""
-    # not str.split(): a no-break space may be half of a garbled letter
-    words = {w for w in text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ") if not w.isascii() or "&" in w and BEYOND.fullmatch(w)}
-    lost = "?" in text and bool(LOST.search(text)) and bool(re.search(r"\w\?[a-z]{1,2}\b", text))
-    if "?" in text:
-        words = {w for w in words if w[0] != "¿"}  # it opens a question
+    # an inverted question mark opens a question where the text has the one that ends it
+    asks = "?" in text
+    stem = {w: w.lstrip("¿") if asks else w for w in _candidates(text)}
+    words = {x for x in stem.values() if x and (not x.isascii() or "&" in x or "?" in x)}
     if not words:
-        return lost, {}, ""
+        return False, {}, ""
     results = {w: word_result(w) for w in words}
     gains = {w: r[0] - r[2] for w, r in results.items() if r[3]}
-    hard = bool(HARD.search(text))
     cyrillic = [w for w in words if CYRILLIC.search(w)]
     before = sum(results[w][0] for w in cyrillic)
     if before >= MARGIN and before > 0.06 * sum(map(len, cyrillic)):
@@ -190,11 +230,9 @@ def repaired_words(text: str | None) -> tuple[bool, dict[str, str], str]:
             gains = {w: r[0] - r[2] for w, r in results.items() if r[3]} | {"": before - price}
     elif cyrillic:
         gains = {w: g for w, g in gains.items() if g >= MARGIN}
-    gain = sum(g for g in gains.values() if g > 0)
-    found = hard or lost or gain >= MARGIN
-    if not found:
+    if sum(g for g in gains.values() if g > 0) < MARGIN:
         return False, {}, ""
-    garbled = [w for w, r in results.items() if r[0] >= 0.5 and "\ufffd" not in w]
+    garbled = [w for w, r in results.items() if r[0] > STEP and "\ufffd" not in w and not w.isascii()]
     if len(garbled) > 1 and not cyrillic:
         # several readings of a word may be plain; all words together mostly have one, often that of the most words
         alone = sum(results[w][2] for w in garbled)
@@ -209,13 +247,14 @@ def repaired_words(text: str | None) -> tuple[bool, dict[str, str], str]:
             for w, new in zip(garbled, pieces):
                 results[w] = (results[w][0], new, cost(new), path)
     ways = Counter(r[3] for r in results.values() if r[3])
-    swap = {w: r[1] for w, r in results.items() if r[3] and r[1] != w}
+    restored = {w: _given_back(w, r[1]) for w, r in results.items() if r[3]}
     if ways:
         common = ways.most_common(1)[0][0]
         for w, r in results.items():
             # words too plain to tell by themselves follow the field's usual path where that costs nothing
-            if w not in swap and (new := follow(w, common)) and cost(new) <= r[0]:
-                swap[w] = new
+            if w not in restored and (new := follow(w, common)) and cost(new) <= r[0]:
+                restored[w] = _given_back(w, new)
+    swap = {w: w[: len(w) - len(x)] + restored[x] for w, x in stem.items() if x in restored and restored[x] != x}
     return True, swap, "; ".join(ways)
 
 
@@ -226,7 +265,7 @@ def follow(text: str, path: str) -> str | None:
         name, _, codec = step.partition(" ")
         if state is None:
             return None
-        state = html.unescape(state) if name == "unescape" else _encode(state, codec) if name == "encode" else _decode(state, codec)
+        state = html.unescape(state) if name == "unescape" else LOST.sub(GIVEN_UP, state) if name == "lose" else _encode(state, codec) if name == "encode" else _decode(state, codec)
     return state if isinstance(state, str) else None
 
 

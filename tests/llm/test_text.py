@@ -43,9 +43,16 @@ def test_wrong_decodings_are_undone(text, true, wrong):
 def test_double_decoding_and_losses():
     twice = "größte".encode().decode("latin-1").encode().decode("latin-1")
     assert encoding.repair(twice)[:2] == (True, "größte")
-    assert encoding.repair("gr��e") == (True, "gr��e", "") and encoding.repair("We can?t wait")[0]
+    assert encoding.repair("gr��e") == (True, "gr��e", "lose") and encoding.repair("We can?t wait")[0]
     assert encoding.repair(None) == (False, None, "") and encoding.repair("") == (False, "", "")
     assert encoding.repair("why? yes")[0] is False
+    many = "größte"
+    for _ in range(4):
+        many = many.encode().decode("latin-1")
+    assert encoding.repair(many)[:2] == (True, "größte")
+    assert encoding.repair("la página.php?id=3 no está, ¿cómo se llama?") == (False, "la página.php?id=3 no está, ¿cómo se llama?", "")
+    assert encoding.repair("¿dÃ³nde? aquÃ­")[:2] == (True, "¿dónde? aquí")
+    assert encoding.repair("a\x96b Gr\x81e")[0] and encoding.repair("gr\ufffd\ufffde Ã¼ber")[1] == "gr\ufffd\ufffde über"
     mixed = "ganz normal schön, aber " + "schön".encode().decode("latin-1")
     assert encoding.repair(mixed)[1] == "ganz normal schön, aber schön"
 
