@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postquarry.llm.encoding import BEYOND, repair, repaired_words
+from postquarry.llm.encoding import BEYOND, repaired_words
 
 KINDS = ("email", "phone", "idnum", "street", "person")
 MOST_NAMES = 2_000_000
@@ -33,7 +33,8 @@ _AT = rf"(?:@|{_S}?[(\[{{<]{_S}?at{_S}?[)\]}}>]{_S}?|{_S}at{_S}|{_S}AT{_S})"
 _DOT = rf"(?:\.|{_S}?[(\[{{<]{_S}?dot{_S}?[)\]}}>]{_S}?|{_S}dot{_S}|{_S}DOT{_S})"
 EMAIL = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@{_LABEL}(?:\.{_LABEL})+")
 DISGUISED = re.compile(rf"(?<![\w.+-])[A-Za-z0-9][\w.+-]*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+(?<=[A-Za-z])")
-_DISGUISE = re.compile(r"[(\[{<][ \xa0]{0,4}at[ \xa0]{0,4}[)\]}>]|[ \xa0]dot[ \xa0]|[ \xa0]DOT[ \xa0]|[(\[{<]dot[)\]}>]|[ \xa0]at[ \xa0]{1,8}[\w-]{1,40}\.[a-z]", re.I)
+# every disguised address has one of these words; cheap to look for
+_DISGUISE = re.compile(r"\b(?:at|AT|dot|DOT)\b")
 _PLAIN_AT = re.compile(rf"^[A-Za-z0-9][\w.+-]*{_S}(?:at|AT){_S}{_LABEL}(?:\.{_LABEL})+$")
 PHONE = re.compile(
     rf"(?<![\w.+/@-])(?:\+33{_S}\d(?:{_S}\d\d){{4}}|\+44{_S}(?:\(0\))?\d{{2}}{_S}\d{{4}}{_S}\d{{4}}|\+44{_S}(?:\(0\))?\d{{4}}{_S}\d{{3}}{_S}\d{{3}}|\+1{_S}\d{{3}}[-. ]\d{{3}}[-. ]\d{{4}}|\+49{_S}\d{{2,4}}{_S}\d{{4,6}}-\d{{2,4}}|"
@@ -62,11 +63,6 @@ _ROAD_FIRST = re.compile(
     rf"\b(?:Am|Im|Zum|Zur|An der|Auf der|In der){_S}{_CAP}{_S}\d{{1,3}}{_S}?[a-z]?\b(?![.:])|"
     rf"(?:\bул\.|\bулица|\bпр\.|\bпроспект|\bпереулок|\bпер\.){_S}(?:{_CAP}{_S}?){{1,3}},?{_S}(?:д\.{_S}?)?\d{{1,4}}"
 )
-# words of the second pattern with a number not far behind; cheap to look for
-_ROAD_HINT = re.compile(
-    r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|damm|ring|STRASSE|STRAßE|GASSE|WEG|PLATZ|Straße|Strasse|Str\.|Gasse|Weg|Platz|Allee|\b(?:Am|Im|Zum|Zur|An der|Auf der|In der|Calle|Avda\.|Avenida|Plaza|Paseo|Camino|"
-    r"Ronda|Travesía|C/|Rua|Travessa|Praça|Av\.|Largo|Estrada|Alameda|ул\.|улица|пр\.|проспект|переулок|пер\.)[ \xa0])[^\d]{0,60}\d"
-)
 WORD = re.compile(r"[^\W\d_][\w’'-]*")
 _CLOSE = re.compile(r"(?:^|[\s.,(<\"“„«>-])$")
 # Greetings and other places where a name follows, by language.
@@ -125,8 +121,7 @@ def find(text: str | None, names: frozenset[str]) -> list[Entity]:
             if m[0].isdigit() and not _PERSONAL.search(before + view[m.end() : m.end() + 30]):
                 continue
             add(m.start(), m.end(), "idnum", re.sub(r"[\s.-]", "", m[0]).lower())
-        streets = [*_HOUSE_FIRST.finditer(view), *(_ROAD_FIRST.finditer(view) if _ROAD_HINT.search(view) else ())]
-        for m in streets:
+        for m in (*_HOUSE_FIRST.finditer(view), *_ROAD_FIRST.finditer(view)):
             add(m.start(), m.end(), "street", re.sub(r"[\s,]+", " ", m[0]).lower())
     spans: list[tuple[int, int]] = []
     for m in WORD.finditer(view):
@@ -150,7 +145,8 @@ def find(text: str | None, names: frozenset[str]) -> list[Entity]:
             k += 1
             b = max(b, spans[k][1])
         if (first := re.search(r"(?<!\w)[A-ZÀ-ÞŠŽ]\.[ \xa0]{1,4}$", view[max(0, a - 6) : a])) and len(view[a:b]) > 1:
-            a -= len(first[0])
+            # the letter may end a number
+            a -= 0 if any(taken[a - len(first[0]) : a]) else len(first[0])
         parts = sorted(x.lower() for x in WORD.findall(view[a:b]))
         add(a, b, "person", " ".join(parts))
         k += 1
@@ -297,23 +293,30 @@ class Repaired:
         return old_b + p - b if p >= b else old_b if end else old_a
 
 
-def replace(text: str | None, names: frozenset[str], key: bytes, surrogates: bool = False, made: dict[str, str] | None = None) -> str | None:
-    """The text with every entity replaced and all else unchanged; entities are looked for in the repaired text. What replaces an
-    entity depends on it, the key and the vocabulary alone, never on the text. made: surrogates of the vocabulary, if at hand."""
+def replaced(text: str | None, names: frozenset[str], key: bytes, surrogates: bool = False, made: dict[str, str] | None = None) -> tuple[str | None, list[str]]:
+    """(the text with every entity replaced and all else unchanged, the kinds replaced); entities are looked for in the repaired text. What
+    replaces an entity depends on it, the key and the vocabulary alone, never on the text. made: surrogates of the vocabulary, if at hand."""
     if not text:
-        return text
+        return text, []
     repaired = Repaired(text)
     entities = find(repaired.text, names)
     if not entities:
-        return text
+        return text, []
     if surrogates:
         made, view = made_names(names, key) if made is None else made, _view(repaired.text)
-    out, at = [], 0
+    out, at, kinds = [], 0, set()
     for e in entities:
-        new = surrogate(e, repaired.text[e.start : e.end], view[e.start : e.end], made, key) if surrogates else placeholder(e, key)
+        source = repaired.text[e.start : e.end]
+        new = surrogate(e, source, view[e.start : e.end], made, key) if surrogates else placeholder(e, key)
+        # a keyed permutation may lead a number to itself, which still counts as replaced
+        kinds.add(e.kind)
         out += [text[at : max(at, repaired.place(e.start))], new]
         at = max(at, repaired.place(e.end, end=True))
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], sorted(kinds)
+
+
+def replace(text: str | None, names: frozenset[str], key: bytes, surrogates: bool = False, made: dict[str, str] | None = None) -> str | None:
+    return replaced(text, names, key, surrogates, made)[0]
 
 
 # ---- tables
@@ -340,33 +343,40 @@ def text_fields(messages: DataFrame) -> DataFrame:
     return body.unionByName(subject).where("text is not null and text <> ''")
 
 
-def personal_data(messages: DataFrame, addresses: DataFrame) -> DataFrame:
-    """(read_ord, field_name, pii_kind): one row for each kind a field holds. Wrongly decoded text is repaired before the search."""
-    names = known_names(addresses)
-    shared = messages.sparkSession.sparkContext.broadcast(names)
+def replaced_fields(messages: DataFrame, addresses: DataFrame, key: str, surrogates: bool) -> DataFrame:
+    """(read_ord, field_name, text, kinds) of the fields with text: all entities replaced, and the kinds of entities that were."""
+    if len(key) < 8:
+        raise ValueError("a key of at least eight characters is needed; whoever knows it can tell who is meant")
+    names, secret = known_names(addresses), key.encode()
+    shared = messages.sparkSession.sparkContext.broadcast((names, made_names(names, secret) if surrogates else None))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        known, made = shared.value
         for batch in batches:
-            out = []
-            for read_ord, field, text in zip(batch["read_ord"], batch["field_name"], batch["text"]):
-                if not text.isascii():
-                    text = repair(text)[1]
-                out += [(read_ord, field, kind) for kind in sorted({e.kind for e in find(text, known)})]
-            yield pd.DataFrame(out, columns=["read_ord", "field_name", "pii_kind"])
+            done = [replaced(x, known, secret, surrogates, made) for x in batch["text"]]
+            yield pd.DataFrame({"read_ord": batch["read_ord"], "field_name": batch["field_name"], "text": [t for t, _ in done], "kinds": [k for _, k in done]})
 
-    return text_fields(messages).mapInPandas(run, "read_ord bigint, field_name string, pii_kind string")
+    return text_fields(messages).mapInPandas(run, "read_ord bigint, field_name string, text string, kinds array<string>")
+
+
+def personal_data(messages: DataFrame, addresses: DataFrame, key: str) -> DataFrame:
+    """(read_ord, field_name, pii_kind): one row for each kind of entity that a field had surrogates made for."""
+    return replaced_fields(messages, addresses, key, surrogates=True).select("read_ord", "field_name", F.explode("kinds").alias("pii_kind"))
 
 
 def masked(messages: DataFrame, addresses: DataFrame, key: str, surrogates: bool = False) -> DataFrame:
     """(read_ord, field_name, text) with all entities replaced. The key decides the replacements; keep it secret."""
-    names, secret = known_names(addresses), key.encode()
-    shared = messages.sparkSession.sparkContext.broadcast((names, made_names(names, secret) if surrogates else None))
+    return replaced_fields(messages, addresses, key, surrogates).select("read_ord", "field_name", "text")
+
+
+def left_after_masking(messages: DataFrame, addresses: DataFrame, key: str) -> DataFrame:
+    """(read_ord, field_name, pii_kind): what a second search finds in the masked texts; empty if masking is complete."""
+    rows = masked(messages, addresses, key)
+    shared = messages.sparkSession.sparkContext.broadcast(known_names(addresses))
 
-    @F.pandas_udf("string")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<string>")
+    def again(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            known, made = shared.value
-            yield pd.Series([replace(x, known, secret, surrogates, made) for x in batch])
+            yield pd.Series([sorted({e.kind for e in find(Repaired(x).text, shared.value)}) for x in batch], dtype=object)
 
-    return text_fields(messages).select("read_ord", "field_name", mask("text").alias("text"))
+    return rows.select("read_ord", "field_name", F.explode(again("text")).alias("pii_kind"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import secrets
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,14 +11,15 @@ from postquarry.llm.contamination import leaks
 from postquarry.llm.conversations import conversation_texts, conversations
 from postquarry.llm.encoding import restore_fields
 from postquarry.llm.mixing import mixture, mixture_texts
-from postquarry.llm.personal import masked, personal_data
+from postquarry.llm.personal import left_after_masking, masked, personal_data
 from postquarry.llm.quoting import cut_bodies, passages
 from postquarry.llm.truncation import truncated, truncation_rates
 from postquarry.tables import table
 
 
 VOCABULARY = os.environ.get("TOKENIZER_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-KEY = os.environ.get("MASKING_KEY", "a key for trials only")
+# No key is written here. Without one in the environment each run of the driver has its own, so its replacements can be compared with no other's.
+KEY = os.environ.get("MASKING_KEY") or secrets.token_hex(16)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +39,7 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return personal_data(table(spark, d, "messages"), table(spark, d, "addresses"))
+    return personal_data(table(spark, d, "messages"), table(spark, d, "addresses"), key=KEY)
 
 
 def p3_masked(spark: SparkSession, d: str) -> DataFrame:
@@ -48,6 +50,11 @@ def p3_surrogates(spark: SparkSession, d: str) -> DataFrame:
     return masked(table(spark, d, "messages"), table(spark, d, "addresses"), key=KEY, surrogates=True)
 
 
+def p3_left(spark: SparkSession, d: str) -> DataFrame:
+    """What masking leaves behind; must be empty."""
+    return left_after_masking(table(spark, d, "messages"), table(spark, d, "addresses"), key=KEY)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return passages(table(spark, d, "messages"))
 
@@ -82,6 +89,6 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found, "p1_restored": p1_restored, "p2_found": p2_found, "p2_turns": p2_turns,
-    "p3_found": p3_found, "p3_masked": p3_masked, "p3_surrogates": p3_surrogates, "p4_found": p4_found, "p4_new_text": p4_new_text, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_drawn": p8_drawn, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates,
+    "p3_found": p3_found, "p3_masked": p3_masked, "p3_surrogates": p3_surrogates, "p3_left": p3_left, "p4_found": p4_found, "p4_new_text": p4_new_text, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_drawn": p8_drawn, "p8_shares": p8_shares, "p9_found": p9_found, "p9_rates": p9_rates,
 }
 SQL: dict[str, str] = {}

@@ -161,6 +161,7 @@ def test_bodies(spark):
 
 # ---- personal data
 
+KEY = "key of the tests"
 NAMES = frozenset({"jutta", "berg", "zoë", "martin"})
 
 
@@ -168,7 +169,7 @@ NAMES = frozenset({"jutta", "berg", "zoë", "martin"})
     ("Write to jo_b1@mail.example today", {"email"}), ("jo.b1 at mail dot example", {"email"}), ("jo(at)mail.example", {"email"}), ("Call +44 (0)1632 960 388 ext. 42", {"phone"}), ("Call (030) 23125 636", {"phone"}),
     ("020 7946\n> 0888 it is", {"phone"}), ("Passport ZZ2402487 expires", {"idnum"}), ("Form for 666-23-7132", {"idnum"}), ("Ticket 4493-566 and invoice 201009-76", set()), ("Part no. 35-3706-91, build 1.15.1842", set()),
     ("open 9:15-12:30 on 12.05.2010", set()), ("60 Saddler Terrace, Valmorin", {"street"}), ("129 bis, impasse Sévrier", {"street"}), ("Weberstraße 12", {"street"}), ("Avda. Peñalisa 106", {"street"}), ("Shelf 13, row 8", set()),
-    ("Ask Dr. Unknown about it", {"person"}), ("Dear Quux,", {"person"}), ("thanks, Jutta", {"person"}), ("BERG, Zoë", {"person"}), ("in Berghausen", set()), ("", set()), (None, set()), ("two at most. ok", set()),
+    ("Ask Dr. Unknown about it", {"person"}), ("Dear Quux,", {"person"}), ("thanks, Jutta", {"person"}), ("BERG, Zoë", {"person"}), ("in Berghausen", set()), ("", set()), (None, set()), ("two at most. ok", set()), ("Number QQ 62 29 92 D.\n\nJutta Berg", {"idnum", "person"}),
 ])
 def test_kinds(text, kinds):
     assert {e.kind for e in personal.find(text, NAMES)} == kinds
@@ -228,25 +229,28 @@ def test_what_is_found_in_garbled_text_is_masked(spark):
     a = spark.createDataFrame([(i, n, f"x{i}@y") for i, n in enumerate(["Petronel Müllenbach", "Müllenbach, Petronel", "Stellan Crèvemont", "Crèvemont, Stellan"])], "address_id bigint, addr_name string, addr string")
     rows = [(1, garble("größere Post für Stellan Crèvemont"), garble("„Petronel Müllenbach“ <p.m@mail.example>, überholt; (Müllenbach)!\nWeberstraße 12, schöne Grüße")), (2, "from Crèvemont", "Müllenbach und M&uuml;ller schön")]
     m = spark.createDataFrame(rows, "read_ord bigint, subject string, body_text string")
-    found = {tuple(r) for r in personal.personal_data(m, a).collect()}
+    found = {tuple(r) for r in personal.personal_data(m, a, KEY).collect()}
     assert {(1, "subject", "person"), (1, "body_text", "person"), (1, "body_text", "street"), (1, "body_text", "email"), (2, "body_text", "person")} <= found
     for surrogates in (False, True):
-        out = {(r["read_ord"], r["field_name"]): r["text"] for r in personal.masked(m, a, "k", surrogates).collect()}
+        out = {(r["read_ord"], r["field_name"]): r["text"] for r in personal.masked(m, a, KEY, surrogates).collect()}
         assert not any(x in t for t in out.values() for x in ("llenbach", "vemont", "Weberstra", "Petronel", "p.m@"))
         assert out[(1, "subject")].startswith(garble("größere Post für ")) and out[(1, "body_text")].endswith(garble(", schöne Grüße")) and garble(">, überholt; (") in out[(1, "body_text")]
         assert ")!\n" in out[(1, "body_text")]
-    masked = personal.masked(m, a, "k")
+    assert personal.left_after_masking(m, a, KEY).count() == 0
+    with pytest.raises(ValueError):
+        personal.masked(m, a, "")
+    masked = personal.masked(m, a, KEY)
     back = masked.groupBy("read_ord").pivot("field_name", ["subject", "body_text"]).agg({"text": "first"})
-    assert personal.personal_data(back, a).count() == 0
+    assert personal.personal_data(back, a, KEY).count() == 0
 
 
 def test_tables(spark):
     a = spark.createDataFrame([(i, n, f"x{i}@y") for i, n in enumerate(["Jutta Berg", "Berg, Jutta", "Jutta (Silver Works)", None, "", "A list of many people here"])], "address_id bigint, addr_name string, addr string")
     m = spark.createDataFrame([(1, "from Jutta", "x"), (2, None, None), (3, "", "call 020 7946 0888"), (4, "JÃ¼rgen Jutta".replace("JÃ¼rgen ", ""), "y")], "read_ord bigint, subject string, body_text string")
-    got = {tuple(r) for r in personal.personal_data(m, a).collect()}
+    got = {tuple(r) for r in personal.personal_data(m, a, KEY).collect()}
     assert got == {(1, "subject", "person"), (3, "body_text", "phone"), (4, "subject", "person")}
-    assert "silver" not in personal.known_names(a) and personal.masked(m, a, "k").count() == 5
-    assert personal.personal_data(m.limit(0), a.limit(0)).count() == 0
+    assert "silver" not in personal.known_names(a) and personal.masked(m, a, KEY).count() == 5
+    assert personal.personal_data(m.limit(0), a.limit(0), KEY).count() == 0
 
 
 # ---- evaluation items
@@ -410,3 +414,10 @@ def test_cut_documents(spark):
     rates = {r["source"]: r["texts"] for r in truncation.truncation_rates(d).collect()}
     assert rates == {"s0": 100, "s1": 100, "s2": 100, None: 1}
     assert truncation.truncated(d.limit(0)).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["jo", "at", "(at)", "[ at ]", "AT", "dot", "(dot)", "DOT", ".", "@", " ", "  ", "mail", "x-y", "example", "<", "12", "\t", "\n", "und", "Largo"]), max_size=14))
+def test_cheap_signs_lose_no_match(parts):
+    view = personal._view("".join(parts))
+    assert personal._DISGUISE.search(view) or all("@" in m[0] and personal.EMAIL.match(m[0]) for m in personal.DISGUISED.finditer(view))
