@@ -266,9 +266,15 @@ def _look(line: str) -> str:
     return "text"
 
 
-def units(lines: list[str]) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """Runs of lines of one kind within a paragraph, and the features of each. A run gets one label."""
+# kinds of lines that delimit passages
+MARKS = {"prefix", "indent", "forward", "strict", "attribution", "device"}
+
+
+def units(lines: list[str], hide: bool = False) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """Runs of lines of one kind within a paragraph, and the features of each. A run gets one label. With hide the features don't show the
+    delimiters that seed labels are read from: those lines look like text."""
     looks = [_look(x) for x in lines]
+    plain = (lambda look: "text" if look.rstrip("/") in MARKS or look.startswith("rule") else look) if hide else (lambda look: look)
     blocks = paragraphs(lines)
     flush = any(k not in ("blank", "indent") for k in looks)
     spans, out = [], []
@@ -283,7 +289,7 @@ def units(lines: list[str]) -> tuple[list[tuple[int, int]], list[list[int]]]:
         text = " ".join(block)
         legal = min(4, legal_count(text)) if b - a > 1 or len(text) > 20 else 0
         card = _card(block) or looks[a].startswith("rule") and b - a > 1 and _card(block[1:])
-        upper, first, size = text.isupper(), looks[a], min(8, b - a)
+        upper, first, size = text.isupper(), plain(looks[a]), min(8, b - a)
         after += signed
         i = a
         while i < b:
@@ -296,6 +302,9 @@ def units(lines: list[str]) -> tuple[list[tuple[int, int]], list[list[int]]]:
             before = looks[i - 1] if i > a else "start" if not k else looks[blocks[k - 1][1] - 1] + "/"
             cut = cut or (look == "forward" or look.startswith("rule_") and len(line.strip()) > 18) and near == "header" or look == "header" and before != "header" and near == "header"
             at, last = i - a, lines[e - 1].rstrip()[-1:]
+            kind = look
+            if hide:
+                look, near, before = plain(look), plain(near), plain(before)
             f = [
                 "1", f"l:{look}", f"lb:{look}{before}", f"ln:{look}{near}", f"c:{cut}{look}", f"s:{signed}{min(after, 3)}{look}", f"g:{legal}{upper}{look}", f"gs:{legal}{card}{signed}", f"k:{card}{look}",
                 f"kb:{card}{size}{min(at, 3)}", f"p:{min(k, 3)}{look}", f"t:{i * 4 // n}", f"r:{'a' if line[:1].isalnum() else line.strip()[:1]}", f"e:{'a' if last.isalnum() else last}{look}",
@@ -306,7 +315,7 @@ def units(lines: list[str]) -> tuple[list[tuple[int, int]], list[list[int]]]:
                 f += [f"w:{w.lower()}" for w in WORD.findall(line)[:4]]
             spans.append((i, e))
             out.append([_slot(x) for x in f])
-            if look == "closing" and (near in ("name", "end") or e >= n) or look == "device":
+            if kind == "closing" and (near in ("name", "end") or e >= n) or kind == "device":
                 signed = True
             i = e
         signed = signed or bool(card) or legal >= 2
@@ -382,7 +391,8 @@ def train(bodies: list[str]) -> Model:
             for i, line in enumerate(lines):
                 # blank lines go with the line before, so that blocks hang together
                 labels[i] = labels[i] if line.strip() else labels[i - 1] if i else NEW
-            spans, features = units(lines)
+            # every other body shows no delimiters, so that the model learns what passages look like without them
+            spans, features = units(lines, hide=len(examples) % 2 == 1)
             examples.append((features, [labels[a] for a, _ in spans]))
     return Model.fit(examples)
 
@@ -404,15 +414,6 @@ def label(text: str, model: Model, answered: str | Sequence[str] | None = None)
     lines = lines_of(text)
     spans, features = units(lines)
     labels = [y for (a, b), y in zip(spans, model.decode(features)) for _ in range(a, b)]
-    if DISCLAIMER in labels:
-        for a, b in paragraphs(lines):
-            if DISCLAIMER in labels[a:b] and (not legal_count(" ".join(lines[a:b])) or any(map(HEADER.match, lines[a:b]))):
-                labels[a:b] = [QUOTE if y == DISCLAIMER else y for y in labels[a:b]]
-    for k, (a, b) in enumerate(paragraphs(lines)):
-        # blocks that can't be anything else
-        if k and not any(labels[a:b]):
-            kind = DISCLAIMER if _legal(lines[a:b]) else SIGNATURE if _card(lines[a:b]) else NEW
-            labels[a:b] = [kind] * (b - a)
     texts = [answered] if isinstance(answered, str) else [] if answered is None else answered
     if len(texts):
         for a, b in paragraphs(lines):
