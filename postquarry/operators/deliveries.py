@@ -1,8 +1,8 @@
 """Messages delivered more than once: which rows are one message, the copy to keep, and admission of new batches.
 
-Rows belong to one message if they have the same identifier and sender and their dates are less than a minute from
-the next one. Groups under one identifier are cut into days first, so an identifier that carries a third of all rows
-(a gateway's constant, say) is spread over many tasks.
+Rows belong to one message if they have the same identifier and sender and their dates are less than a minute from the next one. Which minutes
+hang together is worked out on one row per minute that has any, day by day, so an identifier that carries a third of all rows (a gateway's
+constant, say) or a message delivered that often meets only partial aggregates and joins.
 """
 
 from __future__ import annotations
@@ -17,16 +17,21 @@ from postquarry.tables import cut_lineage
 DAY, MINUTE = 86_400 * MICROS, 60 * MICROS
 
 
-def delivery_keys(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """(read_ord, ident, sender, instant_us, fetched_at, batch_id): the fields a delivery is told by.
+def delivery_keys(messages: DataFrame, sources: DataFrame, undated: bool = True) -> DataFrame:
+    """(read_ord, ident, sender, instant_us, content, fetched_at, batch_id): the fields a delivery is told by.
 
-    ident is the hash of the bare identifier; a row without one has its own uid, and uids that hash the
-    identifier as it was written are led back to the one that ignores case. Null where both are missing.
+    ident is the hash of the bare identifier; a row without one has its own uid, and uids that hash the identifier as it was written are led
+    back to the one that ignores case. Null where both are missing. content is a hash of subject, written date and bodies of rows whose date
+    names no instant, null for others; bodies are read only for them, and not at all without undated.
     """
-    rows = messages.select("read_ord", "batch_id", "fetched_at", "source_id", "uid", "message_id", "from_addr", "date_raw")
+    if not undated:
+        messages = messages.withColumns({c: F.lit(None).cast("string") for c in _CONTENT})
+    rows = messages.select("read_ord", "batch_id", "fetched_at", "source_id", "uid", "message_id", "from_addr", "date_raw", *_CONTENT)
     rows = resolve_instants(rows, sources)
     cased, folded = bare_id(F.col("message_id"), fold=False), bare_id(F.col("message_id"))
-    rows = cut_lineage(rows.select("read_ord", "batch_id", "fetched_at", "instant_us", "uid", F.lower("from_addr").alias("sender"), cased.alias("_cased"), folded.alias("_folded")))
+    told = F.concat(*[x for c in ("date_raw", *_CONTENT) for x in (F.coalesce(F.length(c).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(c, F.lit("")))])
+    content = F.when(F.col("instant_us").isNull(), F.sha1(F.encode(told, "utf-8")))
+    rows = cut_lineage(rows.select("read_ord", "batch_id", "fetched_at", "instant_us", "uid", content.alias("content"), F.lower("from_addr").alias("sender"), cased.alias("_cased"), folded.alias("_folded")))
     written = (
         rows.where(F.col("_cased") != F.col("_folded"))
         .select(uid_of_id(F.col("_cased")).alias("uid"), uid_of_id(F.col("_folded")).alias("_led"))
@@ -34,67 +39,97 @@ def delivery_keys(messages: DataFrame, sources: DataFrame) -> DataFrame:
     )
     known = rows.where(F.col("_folded").isNotNull()).withColumn("ident", uid_of_id(F.col("_folded")))
     bare = rows.where(F.col("_folded").isNull()).join(written, "uid", "left").withColumn("ident", F.coalesce("_led", "uid"))
-    kept = ["read_ord", "batch_id", "fetched_at", "instant_us", "sender", "ident"]
+    kept = ["read_ord", "batch_id", "fetched_at", "instant_us", "content", "sender", "ident"]
     return known.select(kept).unionByName(bare.select(kept))
 
 
-def delivery_groups(messages: DataFrame, sources: DataFrame) -> DataFrame:
-    """One row per delivery: read_ord, ident, sender, instant_us, start_us (first instant of its message) and copy_no.
+_CONTENT = ("subject", "body_text", "body_html")
+GROUP = ["ident", "sender", "start_us", "content"]
 
-    copy_no counts from 1 by arrival: fetched_at, then batch_id, then read_ord; 1 is the copy to keep. Rows without
-    an identifier or a resolved date can't be told to be copies: each is a message of its own with copy_no 1. A null
-    sender equals a null sender.
+
+def chained(keys: DataFrame) -> DataFrame:
+    """Rows of delivery_keys with ident, with start_us: the first instant of the message a row delivers; the sender null as empty.
+
+    Rows of one minute are one message; a minute goes on with the one before if less than a minute lies between the last and first of them. A row
+    without an instant has its content in place of a start.
+    """
+    told = keys.where("ident is not null").withColumns({"sender": F.coalesce("sender", F.lit("")), "_minute": F.floor(F.col("instant_us") / MINUTE)})
+    dated = told.where("instant_us is not null")
+    minutes = dated.groupBy("ident", "sender", "_minute").agg(F.min("instant_us").alias("_first"), F.max("instant_us").alias("_last"))
+    minutes = minutes.withColumn("_day", F.floor(F.col("_first") / DAY))
+    # at most 1440 rows a window, and days carry over their last minute and open start
+    in_day = Window.partitionBy("ident", "sender", "_day").orderBy("_minute")
+    days = minutes.groupBy("ident", "sender", "_day").agg(F.max("_last").alias("_end"))
+    by_day = Window.partitionBy("ident", "sender").orderBy("_day")
+    minutes = minutes.join(days.select("ident", "sender", "_day", F.lag("_end").over(by_day).alias("_before")), ["ident", "sender", "_day"])
+    previous = F.coalesce(F.lag("_last").over(in_day), F.col("_before"))
+    begins = previous.isNull() | (F.col("_first") - previous >= MINUTE)
+    minutes = minutes.withColumn("_begin", F.when(begins, F.col("_first")))
+    minutes = minutes.withColumn("_start", F.last("_begin", ignorenulls=True).over(in_day))
+    opened = minutes.groupBy("ident", "sender", "_day").agg(F.max("_begin").alias("_open"))
+    carried = opened.select("ident", "sender", "_day", F.last("_open", ignorenulls=True).over(by_day.rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))
+    starts = minutes.join(carried, ["ident", "sender", "_day"]).select("ident", "sender", "_minute", F.coalesce("_start", "_carried").alias("start_us"))
+    undated = told.where("instant_us is null").withColumn("start_us", F.lit(None).cast("bigint"))
+    return dated.join(starts, ["ident", "sender", "_minute"]).drop("_minute").unionByName(undated.drop("_minute"))
+
+
+def delivery_groups(messages: DataFrame, sources: DataFrame, undated: bool = True) -> DataFrame:
+    """One row per delivery: read_ord, ident, sender, instant_us, start_us, content and the fields of arrival.
+
+    Rows whose date names no instant are copies if identifier, sender and content (subject, written date, bodies) are equal; they have content
+    in place of start_us. Rows without an identifier can't be told to be copies: both are null. A null sender equals a null sender.
     """
-    rows = delivery_keys(messages, sources).withColumn("_day", F.floor(F.col("instant_us") / DAY))
-    whole = F.col("ident").isNotNull() & F.col("instant_us").isNotNull()
-    told = rows.where(whole).withColumn("sender", F.coalesce("sender", F.lit("")))
-    days = told.groupBy("ident", "sender", "_day").agg(F.max("instant_us").alias("_last"))
-    earlier = Window.partitionBy("ident", "sender").orderBy("_day")
-    days = days.withColumn("_before", F.lag("_last").over(earlier))
-    # only a day whose first rows may continue the day before needs the join
-    told = told.join(days.select("ident", "sender", "_day", "_before"), ["ident", "sender", "_day"])
-    in_day = Window.partitionBy("ident", "sender", "_day").orderBy("instant_us")
-    previous = F.coalesce(F.lag("instant_us").over(in_day), F.col("_before"))
-    begins = previous.isNull() | (F.col("instant_us") - previous >= MINUTE)
-    told = told.withColumn("_begin", F.when(begins, F.col("instant_us")))
-    told = told.withColumn("_start", F.last("_begin", ignorenulls=True).over(in_day))
-    # chains that run over midnight: the start is found on an earlier day
-    starts = told.groupBy("ident", "sender", "_day").agg(F.max("_begin").alias("_open"))
-    starts = starts.withColumn("_carried", F.last("_open", ignorenulls=True).over(earlier.rowsBetween(Window.unboundedPreceding, -1)))
-    carried = told.where(F.col("_start").isNull()).join(starts.select("ident", "sender", "_day", "_carried"), ["ident", "sender", "_day"])
-    carried = carried.withColumn("_start", F.col("_carried")).drop("_carried")
-    told = told.where(F.col("_start").isNotNull()).unionByName(carried).withColumnRenamed("_start", "start_us")
-    arrival = Window.partitionBy("ident", "sender", "start_us").orderBy("fetched_at", "batch_id", "read_ord")
-    told = told.withColumn("copy_no", F.row_number().over(arrival))
-    kept = ["read_ord", "ident", "sender", "instant_us", "start_us", "copy_no"]
-    alone = rows.where(~whole).withColumns({"start_us": F.lit(None).cast("bigint"), "copy_no": F.lit(1)})
-    return told.select(kept).unionByName(alone.select(kept))
+    keys = delivery_keys(messages, sources, undated)
+    alone = keys.where("ident is null").withColumn("start_us", F.lit(None).cast("bigint")).withColumn("content", F.lit(None).cast("string"))
+    return chained(keys).unionByName(alone)
+
+
+def first_copies(groups: DataFrame) -> DataFrame:
+    """(read_ord) of the copies to keep: ranked by arrival (fetched_at, then batch_id, then read_ord) the first of each message. Ranks are
+    limited to the first before the shuffle, so a message with very many copies is no hot spot."""
+    arrival = Window.partitionBy(*GROUP).orderBy("fetched_at", "batch_id", "read_ord")
+    ranked = groups.where("ident is not null").select("read_ord", "fetched_at", "batch_id", *GROUP).withColumn("copy_no", F.row_number().over(arrival))
+    return ranked.where("copy_no = 1").select("read_ord").unionByName(groups.where("ident is null").select("read_ord"))
 
 
 def keep_one_copy(messages: DataFrame, sources: DataFrame) -> DataFrame:
     """messages without the repeated deliveries; columns unchanged."""
-    first = delivery_groups(messages, sources).where("copy_no = 1").select("read_ord")
-    return messages.join(first, "read_ord", "left_semi")
+    return messages.join(first_copies(delivery_groups(messages, sources)), "read_ord", "left_semi")
 
 
 def admit_batch(stored: DataFrame, batch: DataFrame, sources: DataFrame) -> DataFrame:
-    """Rows of batch that are neither repeated within it nor delivered among stored rows before (read_ord is unique over both)."""
-    groups = delivery_groups(stored.unionByName(batch, allowMissingColumns=True), sources)
-    groups = groups.join(batch.select("read_ord", F.lit(True).alias("_new")), "read_ord", "left")
-    known = groups.where("_new is null and start_us is not null").select("ident", "sender", "start_us").distinct()
-    fresh = groups.where("_new").join(known, ["ident", "sender", "start_us"], "left_anti")
-    # the first copy in the batch: copy numbers run over both, so the lowest among the batch's own rows counts
-    first = fresh.where("start_us is not null").groupBy("ident", "sender", "start_us").agg(F.min_by("read_ord", "copy_no").alias("read_ord"))
-    keep = first.select("read_ord").unionByName(fresh.where("start_us is null").select("read_ord"))
+    """Rows of batch that are neither repeated within it nor delivered among stored rows before (read_ord is unique over both).
+
+    Of the stored rows only those under identifiers of the batch are looked at.
+    """
+    marked = stored.withColumn("_new", F.lit(False)).unionByName(batch.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+    keys = delivery_keys(marked, sources).join(batch.select("read_ord", F.lit(True).alias("_new")), "read_ord", "left")
+    fresh, old = keys.where("_new"), keys.where("_new is null")
+    met = old.join(fresh.select("ident").where("ident is not null").distinct(), "ident", "left_semi")
+    groups = chained(fresh.unionByName(met.select(fresh.columns)))
+    known = groups.where("_new is null").select(GROUP).distinct()
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ("start_us", "content")]
+    new = groups.where("_new").alias("g").join(known.alias("k"), [F.col("g.ident") == F.col("k.ident"), F.col("g.sender") == F.col("k.sender"), *same], "left_anti")
+    keep = first_copies(new.unionByName(fresh.where("ident is null").withColumn("start_us", F.lit(None).cast("bigint")).select(new.columns)))
     return batch.join(keep, "read_ord", "left_semi")
 
 
+def delivery_classes(messages: DataFrame, sources: DataFrame) -> DataFrame:
+    """(read_ord, class_id, copies): one row per delivery with the least read_ord of its message and the number of its deliveries."""
+    rows = cut_lineage(delivery_groups(messages, sources).select("read_ord", *GROUP))
+    told = rows.where("ident is not null")
+    classes = told.groupBy(GROUP).agg(F.min("read_ord").alias("class_id"), F.count("*").alias("copies"))
+    same = told["ident"].eqNullSafe(classes["ident"]) & told["sender"].eqNullSafe(classes["sender"]) & told["start_us"].eqNullSafe(classes["start_us"]) & told["content"].eqNullSafe(classes["content"])
+    alone = rows.where("ident is null").select("read_ord", F.col("read_ord").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
+    return told.join(classes, same).select("read_ord", "class_id", "copies").unionByName(alone)
+
+
 def delivered_pairs(messages: DataFrame, sources: DataFrame) -> DataFrame:
     """(read_ord_a, read_ord_b), a < b, of rows that deliver one message with dates less than a minute apart.
 
-    Rows meet only in equal or neighbouring minutes of one delivery group.
+    Rows meet only in equal or neighbouring minutes of one message.
     """
-    rows = cut_lineage(delivery_groups(messages, sources).where("start_us is not null"))
+    rows = cut_lineage(delivery_groups(messages, sources, undated=False).where("start_us is not null").select("read_ord", "ident", "sender", "start_us", "instant_us"))
     copies = rows.groupBy("ident", "sender", "start_us").agg(F.count("*").alias("_n")).where("_n > 1")
     rows = rows.join(copies, ["ident", "sender", "start_us"], "left_semi").withColumn("_minute", F.floor(F.col("instant_us") / MINUTE))
     key = ["ident", "sender", "start_us", "_meet"]

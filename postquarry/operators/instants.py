@@ -8,7 +8,7 @@ two mean an ambiguous time, none a time that never was.
 from __future__ import annotations
 
 import datetime as dt
-from functools import reduce
+from functools import lru_cache, reduce
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +43,8 @@ _ORDERS = {"dmy": (3, 2, 1), "mdy": (3, 1, 2), "ymd": (1, 2, 3)}
 # the widths that _count knows; fourteen digits are a date
 _EPOCH = r"^(?:\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})$"
 MICROS = 1_000_000
+# the years mail may be dated in
+FIRST_YEAR, LAST_YEAR = 1970, 2100
 
 
 def _canon(s: Column, pattern: str, groups: tuple[int, ...]) -> Column:
@@ -54,38 +56,41 @@ def _lookup(key: Column, values: dict[str, int]) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def zone_intervals(spark: SparkSession, zones: list[str], first_year: int = 1996, last_year: int = 2014) -> DataFrame:
+@lru_cache(maxsize=1024)
+def _offsets(name: str, first_year: int, last_year: int) -> tuple[tuple[int, tuple[tuple[int, int, int], ...]], ...]:
+    """(month of local time as year * 100 + month, its intervals) of a zone; none for unknown names."""
+    try:
+        zone = ZoneInfo(name)
+    except (KeyError, ValueError, OSError):
+        return ()
+    utc = dt.timezone.utc
+    offset = lambda t: int(dt.datetime.fromtimestamp(t, zone).utcoffset().total_seconds())
+    begin = int(dt.datetime(first_year, 1, 1, tzinfo=utc).timestamp()) - 86400
+    end = int(dt.datetime(last_year + 1, 1, 1, tzinfo=utc).timestamp()) + 86400
+    cuts, now = [(begin, offset(begin))], offset(begin)
+    for day in range(begin, end, 86400):
+        if (then := offset(day + 86400)) != now:
+            low, high = day, day + 86400
+            while high - low > 1:
+                mid = (low + high) // 2
+                low, high = (mid, high) if offset(mid) == now else (low, mid)
+            cuts.append((high, then))
+            now = then
+    months: dict[int, list] = {}
+    for (a, shift), (b, _) in zip(cuts, [*cuts[1:], (end, 0)]):
+        at = dt.datetime.fromtimestamp(a + shift, utc).replace(day=1, hour=0, minute=0, second=0)
+        while at.timestamp() < b + shift:
+            months.setdefault(at.year * 100 + at.month, []).append(((a + shift) * MICROS, (b + shift) * MICROS, shift))
+            at = (at + dt.timedelta(days=32)).replace(day=1)
+    return tuple((m, tuple(x)) for m, x in months.items() if first_year <= m // 100 <= last_year)
+
+
+def zone_intervals(spark: SparkSession, zones: list[str], first_year: int, last_year: int) -> DataFrame:
     """(zone, month, intervals): for every zone and month of local time the intervals of constant offset touching it.
 
-    The size is bounded by the zones of the time-zone database times the months of the range.
+    The size is bounded by the zones of the time-zone database (some 600) times the months of the range.
     """
-    utc, rows = dt.timezone.utc, []
-    for name in sorted(set(zones)):
-        try:
-            zone = ZoneInfo(name)
-        except (KeyError, ValueError, OSError):
-            continue
-        offset = lambda t, z=zone: int(dt.datetime.fromtimestamp(t, utc).astimezone(z).utcoffset().total_seconds())
-        begin = int(dt.datetime(first_year, 1, 1, tzinfo=utc).timestamp()) - 86400
-        end = int(dt.datetime(last_year + 1, 1, 1, tzinfo=utc).timestamp()) + 86400
-        cuts, now = [begin], offset(begin)
-        for day in range(begin, end, 86400):
-            if offset(day + 86400) != now:
-                low, high = day, day + 86400
-                while high - low > 1:
-                    mid = (low + high) // 2
-                    low, high = (mid, high) if offset(mid) == now else (low, mid)
-                cuts.append(high)
-                now = offset(day + 86400)
-        months: dict[int, list] = {}
-        for a, b in zip(cuts, [*cuts[1:], end]):
-            shift = offset(a)
-            low, high = a + shift, b + shift
-            at = dt.datetime.fromtimestamp(low, utc).replace(day=1, hour=0, minute=0, second=0)
-            while at.timestamp() < high:
-                months.setdefault(at.year * 100 + at.month, []).append((low * MICROS, high * MICROS, shift))
-                at = (at + dt.timedelta(days=32)).replace(day=1)
-        rows += [(name, m, x) for m, x in months.items() if first_year <= m // 100 <= last_year]
+    rows = [(name, m, list(x)) for name in sorted(set(zones)) for m, x in _offsets(name, first_year, last_year)]
     kind = "zone string, month int, intervals array<struct<low: bigint, high: bigint, shift: int>>"
     return spark.createDataFrame(rows, kind)
 
@@ -170,21 +175,22 @@ def written_fields(raw: Column, order: Column) -> Column:
     return _let(F.trim(F.regexp_replace(raw, r"(?U)\s+", " ")), lambda s: _let(_canonical(s, order), read))
 
 
-def resolve_instants(messages: DataFrame, sources: DataFrame, first_year: int = 1997, last_year: int = 2013) -> DataFrame:
+def resolve_instants(messages: DataFrame, sources: DataFrame, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
     """messages with instant_us (microseconds since 1970 UTC, null where the writing names no single instant).
 
     A null or unknown source leaves dates without a zone unresolved. Missing, blank and undated text, days without a
-    time, days that do not exist and local times that occur twice or never give null. Sources are few; their zones
+    time, days that do not exist and local times that occur twice or never give null, as do dates without a zone outside of first_year to last_year. Sources are few; their zones
     are read to build the interval table. Columns of messages are kept; repeated source ids count once.
     """
     clocks = sources.where("source_id is not null").groupBy("source_id").agg(
         F.min("home_zone").alias("_home"), F.min("date_order").alias("_order")
     )
     zones = [r[0] for r in sources.select("home_zone").where("home_zone is not null").distinct().collect()]
-    table = zone_intervals(messages.sparkSession, zones, first_year - 1, last_year + 1)
+    table = zone_intervals(messages.sparkSession, zones, first_year, last_year)
+    # a megabyte for each dozen zones
     months = table.select(F.col("zone").alias("_home"), F.col("month").alias("_month"), "intervals")
     df = messages.join(clocks, "source_id", "left").withColumn("_w", written_fields(F.col("date_raw"), F.col("_order")))
-    df = df.withColumn("_month", F.when(~F.col("_w.zoned"), F.col("_w.month"))).join(months, ["_home", "_month"], "left")
+    df = df.withColumn("_month", F.when(~F.col("_w.zoned"), F.col("_w.month"))).join(F.broadcast(months), ["_home", "_month"], "left")
     local = F.col("_w.local")
     held = F.filter("intervals", lambda x: (x["low"] <= local) & (local < x["high"]))
     one = _let(held, lambda x: F.when(F.size(x) == 1, local - F.get(x, F.lit(0))["shift"].cast("bigint") * MICROS))

@@ -715,7 +715,7 @@ def parse_rfc_date(spark: SparkSession, d: str) -> DataFrame:
 
     written = F.concat(F.date_format("ts", "dd MMM yyyy HH:mm:ss"), F.lit(" +0000"))
     rows = table(spark, d, "events").select(F.col("event_id").alias("read_ord"), F.lit(None).cast("int").alias("source_id"), written.alias("date_raw"))
-    done = resolve_instants(rows, table(spark, d, "sources"), last_year=2030)
+    done = resolve_instants(rows, table(spark, d, "sources"))
     return done.select(F.col("read_ord").alias("event_id"), as_timestamp(F.col("instant_us")).alias("parsed"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postquarry.operators.deliveries import delivered_pairs, keep_one_copy
+from postquarry.operators.deliveries import delivered_pairs, delivery_classes, keep_one_copy
 from postquarry.operators.instants import as_timestamp, misread, resolve_instants
 from postquarry.tables import table
 
@@ -29,5 +29,9 @@ def p6_instants(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("read_ord", "date_raw", as_timestamp(F.col("instant_us")).alias("instant"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_kept": p5_kept, "p6_found": p6_found, "p6_instants": p6_instants}
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return delivery_classes(table(spark, d, "messages"), table(spark, d, "sources"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_kept": p5_kept, "p5_classes": p5_classes, "p6_found": p6_found, "p6_instants": p6_instants}
 SQL: dict[str, str] = {}

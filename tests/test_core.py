@@ -66,12 +66,12 @@ def test_local_times_agree_with_the_zone_database(spark):
         assert r["instant_us"] == (real.pop() * 1_000_000 if len(real) == 1 else None), (z, t)
 
 
-MAIL = "read_ord bigint, batch_id bigint, fetched_at timestamp_ntz, source_id int, uid string, message_id string, from_addr string, date_raw string, ident string"
+MAIL = "read_ord bigint, batch_id bigint, fetched_at timestamp_ntz, source_id int, uid string, message_id string, from_addr string, date_raw string, ident string, subject string, body_text string, body_html string"
 AT = dt.datetime(2014, 1, 1)
 
 
 def mails(spark, rows):
-    return spark.createDataFrame([(r[0], 0, r[4] if len(r) > 4 else AT, 1, None, r[1], r[2], r[3], "own") for r in rows], MAIL)
+    return spark.createDataFrame([(r[0], 0, r[4] if len(r) > 4 else AT, 1, None, r[1], r[2], r[3], "own", None, r[5] if len(r) > 5 else "t", None) for r in rows], MAIL)
 
 
 def brute_pairs(rows, instant):
@@ -293,3 +293,29 @@ def test_links_and_recovery():
     assert H.sanitize('<img src="a.gif">', block_remote=False) == ('<img src="a.gif">', 0)
     lost = "<title>never closed <body><p>" + "words of the message " * 5
     assert "words of the message" in H.sanitize(lost)[0]
+
+
+def test_undated_copies_and_classes(spark, clocks):
+    date = "Mon, 5 Jun 2000 10:00:00 +0000"
+    rows = [
+        (1, "<a@x>", "s", None, AT, "t"), (2, "A@x", "S", None, AT, "t"), (3, "a@x", "s", None, AT, "other"), (4, "a@x", "s", "soon", AT, "t"), (5, None, "s", None, AT, "t"), (6, None, "s", None, AT, "t"),
+        (7, "a@x", "s", date, AT, "t"), (8, "a@x", None, date, AT, "t"), (9, "a@x", None, date, AT, "u"),
+    ]
+    df = mails(spark, rows)
+    assert sorted(r[0] for r in deliveries.keep_one_copy(df, clocks).select("read_ord").collect()) == [1, 3, 4, 5, 6, 7, 8]
+    got = {r["read_ord"]: (r["class_id"], r["copies"]) for r in deliveries.delivery_classes(df, clocks).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1), 6: (6, 1), 7: (7, 1), 8: (8, 2), 9: (8, 2)}
+    new = mails(spark, [(21, "a@x", "s", None, AT, "t"), (22, "b@x", "s", None, AT, "t"), (23, "b@x", "s", None, AT, "t"), (24, None, "s", None, AT, "t"), (25, "a@x", "s", date, AT, "t"), (26, "a@x", "s", None, AT, "new")])
+    assert sorted(r[0] for r in deliveries.admit_batch(df, new, clocks).select("read_ord").collect()) == [22, 24, 26]
+    assert deliveries.admit_batch(df.limit(0), new.limit(0), clocks).count() == 0
+
+
+def test_first_copies_are_ranked_before_the_shuffle(spark, clocks):
+    plan = deliveries.keep_one_copy(mails(spark, [(1, "a@x", "s", None)]), clocks)._jdf.queryExecution().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan[plan.index("WindowGroupLimit") :]
+
+
+def test_dates_of_all_mail_years(spark, clocks):
+    rows = [(1, 1, "1975-06-05 10:00:00"), (2, 1, "2050-07-05 10:00:00"), (3, 1, "1901-06-05 10:00:00"), (4, 1, "2101-06-05 10:00:00")]
+    got = [r["instant_us"] for r in instants.resolve_instants(spark.createDataFrame(rows, "read_ord bigint, source_id int, date_raw string"), clocks).orderBy("read_ord").collect()]
+    assert got == [us(1975, 6, 5, 9), us(2050, 7, 5, 8), None, None]
