@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -103,30 +104,41 @@ def folder_sort_key(path: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _folding() -> tuple[str, str, dict[str, str]]:
-    """Characters that fold to one character, and those that fold to several, by compatibility decomposition."""
+    """Characters that fold to one character, and those that fold to several, by compatibility decomposition: all letters of Latin, Greek and
+    Cyrillic scripts, and whatever else gives something a token may hold."""
     one, to, many = [], [], {}
-    for cp in [*range(0xA0, 0x0590), *range(0x1E00, 0x2200), *range(0x2460, 0x24F0), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    scripts = {*range(0xA0, 0x0590), *range(0x1E00, 0x2200)}
+    for cp in [*range(0xA0, 0xD800), *range(0xE000, 0x20000)]:
         c = chr(cp)
         folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(folded) == 1 and folded != c:
+        if folded == c or not folded or cp not in scripts and not any(x.isascii() and (x.isalnum() or x in "'._+-") for x in folded):
+            continue
+        if len(folded) == 1:
             one.append(c)
             to.append(folded)
-        elif len(folded) > 1:
+        else:
             many[c] = folded
     return "".join(one), "".join(to), many
 
 
-# Those of several characters that mail really has; others keep to the Python function mail_fold.
-LIGATURES = ["…", "™", "ﬁ", "ﬂ", "ﬀ", "¼", "½", "¾", "№", "ĳ"]
+@lru_cache(maxsize=1)
+def _marks() -> str:
+    """Class of the characters that combine with the one before."""
+    marks = [c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]
+    starts = [c for c in marks if not unicodedata.combining(chr(c - 1))]
+    ends = [c for c in marks if not unicodedata.combining(chr(c + 1))]
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
 
 
 def fold(c: Column) -> Column:
-    """Lower case without accents. Covers all letters of Latin, Greek and Cyrillic scripts that fold to one, and common signs."""
+    """Lower case without accents, signs of several letters written out. What no token may hold may stay as it is."""
     one, to, many = _folding()
-    out = text(c)
-    for sign in LIGATURES:
-        out = F.replace(out, F.lit(sign), F.lit(many.get(sign, sign)))
-    return F.lower(F.regexp_replace(F.translate(out, one, to), r"[̀-ͯ]+", ""))
+    held = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
+    signs = "[" + "".join(re.escape(x) for x in many) + "]"
+    written = F.array_join(F.transform(F.split(text(c), ""), lambda x: F.coalesce(F.try_element_at(held, x), x)), "")
+    out = F.when(text(c).rlike(signs), written).otherwise(text(c))
+    plain = F.translate(out, one, to)
+    return F.lower(F.when(plain.rlike(r"[\p{M}\p{Cn}]"), F.regexp_replace(plain, _marks(), "")).otherwise(plain))
 
 
 def whole_tokens(c: Column) -> Column:
@@ -148,8 +160,6 @@ def tokenize(c: Column) -> Column:
 
 def query_terms(query: str) -> list[str]:
     """Terms of a query: folded like the index, without pieces, repeats kept."""
-    import re
-
     folded = "".join(x for x in unicodedata.normalize("NFKD", query.lower()) if not unicodedata.combining(x))
     return [t for m in re.finditer(r"[a-z0-9][a-z0-9'._+\-]*", folded) if len(t := m[0].strip("'._+-")) > 1]
 
@@ -194,6 +204,11 @@ def priority_rank(name: Column) -> Column:
     return F.coalesce(mapping(name, S.PRIORITY_RANK), F.lit(0))
 
 
+def status_flags(c: Column) -> Column:
+    """Struct of unread (a status is given and doesn't say read) and flagged of the Status and X-Status headers' letters."""
+    return F.struct(((text(c) != "") & ~text(c).contains("R")).alias("unread"), text(c).contains("F").alias("flagged"))
+
+
 def folder_from_filename(c: Column) -> Column:
     stem = F.regexp_replace(F.regexp_extract(text(c), "([^/]*)$", 1), r"(?i)(\.(gz|bz2|xz|lzma|z|mbox|mbx|mbs))+$", "")
     return normalize_folder(stem)
@@ -233,8 +248,6 @@ def linkify_addresses(c: Column) -> Column:
 
 def highlight(c: Column, words: list[str]) -> Column:
     """Marks the words, after escaping what HTML reads as markup."""
-    import re
-
     out = text(c)
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         out = F.replace(out, F.lit(char), F.lit(entity))

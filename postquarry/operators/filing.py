@@ -12,13 +12,16 @@ from postquarry.functions.text import first_address, header_value
 def dedupe_longest(messages: DataFrame, uid: str = "uid", order: str = "read_ord", length: Column | None = None) -> DataFrame:
     """One row per uid: the copy with the longest body, the earliest among equals, in the place of the first arrival (slot).
 
-    Partial maxima are taken before the shuffle, so a uid with many copies is no hot spot. Rows without a uid are dropped.
+    The copy is chosen by lengths alone and then fetched by its place in reading order, which is unique, so no body goes through the choice and only
+    columns that are asked for through the join. Partial maxima are taken before the shuffle, so a uid with many copies is no hot spot. Rows without
+    a uid are dropped.
     """
     body = length if length is not None else F.length(F.coalesce("body_text", F.lit(""))) + F.length(F.coalesce("body_html", F.lit("")))
+    sized = messages.where(F.col(uid).isNotNull()).select(F.col(uid).alias("_uid"), F.col(order).alias("_o"), body.alias("_n"))
+    longest = sized.groupBy("_uid").agg(F.max("_n").alias("_most"), F.min("_o").alias("slot"), F.count("*").alias("copies"))
+    best = sized.join(longest, "_uid").where("_n = _most").groupBy("_uid").agg(F.min("_o").alias("_o"), F.first("slot").alias("slot"), F.first("copies").alias("copies"))
     kept = [c for c in messages.columns if c != uid]
-    best = F.max_by(F.struct(*kept), F.struct(body.alias("n"), (-F.col(order)).alias("o")))
-    found = messages.where(F.col(uid).isNotNull()).groupBy(uid).agg(best.alias("_row"), F.min(order).alias("slot"), F.count("*").alias("copies"))
-    return found.select(uid, "_row.*", "slot", "copies")
+    return messages.join(best, (F.col(order) == F.col("_o")) & (F.col(uid) == F.col("_uid"))).select(uid, *kept, "slot", "copies")
 
 
 def first_uids(messages: DataFrame, n: int, uid: str = "uid", order: str = "read_ord") -> DataFrame:
@@ -71,6 +74,17 @@ def with_ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
+def account_addresses(addresses: DataFrame, key: str = "read_ord") -> DataFrame:
+    """(key, addrs): all different addresses of a message in lower case, sorted; messages without any have no row."""
+    rows = addresses.where(F.coalesce("addr", F.lit("")) != "")
+    return rows.groupBy(key).agg(F.array_sort(F.collect_set(F.lower("addr"))).alias("addrs"))
+
+
+def expanded_to(folders: DataFrame, target: str) -> DataFrame:
+    """(path) of the folders that are open where a target is shown: itself and all above it."""
+    return folders.select("path").where(F.array_contains(with_ancestors(F.lit(target)), F.col("path")))
+
+
 def folder_tree(messages: DataFrame, path: str = "path") -> DataFrame:
     """(path, name, depth, parent, count, unread): every folder that has messages or lies above one. Counts are of the folder itself."""
     own = messages.groupBy(path).agg(F.count("*").alias("count"), F.sum(F.col("unread").cast("int")).alias("unread"))

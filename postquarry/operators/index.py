@@ -37,16 +37,32 @@ def postings(docs: DataFrame, key: str, fields: dict[int, Column], caps: dict[in
     return merged.where(~F.col("token").isin(S.STOPWORDS)).select(key, "token", "mask")
 
 
+SPAN = 4096  # documents a block of a posting list covers, so that the list of a word most documents have is many blocks
+
+
 def deltas(rows: DataFrame, key: str = "gid") -> DataFrame:
-    """postings with delta: distance of a document from the one before in its token's list."""
-    w = Window.partitionBy("token").orderBy(key)
-    return rows.withColumn("delta", F.col(key) - F.coalesce(F.lag(key).over(w), F.lit(0)))
+    """postings with delta: distance of a document from the one before in its token's list. Blocks hand over their last document."""
+    rows = rows.withColumn("_block", F.floor(F.col(key) / SPAN))
+    by_block = Window.partitionBy("token").orderBy("_block")
+    ends = rows.groupBy("token", "_block").agg(F.max(key).alias("_last")).select("token", "_block", F.lag("_last").over(by_block).alias("_ahead"))
+    before = F.lag(key).over(Window.partitionBy("token", "_block").orderBy(key))
+    joined = rows.withColumn("_before", before).join(ends, ["token", "_block"])
+    return joined.withColumn("delta", F.col(key) - F.coalesce("_before", "_ahead", F.lit(0))).drop("_block", "_before", "_ahead")
 
 
 def undo_deltas(rows: DataFrame) -> DataFrame:
-    """(token, pos, delta, mask) back to gid."""
-    w = Window.partitionBy("token").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("gid", F.sum("delta").over(w))
+    """(token, pos, delta, mask) back to gid: sums within blocks of places, and the sums of the blocks before."""
+    rows = rows.withColumn("_block", F.floor(F.col("pos") / SPAN))
+    earlier = Window.partitionBy("token").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("token", "_block").agg(F.sum("delta").alias("_sum")).select("token", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_ahead"))
+    inside = F.sum("delta").over(Window.partitionBy("token", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_in", inside).join(sums, ["token", "_block"]).withColumn("gid", F.col("_ahead") + F.col("_in")).drop("_block", "_in", "_ahead")
+
+
+def posting_blocks(rows: DataFrame, key: str = "gid") -> DataFrame:
+    """(token, block, entries): the list of a token as text, document:mask by document, a row for every SPAN of documents that has any."""
+    lists = rows.groupBy("token", F.floor(F.col(key) / SPAN).alias("block")).agg(F.sort_array(F.collect_list(F.struct(key, "mask"))).alias("_l"))
+    return lists.select("token", "block", F.array_join(F.transform("_l", lambda p: F.concat_ws(":", p[key].cast("string"), p["mask"].cast("string"))), " ").alias("entries"))
 
 
 def index_meta(rows: DataFrame, key: str = "gid") -> DataFrame:
@@ -63,7 +79,7 @@ def shards(rows: DataFrame) -> DataFrame:
 
 def write_index(rows: DataFrame, path: str, length: int = 2) -> None:
     sharded = rows.withColumn("shard", shard_of(F.col("token"), length))
-    sharded.repartition("shard").sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(path)
+    sharded.repartitionByRange("shard", "token").sortWithinPartitions("shard", "token").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def matches(rows: DataFrame, query: str, key: str = "gid", prefix: str = "all", shard_len: int = 1, drop_stopwords: bool = False, exact: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from postquarry.functions import identity, text as X
 from postquarry.functions.compose import mailto
 from postquarry.functions.html import sanitize_column, strip_tags_column, text_html_column
 from postquarry.operators import filing, index, listing, manifest
-from postquarry.tables import table
+from postquarry.tables import cut_lineage, new_table, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,7 +76,7 @@ STOP = ", ".join(map(lit, S.STOPWORDS))
 POSTINGS = f"""WITH fields AS (
   SELECT doc_id AS gid, unnest({tokens_sql('subject')}) AS token, 1 AS mask FROM documents
   UNION ALL SELECT doc_id, unnest({tokens_sql('source')}), 2 FROM documents
-  UNION ALL SELECT doc_id, unnest(list_slice({tokens_sql('text')}, 1, {S.BODY_TOKENS})), 8 FROM documents),
+  UNION ALL SELECT doc_id, unnest({tokens_sql('text')}), 8 FROM documents),
 postings AS (SELECT gid, token, bit_or(mask) AS mask FROM fields WHERE token NOT IN ({STOP}) GROUP BY gid, token)"""
 EPOCH = "CAST(floor(epoch(posted_at)) AS BIGINT)"
 SCORE = "60 * (mask & 1) + 40 * ((mask >> 1) & 1) + 15 * ((mask >> 2) & 1) + 6 * ((mask >> 3) & 1) + 12 * ((mask >> 4) & 1)"
@@ -94,7 +94,35 @@ SELECT gid, CAST(mask AS INTEGER) AS mask, round(score, 6) AS score FROM scored
 
 def doc_postings(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").withColumnRenamed("doc_id", "gid")
-    return index.postings(docs, "gid", {1: F.col("subject"), 2: F.col("source"), 8: F.col("text")}, {8: S.BODY_TOKENS})
+    return index.postings(docs, "gid", {1: F.col("subject"), 2: F.col("source"), 8: F.col("text")})
+
+
+_kept: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, d: str, name: str, make: Callable[[], object]):
+    """What make() gives, made once in an application for the tables of a directory as they are now: archives and indexes are built once and queried often."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(d)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, d, name, state)
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def written_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the documents, written by shard and sorted by token, so that a search reads the row groups of its terms."""
+
+    def make() -> DataFrame:
+        path = new_table(spark)
+        index.write_index(doc_postings(spark, d), path, SHARD)
+        return spark.read.parquet(path)
+
+    return once(spark, d, "index", make)
+
+
+SHARD = 2
 
 
 def epoch_of(c: str) -> Column:
@@ -103,7 +131,7 @@ def epoch_of(c: str) -> Column:
 
 def run_search(spark: SparkSession, d: str, words: str, scope: Column | None = None, **options) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("gid"), "source", epoch_of("posted_at").alias("epoch"))
-    found = index.search(doc_postings(spark, d), docs, words, scope=scope, **options)
+    found = index.search(written_index(spark, d), docs, words, scope=scope, shard_len=SHARD, **options)
     return found.select("gid", "mask", F.round("score", 6).alias("score"))
 
 
@@ -158,10 +186,9 @@ def postings_decode_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return index.undo_deltas(coded.select("token", "pos", "delta", "mask")).select("gid", "token", "mask")
 
 
-@query(f"{POSTINGS} SELECT token, string_agg(CAST(gid AS VARCHAR) || ':' || CAST(mask AS VARCHAR), ' ' ORDER BY gid) AS entries FROM postings GROUP BY token")
+@query(f"{POSTINGS} SELECT token, gid // {index.SPAN} AS block, string_agg(CAST(gid AS VARCHAR) || ':' || CAST(mask AS VARCHAR), ' ' ORDER BY gid) AS entries FROM postings GROUP BY ALL")
 def posting_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = doc_postings(spark, d).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("gid", "mask"))).alias("_l"))
-    return lists.select("token", F.array_join(F.transform("_l", lambda p: F.concat_ws(":", p["gid"].cast("string"), p["mask"].cast("string"))), " ").alias("entries"))
+    return index.posting_blocks(doc_postings(spark, d))
 
 
 LENGTH = "CASE WHEN count(DISTINCT token) > 120000 THEN 3 WHEN count(DISTINCT token) > 12000 THEN 2 ELSE 1 END"
@@ -193,10 +220,12 @@ def token_subparts(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT doc_id, {tokens_sql('text')} AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CAST(len(t) AS INTEGER) AS emitted, CAST(least(len(t), 100) AS INTEGER) AS taken, len(list_distinct(list_slice(t, 1, 100))) AS kinds FROM t""")
+SELECT doc_id, CAST(len(t) AS INTEGER) AS emitted, CAST(least(len(t), {S.BODY_TOKENS}) AS INTEGER) AS taken, len(list_distinct(list_slice(t, 1, {S.BODY_TOKENS}))) AS kinds FROM t""")
 def body_token_cap(spark: SparkSession, d: str) -> DataFrame:
+    """The index's option of a bound on the tokens of a field."""
     docs = table(spark, d, "documents").where("text is not null").select("doc_id", X.tokenize(F.col("text")).alias("t"))
-    return docs.select("doc_id", F.size("t").alias("emitted"), F.least(F.size("t"), F.lit(100)).alias("taken"), F.size(F.array_distinct(F.slice("t", 1, 100))).cast("bigint").alias("kinds"))
+    capped = F.slice("t", 1, S.BODY_TOKENS)
+    return docs.select("doc_id", F.size("t").alias("emitted"), F.size(capped).alias("taken"), F.size(F.array_distinct(capped)).cast("bigint").alias("kinds"))
 
 
 @query(f"{POSTINGS} SELECT CAST(mask AS INTEGER) AS mask, count(*) AS n FROM postings GROUP BY mask")
@@ -231,9 +260,10 @@ def normalize_subject(spark: SparkSession, d: str) -> DataFrame:
 LIST_SUBJECT = f"lower(regexp_replace(coalesce(subject,''), '(?i)^{WS}*(?:(?:re|fwd?|aw|sv){WS}*:{WS}*)+', ''))"
 
 
-@query(f"SELECT read_ord, {LIST_SUBJECT} AS key FROM messages")
+@query(f"SELECT read_ord, {LIST_SUBJECT} AS key, row_number() OVER (ORDER BY {LIST_SUBJECT}, read_ord) AS place FROM messages")
 def list_subject_sort(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").select("read_ord", X.list_subject(F.col("subject")).alias("key")).orderBy("key", "read_ord")
+    rows = table(spark, d, "messages").select("read_ord", X.list_subject(F.col("subject")).alias("key"))
+    return listing.ranked(rows, [F.asc("key"), F.asc("read_ord")])
 
 
 @query(f"SELECT folder, {folder_sql('folder')} AS norm, count(*) AS n FROM messages GROUP BY ALL")
@@ -242,27 +272,39 @@ def normalize_folder(spark: SparkSession, d: str) -> DataFrame:
 
 
 MAIL = f"""WITH mail AS (SELECT *, {id_sql('message_id')} AS mid, {folder_sql('folder')} AS box, CAST(floor(epoch(sent_at)) AS BIGINT) AS epoch,
-  replace(coalesce(account,''), '/', '_') || '/' || coalesce(CAST(year(sent_at) AS VARCHAR), 'Undated') || '/' || ({folder_sql('folder')}) AS path,
-  list_filter(list_transform(refs, lambda x: {id_sql('x')}), lambda x: x <> '') AS ids FROM messages WHERE account IS NOT NULL AND account <> ''),
+  replace(coalesce(nullif(account,''), '{S.UNKNOWN_ACCOUNT}'), '/', '_') || '/' || coalesce(CAST(year(sent_at) AS VARCHAR), 'Undated') || '/' || ({folder_sql('folder')}) AS path,
+  list_filter(list_transform(refs, lambda x: {id_sql('x')}), lambda x: x <> '') AS ids FROM messages),
 keyed AS (SELECT *, CASE WHEN mid <> '' THEN substr(sha1('mid' || chr(0) || mid), 1, 20) ELSE coalesce(uid, 'r' || read_ord) END AS key,
   coalesce(nullif(ids[1], ''), nullif({id_sql('in_reply_to')}, ''), nullif(mid, ''), uid, 'r' || read_ord) AS thread FROM mail)"""
 ONE = f"""{MAIL}, one AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY length(coalesce(body_text,'')) + length(coalesce(body_html,'')) DESC, read_ord) = 1)"""
 
 
 def mail(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "messages").where("account is not null and account <> ''")
+    """The deliveries with bare identifier, folder, place and thread; mail without an account is placed under the unknown one."""
+    rows = table(spark, d, "messages")
     ids = F.filter(F.transform("refs", lambda x: X.clean_message_id(x)), lambda x: x != "")
     box = X.normalize_folder(F.col("folder"))
-    rows = rows.withColumns({"mid": X.clean_message_id(F.col("message_id")), "box": box, "epoch": epoch_of("sent_at"), "path": X.place(F.col("account"), X.year_folder(F.col("sent_at")), box), "ids": ids})
+    account = F.coalesce(F.nullif("account", F.lit("")), F.lit(S.UNKNOWN_ACCOUNT))
+    rows = rows.withColumns({"mid": X.clean_message_id(F.col("message_id")), "box": box, "epoch": epoch_of("sent_at"), "path": X.place(account, X.year_folder(F.col("sent_at")), box), "ids": ids})
     other = F.coalesce("uid", F.concat(F.lit("r"), F.col("read_ord").cast("string")))
     known = F.substring(F.sha1(F.concat(F.lit(b"mid\x00"), F.encode("mid", "utf-8"))), 1, 20)
     return rows.withColumns({"key": F.when(F.col("mid") != "", known).otherwise(other), "thread": X.thread_key(F.col("ids"), X.clean_message_id(F.col("in_reply_to")), F.col("mid"), other)})
 
 
 def one_each(spark: SparkSession, d: str) -> DataFrame:
+    """The archive's messages without repeated ones."""
     return filing.dedupe_longest(mail(spark, d).withColumnRenamed("uid", "given_uid"), "key").withColumnRenamed("key", "uid")
 
 
+LISTED = ["uid", "read_ord", "slot", "copies", "account", "folder", "box", "path", "epoch", "sent_at", "subject", "from_addr", "mid", "thread", "priority", "unread", "flagged", "has_attachments", "size_bytes", "batch_id"]
+
+
+def archive(spark: SparkSession, d: str) -> DataFrame:
+    """What lists, trees and runs need of one_each, published once as a table without bodies; content is the hash of what pages show."""
+    content = identity.content_hash(F.col("subject"), F.col("body_text"))
+    return once(spark, d, "archive", lambda: cut_lineage(one_each(spark, d).select(*LISTED, content.alias("content"))))
+
+
 @query(f"{MAIL} SELECT path, count(*) AS n FROM keyed GROUP BY path")
 def place_path(spark: SparkSession, d: str) -> DataFrame:
     return mail(spark, d).groupBy("path").agg(F.count("*").alias("n"))
@@ -385,15 +427,17 @@ def account_explicit(spark: SparkSession, d: str) -> DataFrame:
     return filing.explicit_accounts(rows, "l", GIVEN).select("read_ord", "account")
 
 
-@query("SELECT DISTINCT replace(account, '/', '_') AS account FROM messages WHERE coalesce(account,'') <> ''")
+@query(f"{MAIL} SELECT root, row_number() OVER (ORDER BY root) AS place FROM (SELECT DISTINCT split_part(path, '/', 1) AS root FROM keyed)")
 def account_roots(spark: SparkSession, d: str) -> DataFrame:
-    return mail(spark, d).select(F.replace(F.col("account"), F.lit("/"), F.lit("_")).alias("account")).distinct().orderBy("account")
+    from pyspark.sql import Window
+
+    roots = mail(spark, d).select(F.split("path", "/")[0].alias("root")).distinct()
+    return roots.withColumn("place", F.row_number().over(Window.orderBy("root")).cast("bigint"))
 
 
 @query("SELECT read_ord, array_to_string(list_sort(list(DISTINCT lower(addr))), ',') AS addrs FROM addresses WHERE coalesce(addr,'') <> '' GROUP BY read_ord")
 def all_addresses(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "addresses").where("coalesce(addr, '') <> ''")
-    return rows.groupBy("read_ord").agg(F.array_join(F.array_sort(F.collect_set(F.lower("addr"))), ",").alias("addrs"))
+    return filing.account_addresses(table(spark, d, "addresses")).select("read_ord", F.array_join("addrs", ",").alias("addrs"))
 
 
 # ---- tree
@@ -404,29 +448,29 @@ above AS (SELECT path AS src, array_to_string(list_slice(string_split(path, '/')
 
 @query(f"""{TREE} SELECT path, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth, CAST(sum(CASE WHEN src = path THEN n ELSE 0 END) AS BIGINT) AS count, CAST(sum(CASE WHEN src = path THEN u ELSE 0 END) AS BIGINT) AS unread FROM above GROUP BY path""")
 def folder_tree(spark: SparkSession, d: str) -> DataFrame:
-    return filing.folder_tree(one_each(spark, d)).select("path", "depth", "count", "unread")
+    return filing.folder_tree(archive(spark, d)).select("path", "depth", "count", "unread")
 
 
 @query(f"{TREE} SELECT DISTINCT path FROM above")
 def tree_ancestors(spark: SparkSession, d: str) -> DataFrame:
-    return one_each(spark, d).select("path").distinct().select(F.explode(filing.with_ancestors(F.col("path"))).alias("path")).distinct()
+    return archive(spark, d).select("path").distinct().select(F.explode(filing.with_ancestors(F.col("path"))).alias("path")).distinct()
 
 
 @query(f"{TREE} SELECT path, CAST(sum(u) AS BIGINT) AS unread FROM above GROUP BY path")
 def tree_unread_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return filing.branch_unread(one_each(spark, d)).select("path", F.coalesce("unread", F.lit(0)).alias("unread"))
+    return filing.branch_unread(archive(spark, d)).select("path", F.coalesce("unread", F.lit(0)).alias("unread"))
 
 
 @query(f"{ONE} SELECT account, coalesce(CAST(year(sent_at) AS VARCHAR), 'Undated') AS y, box, count(*) AS n FROM one GROUP BY ROLLUP (account, y, box)")
 def tree_rollup_builtin(spark: SparkSession, d: str) -> DataFrame:
-    return one_each(spark, d).select("account", X.year_folder(F.col("sent_at")).alias("y"), "box").rollup("account", "y", "box").agg(F.count("*").alias("n"))
+    return archive(spark, d).select("account", X.year_folder(F.col("sent_at")).alias("y"), "box").rollup("account", "y", "box").agg(F.count("*").alias("n"))
 
 
 @query(f"""{TREE}, tree AS (SELECT DISTINCT path, split_part(path, '/', -1) AS name, regexp_replace(path, '/[^/]*$', '') AS parent FROM above),
 years AS (SELECT * FROM tree WHERE regexp_full_match(name, '(19|20)[0-9]{{2}}') AND path IN (SELECT parent FROM tree WHERE contains(path, '/')))
 SELECT path, row_number() OVER (PARTITION BY parent ORDER BY name DESC, path) > 1 AS collapsed FROM years""")
 def tree_initial_collapse(spark: SparkSession, d: str) -> DataFrame:
-    return filing.collapsed_years(filing.folder_tree(one_each(spark, d)))
+    return filing.collapsed_years(filing.folder_tree(archive(spark, d)))
 
 
 CLOSED = ["jocasta_wet0@lanternfield.example", "tindra_bra1@windrush.example/2005"]
@@ -434,12 +478,12 @@ CLOSED = ["jocasta_wet0@lanternfield.example", "tindra_bra1@windrush.example/200
 
 @query(f"{TREE} SELECT DISTINCT path, starts_with(path, {lit(CLOSED[0] + '/')}) OR starts_with(path, {lit(CLOSED[1] + '/')}) AS hidden FROM above")
 def tree_hidden_rows(spark: SparkSession, d: str) -> DataFrame:
-    return filing.hidden_rows(filing.folder_tree(one_each(spark, d)), CLOSED)
+    return filing.hidden_rows(filing.folder_tree(archive(spark, d)), CLOSED)
 
 
 @query(f"{TREE}, tree AS (SELECT DISTINCT path FROM above) SELECT p.path, count(c.path) AS children FROM tree p LEFT JOIN tree c ON regexp_replace(c.path, '/[^/]*$', '') = p.path AND c.path <> p.path GROUP BY p.path")
 def tree_children(spark: SparkSession, d: str) -> DataFrame:
-    tree = filing.folder_tree(one_each(spark, d))
+    tree = filing.folder_tree(archive(spark, d))
     kids = tree.where("parent is not null").groupBy(F.col("parent").alias("path")).agg(F.count("*").alias("children"))
     return tree.select("path").join(kids, "path", "left").select("path", F.coalesce("children", F.lit(0)).alias("children"))
 
@@ -449,18 +493,20 @@ TARGET = "jocasta_wet0@lanternfield.example/2005/Inbox"
 
 @query(f"{TREE} SELECT DISTINCT path FROM above WHERE {lit(TARGET)} = path OR starts_with({lit(TARGET)}, path || '/')")
 def tree_expand_to(spark: SparkSession, d: str) -> DataFrame:
-    tree = filing.folder_tree(one_each(spark, d))
-    return tree.select("path").where(F.array_contains(filing.with_ancestors(F.lit(TARGET)), F.col("path")))
+    return filing.expanded_to(filing.folder_tree(archive(spark, d)), TARGET)
 
 
-@query(f"{ONE} SELECT folder, count(*) AS n FROM one GROUP BY folder")
+@query(f"{ONE} SELECT folder, n, row_number() OVER (ORDER BY coalesce(folder, ''), folder IS NULL) AS place FROM (SELECT folder, count(*) AS n FROM one GROUP BY folder)")
 def info_by_folder(spark: SparkSession, d: str) -> DataFrame:
-    return one_each(spark, d).groupBy("folder").agg(F.count("*").alias("n")).orderBy("folder")
+    from pyspark.sql import Window
+
+    counts = archive(spark, d).groupBy("folder").agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(X.text("folder"), F.col("folder").isNull())).cast("bigint"))
 
 
 @query(f"{ONE} SELECT count(*) AS total FROM one")
 def total_listed(spark: SparkSession, d: str) -> DataFrame:
-    return one_each(spark, d).agg(F.count("*").alias("total"))
+    return archive(spark, d).agg(F.count("*").alias("total"))
 
 
 # ---- listings
@@ -471,7 +517,7 @@ BITS = "CAST(coalesce(has_attachments, false) AS INTEGER) + 2 * CAST(coalesce(fl
 
 @query(f"{ONE} SELECT key AS uid, path, CAST(row_number() OVER ({NEWEST}) - 1 AS INTEGER) AS idx, {BITS} AS flags, thread, size_bytes FROM one")
 def listing_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = listing.listing(one_each(spark, d))
+    rows = listing.listing(archive(spark, d))
     return rows.select("uid", "path", "idx", listing.flags(F.col("has_attachments"), F.col("flagged"), F.col("unread")).alias("flags"), "thread", "size_bytes")
 
 
@@ -481,59 +527,62 @@ PATH_KEY = ORDER_KEY.replace("string_split(box", "string_split(path")
 @query(f"""{ONE}, f AS (SELECT path, count(*) AS n, {PATH_KEY} AS k FROM one GROUP BY path), o AS (SELECT path, coalesce(sum(n) OVER (ORDER BY k, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM f)
 SELECT key AS uid, CAST(start + row_number() OVER (PARTITION BY one.path ORDER BY coalesce(epoch, 0) DESC, key DESC) - 1 AS BIGINT) AS gid FROM one JOIN o ON one.path = o.path""")
 def doc_ids(spark: SparkSession, d: str) -> DataFrame:
-    return listing.document_ids(one_each(spark, d)).select("uid", F.col("gid").cast("bigint").alias("gid"))
+    return listing.document_ids(archive(spark, d)).select("uid", F.col("gid").cast("bigint").alias("gid"))
 
 
 @query(f"{ONE} SELECT key AS uid, coalesce(lag(key) OVER w, '') AS prev, coalesce(lead(key) OVER w, '') AS next FROM one WINDOW w AS ({NEWEST})")
 def prev_next(spark: SparkSession, d: str) -> DataFrame:
-    return listing.neighbours(one_each(spark, d)).select("uid", "prev", "next")
+    return listing.neighbours(archive(spark, d)).select("uid", "prev", "next")
 
 
 RANK = case("coalesce(priority,'')", S.PRIORITY_RANK, "0")
 
 
-@query(f"{ONE} SELECT key AS uid, {RANK} AS rank, coalesce(epoch, 0) AS epoch FROM one")
+@query(f"{ONE} SELECT key AS uid, {RANK} AS rank, row_number() OVER (ORDER BY {RANK} DESC, coalesce(epoch, 0) DESC, key) AS place FROM one")
 def list_sort_priority(spark: SparkSession, d: str) -> DataFrame:
-    return listing.sort_list(one_each(spark, d), "priority").select("uid", X.priority_rank(F.col("priority")).alias("rank"), F.coalesce("epoch", F.lit(0)).alias("epoch"))
+    rows = listing.ranked(archive(spark, d), listing.sort_order("priority"))
+    return rows.select("uid", X.priority_rank(F.col("priority")).alias("rank"), "place")
 
 
-@query(f"{ONE} SELECT key AS uid, coalesce(from_addr, '') AS sender FROM one")
+@query(f"{ONE} SELECT key AS uid, coalesce(from_addr, '') AS sender, row_number() OVER (ORDER BY coalesce(from_addr, ''), coalesce(epoch, 0), key) AS place FROM one")
 def list_sort_sender(spark: SparkSession, d: str) -> DataFrame:
-    rows = one_each(spark, d).withColumn("from_name", F.lit(""))
-    return listing.sort_list(rows, "sender", descending=False).select("uid", X.text("from_addr").alias("sender"))
+    rows = archive(spark, d).withColumn("from_name", F.lit(""))
+    return listing.ranked(rows, listing.sort_order("sender", descending=False)).select("uid", X.text("from_addr").alias("sender"), "place")
 
 
 @query(f"{ONE} SELECT key AS uid, coalesce(epoch, 0) AS epoch FROM one ORDER BY coalesce(epoch, 0) DESC, key LIMIT 50 OFFSET 100")
 def list_page_window(spark: SparkSession, d: str) -> DataFrame:
-    return listing.sort_list(one_each(spark, d)).offset(100).limit(50).select("uid", F.coalesce("epoch", F.lit(0)).alias("epoch"))
+    return listing.sort_list(archive(spark, d)).offset(100).limit(50).select("uid", F.coalesce("epoch", F.lit(0)).alias("epoch"))
 
 
 @query(f"{ONE} SELECT key AS uid, thread, CAST(row_number() OVER (PARTITION BY thread ORDER BY coalesce(epoch, 0), key) AS INTEGER) AS member FROM one")
 def threads_flat(spark: SparkSession, d: str) -> DataFrame:
-    return listing.threads(one_each(spark, d)).select("uid", "thread", "member")
+    return listing.threads(archive(spark, d)).select("uid", "thread", "member")
 
 
-@query(f"{ONE} SELECT thread, count(*) AS size, max(coalesce(epoch, 0)) AS newest, last(key ORDER BY coalesce(epoch, 0), key) AS newest_uid FROM one GROUP BY thread")
+@query(f"""{ONE}, g AS (SELECT thread, count(*) AS size, max(coalesce(epoch, 0)) AS newest, last(key ORDER BY coalesce(epoch, 0), key) AS newest_uid FROM one GROUP BY thread)
+SELECT *, row_number() OVER (ORDER BY newest DESC, newest_uid) AS place FROM g""")
 def threads_grouped(spark: SparkSession, d: str) -> DataFrame:
-    return listing.thread_groups(one_each(spark, d))
+    """Threads with their place in the list: the one written to last comes first."""
+    return listing.ranked(listing.thread_groups(archive(spark, d)), [F.desc("newest"), F.asc("newest_uid")])
 
 
 @query(f"""{ONE}, p AS (SELECT key, path, coalesce(unread, false) AS u, row_number() OVER ({NEWEST}) AS i FROM one),
 n AS (SELECT key, path, i, min(CASE WHEN u THEN i END) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS j FROM p)
 SELECT n.key AS uid, q.key AS next_unread FROM n LEFT JOIN p q ON n.path = q.path AND n.j = q.i""")
 def next_unread(spark: SparkSession, d: str) -> DataFrame:
-    return listing.next_unread(one_each(spark, d)).select("uid", "next_unread")
+    return listing.next_unread(archive(spark, d)).select("uid", "next_unread")
 
 
 @query(f"{ONE} SELECT key AS uid FROM one WHERE coalesce(unread, false)")
 def unread_view(spark: SparkSession, d: str) -> DataFrame:
-    return listing.unread_rows(one_each(spark, d)).select("uid")
+    return listing.unread_rows(archive(spark, d)).select("uid")
 
 
 @query(f"{ONE} SELECT key AS uid FROM one WHERE coalesce(unread, false) AND key NOT IN (SELECT key FROM keyed WHERE coalesce(flagged, false))")
 def read_marks_anti(spark: SparkSession, d: str) -> DataFrame:
     marks = mail(spark, d).where("coalesce(flagged, false)").select(F.col("key").alias("uid"))
-    return listing.unread_rows(one_each(spark, d), marks).select("uid")
+    return listing.unread_rows(archive(spark, d), marks).select("uid")
 
 
 @query(f"{MAIL} SELECT DISTINCT key AS uid FROM keyed WHERE coalesce(flagged, false) OR box = 'Sent'")
@@ -551,7 +600,7 @@ FROM now n FULL OUTER JOIN was w ON n.uid = w.uid)"""
 
 
 def two_runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    state = one_each(spark, d).select("uid", "batch_id", F.col("box").alias("folder"), identity.content_hash(F.col("subject"), F.col("body_text")).alias("hash"), X.text("thread").alias("nav"))
+    state = archive(spark, d).select("uid", "batch_id", F.col("box").alias("folder"), F.col("content").alias("hash"), X.text("thread").alias("nav"))
     was = state.where("batch_id % 4 <> 0").withColumn("hash", F.when(F.col("batch_id") % 7 == 1, "old").otherwise(F.col("hash")))
     was = was.select("uid", "hash", "nav", "folder", F.col("batch_id").cast("string").alias("first_seen"), F.lit("then").alias("last_built"))
     return state.where("batch_id % 5 <> 0"), was
@@ -587,12 +636,12 @@ def build_stats(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{ONE} SELECT key AS uid FROM one WHERE key NOT IN (SELECT key FROM keyed WHERE coalesce(flagged, false))")
 def missing_pages(spark: SparkSession, d: str) -> DataFrame:
     pages = mail(spark, d).where("coalesce(flagged, false)").select(F.col("key").alias("uid"))
-    return one_each(spark, d).join(pages, "uid", "left_anti").select("uid")
+    return archive(spark, d).join(pages, "uid", "left_anti").select("uid")
 
 
 @query(f"{ONE} SELECT key AS uid, box AS folder, subject FROM one")
 def manifest_recovery(spark: SparkSession, d: str) -> DataFrame:
-    rows = one_each(spark, d)
+    rows = archive(spark, d)
     meta = F.to_json(F.struct("uid", F.col("box").alias("folder"), F.lit("h").alias("hash"), "subject", F.lit("").alias("nav"), F.col("epoch").alias("date")))
     return manifest.recover(rows.select(manifest.page_html(meta, F.lit("<p>text</p>")).alias("html"))).select("uid", "folder", "subject")
 
@@ -630,8 +679,8 @@ STATUS = "CASE o_orderstatus WHEN 'O' THEN 'RO' WHEN 'F' THEN 'F' WHEN 'P' THEN
 
 @query(f"SELECT o_orderkey, ({STATUS}) <> '' AND NOT contains({STATUS}, 'R') AS unread, contains({STATUS}, 'F') AS flagged FROM orders")
 def status_flags(spark: SparkSession, d: str) -> DataFrame:
-    status = X.text(X.mapping(F.col("o_orderstatus"), {"O": "RO", "F": "F", "P": "O"}))
-    return table(spark, d, "orders").select("o_orderkey", ((status != "") & ~status.contains("R")).alias("unread"), status.contains("F").alias("flagged"))
+    status = X.mapping(F.col("o_orderstatus"), {"O": "RO", "F": "F", "P": "O"})
+    return table(spark, d, "orders").select("o_orderkey", X.status_flags(status).alias("s")).select("o_orderkey", "s.*")
 
 
 @query("SELECT o_orderkey, " + case("left(o_orderpriority, 1)", {k: v for k, v in S.PRIORITIES.items() if k.isdigit()}, "''") + " AS priority FROM orders")
@@ -661,14 +710,17 @@ def address_display(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "addresses").select("address_id", X.display(F.col("addr_name"), F.col("addr")).alias("display"), X.full_address(F.col("addr_name"), F.col("addr")).alias("whole"))
 
 
-@query("SELECT read_ord, CASE WHEN size_bytes < 1024 THEN CAST(size_bytes AS VARCHAR) || ' B' WHEN size_bytes < 1048576 THEN printf('%.0f KB', size_bytes / 1024.0) ELSE printf('%.1f MB', size_bytes / 1048576.0) END AS size FROM messages WHERE size_bytes % 1024 <> 512")
-def size_format(spark: SparkSession, d: str) -> DataFrame:
-    # the rows of the SQL; size_format_all has them all
-    return table(spark, d, "messages").where("size_bytes % 1024 <> 512").select("read_ord", X.size_text(F.col("size_bytes")).alias("size"))
+def rounded_sql(x: str, unit: int) -> str:
+    """x / unit to the nearest whole number, halves to the even one."""
+    whole, twice = f"(({x}) // {unit})", f"(2 * (({x}) % {unit}))"
+    return f"({whole} + CASE WHEN {twice} > {unit} OR {twice} = {unit} AND {whole} % 2 = 1 THEN 1 ELSE 0 END)"
 
 
-@query()
-def size_format_all(spark: SparkSession, d: str) -> DataFrame:
+TENTHS = rounded_sql("CAST(size_bytes AS HUGEINT) * 10", 1048576)
+
+
+@query(f"SELECT read_ord, CASE WHEN size_bytes < 1024 THEN size_bytes || ' B' WHEN size_bytes < 1048576 THEN {rounded_sql('size_bytes', 1024)} || ' KB' ELSE ({TENTHS} // 10) || '.' || ({TENTHS} % 10) || ' MB' END AS size FROM messages")
+def size_format(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "messages").select("read_ord", X.size_text(F.col("size_bytes")).alias("size"))
 
 
@@ -689,7 +741,7 @@ def year_folder(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def slug_collisions(spark: SparkSession, d: str) -> DataFrame:
-    return filing.slug_table(filing.folder_tree(one_each(spark, d)).select("path"))
+    return filing.slug_table(filing.folder_tree(archive(spark, d)).select("path"))
 
 
 @query()
@@ -788,37 +840,6 @@ for _kind in ("reply", "forward", "replyall"):
 
 # ---- mailboxes
 
-@query("""SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY read_ord) AS BIGINT) AS n, read_ord AS id,
-md5(rtrim(regexp_replace(replace(replace(body_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '(^|\\n)From ', '\\1>From ', 'g'), chr(10))) AS digest FROM messages WHERE coalesce(body_text,'') <> ''""")
-def mbox_split_sql(spark: SparkSession, d: str) -> DataFrame:
-    """Mailboxes are packed by source and split again by lines: a flag for separators, and its running count as message number."""
-    from pyspark.sql import Window
-
-    body = F.regexp_replace(F.regexp_replace(F.regexp_replace("body_text", r"\r\n?", "\n"), r"\n+$", ""), r"(?m)^From ", ">From ")
-    packed = F.concat(F.lit("From x Mon Jan  1 00:00:00 2001\nX-Id: "), F.col("read_ord").cast("string"), F.lit("\n\n"), body, F.lit("\n"))
-    # a line keeps the place of its message, so the stream's order is known without one task for a whole mailbox
-    lines = table(spark, d, "messages").where("coalesce(body_text, '') <> ''").select("source_id", "read_ord", F.posexplode(F.split(packed, "\n")).alias("line_no", "line"))
-    in_order = Window.partitionBy("source_id", "read_ord").orderBy("line_no")
-    starts = F.col("line").startswith("From ") & (F.coalesce(F.lag("line").over(in_order), F.lit("")) == "")
-    marked = lines.withColumn("_sep", starts.cast("int")).withColumn("_no", F.sum("_sep").over(in_order))
-    texts = marked.where("_sep = 0").groupBy("source_id", "read_ord", "_no").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
-    whole = F.array_join(F.transform("_l", lambda x: x["line"]), "\n")
-    parts = texts.select("source_id", "read_ord", "_no", F.regexp_extract(whole, "^X-Id: ([0-9]+)", 1).cast("bigint").alias("id"), F.regexp_replace(F.regexp_replace(whole, "^X-Id: [0-9]+\n\n", ""), r"\n+$", "").alias("b"))
-    number = F.row_number().over(Window.partitionBy("source_id").orderBy("read_ord", "_no"))
-    return parts.select("source_id", number.cast("bigint").alias("n"), "id", F.md5(F.col("b").cast("binary")).alias("digest"))
-
-
-@query("SELECT read_ord, md5(trim(replace(subject, chr(10), ' '), ' ')) AS subject_digest, lower(from_addr) AS sender FROM messages WHERE regexp_full_match(coalesce(subject,''), '[ -~]+') AND from_addr IS NOT NULL AND NOT contains(subject, '=?') AND subject = trim(subject)")
-def mime_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Messages are written as RFC 822 bytes and parsed again."""
-    from postquarry.sources.columns import parse_mime
-
-    rows = table(spark, d, "messages").where("from_addr is not null").where(F.col("subject").rlike("^[ -~]+$") & ~F.col("subject").contains("=?") & (F.col("subject") == F.trim("subject")))
-    raw = F.concat(F.lit("From: <"), F.col("from_addr"), F.lit(">\nSubject: "), F.col("subject"), F.lit("\nMIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), X.text("body_text"))
-    parsed = rows.select("read_ord", parse_mime(F.encode(raw, "utf-8")).alias("m"))
-    return parsed.select("read_ord", F.md5(F.col("m.subject").cast("binary")).alias("subject_digest"), F.lower("m.sender_addr").alias("sender"))
-
-
 def written_message(sender: Column, subject: Column, body: Column) -> Column:
     """RFC 822 bytes of a text message: the subject in encoded words, the body in base64; null sender and subject have no header."""
     # eleven characters are 44 bytes at most, so a word stays within 75 characters and no character is cut
@@ -828,8 +849,15 @@ def written_message(sender: Column, subject: Column, body: Column) -> Column:
     return F.encode(F.concat(head, F.lit("MIME-Version: 1.0\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), lines), "utf-8")
 
 
-@query()
-def mime_roundtrip_all(spark: SparkSession, d: str) -> DataFrame:
+STRIPPED = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace(coalesce({x},''), '^{STRIPPED}', ''), '{STRIPPED}$', '')"
+
+
+@query(f"SELECT read_ord, md5({strip_sql("regexp_replace(subject, '[\r\n\t]+', ' ', 'g')")}) AS subject_digest, lower(coalesce(from_addr,'')) AS sender, md5({strip_sql('body_text')}) AS body_digest FROM messages")
+def mime_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Every message is written as RFC 822 bytes and parsed again: subject, sender and body. Parsing puts subjects on one line."""
     from postquarry.sources.columns import parse_mime
 
@@ -839,12 +867,37 @@ def mime_roundtrip_all(spark: SparkSession, d: str) -> DataFrame:
     return parsed.select("read_ord", digest("m.subject").alias("subject_digest"), F.lower("m.sender_addr").alias("sender"), digest("m.body_text").alias("body_digest"))
 
 
-@query("SELECT source_id, count(*) AS n FROM messages WHERE coalesce(body_text,'') <> '' GROUP BY source_id")
+BOX = 64  # reading orders a packed mailbox covers
+MBOX = f"""SELECT source_id, read_ord // {BOX} AS box, row_number() OVER (PARTITION BY source_id, read_ord // {BOX} ORDER BY read_ord) AS n, read_ord AS id,
+md5(regexp_replace(regexp_replace(regexp_replace(coalesce(body_text,''), '\r\n?', chr(10), 'g'), '(^|\n)From ', '\1>From ', 'g'), '\n+$', '')) AS digest FROM messages"""
+
+
+def packed_mailboxes(spark: SparkSession, d: str) -> DataFrame:
+    """(source_id, box, mailbox): the messages of a source whose reading orders lie together as one mailbox; lines that could divide are quoted."""
+    body = F.regexp_replace(F.regexp_replace(X.text("body_text"), r"\r\n?", "\n"), r"(?m)^From ", ">From ")
+    head = F.concat(F.lit("From x@y.example Mon Jan  1 00:00:00 2001\nX-Id: "), F.col("read_ord").cast("string"), F.lit("\n\n"))
+    rows = table(spark, d, "messages").select("source_id", F.floor(F.col("read_ord") / BOX).alias("box"), "read_ord", F.concat(head, body, F.lit("\n\n")).alias("_m"))
+    packed = rows.groupBy("source_id", "box").agg(F.sort_array(F.collect_list(F.struct("read_ord", "_m"))).alias("_l"))
+    return packed.select("source_id", "box", F.array_join(F.transform("_l", lambda x: x["_m"]), "").alias("mailbox"))
+
+
+def _unpacked(raw: Column) -> list[Column]:
+    body = F.regexp_replace(F.regexp_replace(raw, r"^X-Id: [0-9]+\n\n", ""), r"\n+$", "")
+    return [F.regexp_extract(raw, r"^X-Id: ([0-9]+)", 1).cast("bigint").alias("id"), F.md5(body.cast("binary")).alias("digest")]
+
+
+@query(MBOX)
+def mbox_split_sql(spark: SparkSession, d: str) -> DataFrame:
+    """Mailboxes of many messages, split at their dividing lines by an expression alone."""
+    pieces = F.split("mailbox", r"(?:^|(?<=\n\n))From [^\n]*\n")
+    rows = packed_mailboxes(spark, d).select("source_id", "box", F.posexplode(pieces).alias("n", "raw")).where("n > 0")
+    return rows.select("source_id", "box", F.col("n").cast("bigint").alias("n"), *_unpacked(F.col("raw")))
+
+
+@query(MBOX)
 def mbox_split_udtf(spark: SparkSession, d: str) -> DataFrame:
-    """Each message packed as a mailbox of its own, split by the byte-level splitter."""
-    from postquarry.sources.columns import count_messages
+    """The same mailboxes through the splitter of the mailbox reader."""
+    from postquarry.sources.columns import split_mailbox
 
-    body = F.regexp_replace("body_text", r"(?m)^From ", ">From ")
-    packed = F.encode(F.concat(F.lit("From x Mon Jan  1 00:00:00 2001\nSubject: a\n\n"), body, F.lit("\n")), "utf-8")
-    rows = table(spark, d, "messages").where("coalesce(body_text, '') <> ''").select("source_id", count_messages(packed).alias("k"))
-    return rows.groupBy("source_id").agg(F.sum("k").cast("bigint").alias("n"))
+    rows = packed_mailboxes(spark, d).select("source_id", "box", F.posexplode(split_mailbox(F.encode("mailbox", "utf-8"))).alias("n", "raw"))
+    return rows.select("source_id", "box", (F.col("n") + 1).cast("bigint").alias("n"), *_unpacked(F.decode("raw", "utf-8")))

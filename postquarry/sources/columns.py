@@ -26,7 +26,8 @@ def parse_mime(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield out
 
 
-@F.pandas_udf("int")
-def count_messages(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf("array<binary>")
+def split_mailbox(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Raw messages of a mailbox in order; null has none."""
     for batch in batches:
-        yield pd.Series([sum(1 for _ in split_mbox(io.BytesIO(bytes(raw)))) if raw is not None else 0 for raw in batch], dtype="int32")
+        yield pd.Series([list(split_mbox(io.BytesIO(bytes(raw)))) if raw is not None else [] for raw in batch], dtype=object)

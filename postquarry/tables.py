@@ -31,17 +31,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     with the sizes that let joins be planned. drop_written() removes those that are no longer needed; what results still read stays until the
     application ends, then all its tables go."""
     spark = df.sparkSession
-    own = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
-    if own not in _owned:
-        _owned.add(own)
-        atexit.register(_remove, spark, own)
-    path = f"{own}/{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._written_at = path
     return written
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder for a table of this application."""
+    own = f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+    if own not in _owned:
+        _owned.add(own)
+        atexit.register(_remove, spark, own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
 _owned: set[str] = set()
 
 

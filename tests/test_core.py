@@ -269,12 +269,12 @@ def test_mailto(spark):
 
 
 def test_sizes_with_ties_and_nulls(spark, tmp_path):
-    from postquarry.plans.archive_queries import size_format_all
+    from postquarry.plans.archive_queries import size_format
 
     sizes = [None, 0, 1, 512, 1023, 1024, 1536, 2560, 3584, 2559, 2561, 1048064, 1048575, 1048576, 1310720, 1835008, 1310719, 1310721, 5 * 1048576 + 52429, 7 << 40, *range(1024, 60_000, 256), *range(1048576, 4_000_000, 65536)]
     spark.createDataFrame(list(enumerate(sizes)), "read_ord bigint, size_bytes bigint").write.parquet(str(tmp_path / "messages.parquet"))
     want = {i: None if n is None else f"{n} B" if n < 1024 else f"{n / 1024:.0f} KB" if n < 1048576 else f"{n / 1048576:.1f} MB" for i, n in enumerate(sizes)}
-    assert {r["read_ord"]: r["size"] for r in size_format_all(spark, str(tmp_path)).collect()} == want
+    assert {r["read_ord"]: r["size"] for r in size_format(spark, str(tmp_path)).collect()} == want
 
 
 def test_compact_dates_without_t(spark, clocks):
@@ -319,3 +319,48 @@ def test_dates_of_all_mail_years(spark, clocks):
     rows = [(1, 1, "1975-06-05 10:00:00"), (2, 1, "2050-07-05 10:00:00"), (3, 1, "1901-06-05 10:00:00"), (4, 1, "2101-06-05 10:00:00")]
     got = [r["instant_us"] for r in instants.resolve_instants(spark.createDataFrame(rows, "read_ord bigint, source_id int, date_raw string"), clocks).orderBy("read_ord").collect()]
     assert got == [us(1975, 6, 5, 9), us(2050, 7, 5, 8), None, None]
+
+
+def test_folding_agrees_with_the_decomposition_everywhere(spark):
+    signs = [chr(c) for c in [*range(0x80, 0xD800), *range(0xE000, 0x20000)] if len(unicodedata.normalize("NFKD", chr(c))) and (c < 0x0590 or unicodedata.normalize("NFKD", chr(c)) != chr(c))]
+    rows = [(i, "of" + "of".join(signs[i : i + 200]) + "ice") for i in range(0, len(signs), 200)]
+    got = {r["i"]: r["x"] for r in spark.createDataFrame(rows, "i int, t string").select("i", X.tokenize(F.col("t")).alias("x")).collect()}
+    wrong = [i for i, t in rows if got[i] != tokens(t)]
+    assert not wrong, wrong[:5]
+
+
+def test_windows_by_day_agree_with_plain_ones(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.choice("pq"), f"u{i:03}", rng.choice([None, 0, 5, 86_400, 86_401, 90_000, 400_000, 400_000, -70_000]), rng.choice(["t", "s", None]), rng.choice([True, False, None])) for i in range(160)]
+    df = spark.createDataFrame(rows, "path string, uid string, epoch bigint, thread string, unread boolean")
+    want_idx, want_near, want_open = {}, {}, {}
+    for p in "pq":
+        own = sorted((r for r in rows if r[0] == p), key=lambda r: (r[2] or 0, r[1]), reverse=True)
+        for i, r in enumerate(own):
+            want_idx[r[1]] = i
+            want_near[r[1]] = (own[i - 1][1] if i else "", own[i + 1][1] if i + 1 < len(own) else "")
+            want_open[r[1]] = next((x[1] for x in own[i + 1 :] if x[4]), None)
+    assert {r["uid"]: r["idx"] for r in listing.listing(df).collect()} == want_idx
+    assert {r["uid"]: (r["prev"], r["next"]) for r in listing.neighbours(df).collect()} == want_near
+    assert {r["uid"]: r["next_unread"] for r in listing.next_unread(df).collect()} == want_open
+    want = {}
+    for t in ("t", "s", None):
+        own = sorted((r for r in rows if r[3] == t), key=lambda r: (r[2] or 0, r[1]))
+        want |= {r[1]: (i + 1, min(i, 1), len(own) - 1 if not i else 0, max(x[2] or 0 for x in own)) for i, r in enumerate(own)}
+    assert {r["uid"]: (r["member"], r["depth"], r["kids"], r["newest"]) for r in listing.threads(df).collect()} == want
+    order = sorted(rows, key=lambda r: (-(r[2] or 0), r[1]))
+    got = listing.ranked(df, listing.sort_order(), parts=5).collect()
+    assert {r["uid"]: r["place"] for r in got} == {r[1]: i for i, r in enumerate(order, 1)}
+
+
+def test_blocks_of_postings(spark, monkeypatch):
+    monkeypatch.setattr(index, "SPAN", 4)
+    gids = [0, 1, 3, 4, 9, 17, 18, 40]
+    df = spark.createDataFrame([(g, "a", 1 + g % 2) for g in gids] + [(7, "b", 8)], "gid bigint, token string, mask int")
+    d = {(r["token"], r["gid"]): r["delta"] for r in index.deltas(df).collect()}
+    assert [d[("a", g)] for g in gids] == [0, 1, 2, 1, 5, 8, 1, 22] and d[("b", 7)] == 7
+    coded = spark.createDataFrame([("a", i, d[("a", g)], 1) for i, g in enumerate(gids, 1)], "token string, pos int, delta bigint, mask int")
+    assert sorted(r["gid"] for r in index.undo_deltas(coded).collect()) == gids
+    assert {(r["token"], r["block"]): r["entries"] for r in index.posting_blocks(df).collect()}[("a", 4)] == "17:2 18:1"

@@ -202,7 +202,7 @@ def test_every_message_is_written_and_parsed(spark, tmp_path):
 
     from pyspark.sql import functions as F
 
-    from postquarry.plans.archive_queries import mime_roundtrip_all, written_message
+    from postquarry.plans.archive_queries import mime_roundtrip, written_message
 
     long = "Größere Sendung für München 😀 " * 9 + "Ende"
     rows = [
@@ -211,7 +211,7 @@ def test_every_message_is_written_and_parsed(spark, tmp_path):
     ]
     m = spark.createDataFrame(rows, "read_ord bigint, from_addr string, subject string, body_text string")
     m.write.parquet(str(tmp_path / "messages.parquet"))
-    got = {r["read_ord"]: r for r in mime_roundtrip_all(spark, str(tmp_path)).collect()}
+    got = {r["read_ord"]: r for r in mime_roundtrip(spark, str(tmp_path)).collect()}
     raw = {r["read_ord"]: bytes(r["raw"]) for r in m.select("read_ord", written_message(F.col("from_addr"), F.col("subject"), F.col("body_text")).alias("raw")).collect()}
     md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
     assert len(got) == len(rows)
