@@ -29,6 +29,14 @@ def main(argv: list[str] | None = None) -> int:
     build.add_argument("--prune", action="store_true")
     build.add_argument("--force", action="store_true")
     build.add_argument("--kind")
+    build.add_argument("--limit", type=int, default=0, help="end reading after so many messages")
+    build.add_argument("--no-year-folders", action="store_true")
+    build.add_argument("--title", default="Archive")
+    build.add_argument("--news-host", default="", help="name of a news server to show beside the folders")
+    build.add_argument("--allow-remote-images", action="store_true")
+    for part in (parser, build):
+        part.add_argument("-v", "--verbose", action="store_true", default=argparse.SUPPRESS, help="show the engine's log")
+        part.add_argument("-q", "--quiet", action="store_true", default=argparse.SUPPRESS, help="print nothing but errors")
     info = commands.add_parser("info", help="messages by folder of a published archive")
     info.add_argument("out")
     find = commands.add_parser("detect", help="kind of each source")
@@ -48,16 +56,24 @@ def _missing(paths: list[str]) -> bool:
 
 
 def _build(args: argparse.Namespace) -> int:
-    from postquarry.plans.publish import build
+    from postquarry.plans.publish import build, export_json
 
     if _missing(args.sources):
         return 2
+    spark, now = session(), dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds")
+    if getattr(args, "verbose", False):
+        spark.sparkContext.setLogLevel("INFO")
     try:
-        stats = build(session(), args.sources, args.out, dt.datetime.now(dt.timezone.utc).isoformat(timespec="seconds"), args.account, not args.no_accounts, args.prefix, args.prune, args.force, args.kind)
+        stats = build(
+            spark, args.sources, args.out, now, accounts=args.account, by_account=not args.no_accounts, prefix=args.prefix, prune=args.prune, force=args.force, kind=args.kind, limit=args.limit,
+            by_year=not args.no_year_folders, block_remote=not args.allow_remote_images,
+        )
+        export_json(spark, args.out, title=args.title, built=now, news_host=args.news_host)
     except RuntimeError as e:
         print(e, file=sys.stderr)
         return 1
-    print(stats.summary())
+    if not getattr(args, "quiet", False):
+        print(stats.summary())
     return 1 if stats.errors else 0
 
 

@@ -83,10 +83,10 @@ def year_folder(local: Column) -> Column:
     return F.coalesce(F.year(local).cast("string"), F.lit(S.UNDATED))
 
 
-def place(account: Column | None, year: Column, folder: Column, prefix: str = "") -> Column:
+def place(account: Column | None, year: Column | None, folder: Column, prefix: str = "") -> Column:
     parts = [F.lit(prefix.strip("/"))] if prefix.strip("/") else []
     parts += [F.nullif(F.replace(account, F.lit("/"), F.lit("_")), F.lit(""))] if account is not None else []
-    return F.concat_ws("/", *parts, year, folder)
+    return F.concat_ws("/", *parts, *([year] if year is not None else []), folder)
 
 
 def folder_sort_key(path: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from postquarry import schema as S
@@ -19,7 +19,7 @@ def dedupe_longest(messages: DataFrame, uid: str = "uid", order: str = "read_ord
     body = length if length is not None else F.length(F.coalesce("body_text", F.lit(""))) + F.length(F.coalesce("body_html", F.lit("")))
     sized = messages.where(F.col(uid).isNotNull()).select(F.col(uid).alias("_uid"), F.col(order).alias("_o"), body.alias("_n"))
     longest = sized.groupBy("_uid").agg(F.max("_n").alias("_most"), F.min("_o").alias("slot"), F.count("*").alias("copies"))
-    best = sized.join(longest, "_uid").where("_n = _most").groupBy("_uid").agg(F.min("_o").alias("_o"), F.first("slot").alias("slot"), F.first("copies").alias("copies"))
+    best = sized.join(longest, "_uid").where(F.col("_n").eqNullSafe(F.col("_most"))).groupBy("_uid").agg(F.min("_o").alias("_o"), F.first("slot").alias("slot"), F.first("copies").alias("copies"))
     kept = [c for c in messages.columns if c != uid]
     return messages.join(best, (F.col(order) == F.col("_o")) & (F.col(uid) == F.col("_uid"))).select(uid, *kept, "slot", "copies")
 
@@ -28,7 +28,10 @@ def first_uids(messages: DataFrame, n: int, uid: str = "uid", order: str = "read
     """Rows read until n different uids have been seen; copies after that are never read."""
     firsts = messages.groupBy(uid).agg(F.min(order).alias("_o")).orderBy("_o").limit(n)
     last = firsts.agg(F.max("_o")).first()[0]
-    return messages.where(F.col(order) <= last) if last is not None else messages.limit(0)
+    if last is None:
+        return messages.limit(0)
+    bound = F.struct(*[F.lit(v).alias(k) for k, v in last.asDict().items()]) if isinstance(last, Row) else F.lit(last)
+    return messages.where(F.col(order) <= bound)
 
 
 def account_candidate(folder: Column, sender: Column, headers: Column | None, to: Column) -> Column:

@@ -6,13 +6,13 @@ A manifest is a versioned Parquet directory; a pointer file that is replaced ato
 from __future__ import annotations
 
 import json
-import os
 import re
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postquarry.storage import names, read_text, write_text
+
 VERSION = 1
 
 
@@ -37,10 +37,14 @@ def stats(actions: DataFrame, duplicates: int | Column = 0) -> DataFrame:
     return actions.agg(count("added"), count("updated"), count("unchanged"), count("gone"), F.lit(duplicates).alias("duplicates"))
 
 
-def next_manifest(current: DataFrame, manifest: DataFrame, now: str, prune: bool = False) -> DataFrame:
-    """(uid, hash, nav, folder, first_seen, last_built): current rows, and gone ones unless they are pruned. first_seen is kept."""
+def next_manifest(current: DataFrame, manifest: DataFrame, now: str, prune: bool = False, rebuilt: DataFrame | None = None) -> DataFrame:
+    """(uid, hash, nav, folder, first_seen, last_built): current rows, and gone ones unless they are pruned. first_seen is kept, and last_built of
+    rows that are the same, unless they are among those rebuilt (uid)."""
     old = manifest.select("uid", F.col("first_seen").alias("_first"), F.col("hash").alias("_mh"), F.col("nav").alias("_mn"), F.col("last_built").alias("_built"))
     same = F.col("hash").eqNullSafe(F.col("_mh")) & F.col("nav").eqNullSafe(F.col("_mn"))
+    if rebuilt is not None:
+        current = current.join(rebuilt.select("uid").distinct().withColumn("_again", F.lit(True)), "uid", "left")
+        same = same & F.col("_again").isNull()
     rows = current.join(old, "uid", "left").select(
         "uid", "hash", "nav", "folder", F.coalesce("_first", F.lit(now)).alias("first_seen"), F.when(same, F.col("_built")).otherwise(now).alias("last_built")
     )
@@ -56,26 +60,33 @@ def guard_empty(current: DataFrame, manifest: DataFrame, prune: bool = False) ->
         raise RuntimeError("no message was read, but the archive has some; prune to empty it")
 
 
-def save(rows: DataFrame, folder: str) -> str:
-    """Writes the next version, sorted by uid within files, then moves the pointer to it."""
-    base = Path(folder)
-    base.mkdir(parents=True, exist_ok=True)
-    numbers = [int(m[1]) for p in base.iterdir() if (m := re.fullmatch(r"v(\d+)", p.name))]
+def save(rows: DataFrame, folder: str, sources: dict[str, dict] | None = None) -> str:
+    """Writes the next version, sorted by uid, then moves the pointer to it. sources has what is told of each source, such as its fingerprint."""
+    spark = rows.sparkSession
+    numbers = [int(m[1]) for n in names(spark, folder) if (m := re.fullmatch(r"v(\d+)", n))]
     name = f"v{max(numbers, default=0) + 1}"
-    rows.sortWithinPartitions("uid").write.parquet(str(base / name))
-    temporary = base / ".current.tmp"
-    temporary.write_text(json.dumps({"version": VERSION, "data": name}))
-    os.replace(temporary, base / "current.json")
+    rows.repartitionByRange("uid").sortWithinPartitions("uid").write.parquet(f"{folder}/{name}")
+    known = (_pointer(spark, folder) or {}).get("sources", {})
+    write_text(spark, f"{folder}/current.json", json.dumps({"version": VERSION, "data": name, "sources": known | (sources or {})}))
     return name
 
 
-def load(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The current manifest; none if there is none, it can't be read, or it is of another version."""
+def _pointer(spark: SparkSession, folder: str) -> dict | None:
     try:
-        pointer = json.loads((Path(folder) / "current.json").read_text())
-    except (OSError, ValueError):
+        return json.loads(read_text(spark, f"{folder}/current.json") or "null")
+    except ValueError:
         return None
-    return spark.read.parquet(str(Path(folder) / pointer["data"])) if pointer.get("version") == VERSION else None
+
+
+def load(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The current manifest; none if there is none, it can't be read, or it is of another version."""
+    pointer = _pointer(spark, folder)
+    return spark.read.parquet(f"{folder}/{pointer['data']}") if pointer and pointer.get("version") == VERSION else None
+
+
+def known_sources(spark: SparkSession, folder: str) -> dict[str, dict]:
+    """What the last runs told of each source."""
+    return (_pointer(spark, folder) or {}).get("sources", {})
 
 
 META = "uid string, folder string, hash string, subject string, nav string, date bigint"
@@ -88,7 +99,7 @@ def page_html(meta: Column, article: Column | None = None) -> Column:
     return F.concat(F.lit('<script type="application/json" id="message-meta">'), safe, F.lit("</script>"), article if article is not None else F.lit(""))
 
 
-def recover(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Records embedded in pages; pages without a readable one are skipped."""
+def recover(pages: DataFrame, html: str = "html", kept: list[str] | None = None) -> DataFrame:
+    """Records embedded in pages, with columns kept of the pages; pages without a readable one are skipped."""
     found = F.from_json(F.regexp_extract(html, _META, 1), META)
-    return pages.select(found.alias("m")).where("m.uid is not null").select("m.*")
+    return pages.select(found.alias("m"), *(kept or [])).where("m.uid is not null").select("m.*", *(kept or []))

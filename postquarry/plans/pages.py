@@ -32,14 +32,34 @@ def address_list(people: list) -> str:
     return ", ".join(address_link(p["name"], p["addr"]) for p in people) or "(undisclosed recipients)"
 
 
-def render(row: dict) -> tuple:
-    """(uid, article, images held back, plain text?, files) of a message. Names of files are made different, links to them by cid resolved."""
+def file_places(uid: str, given: list) -> list[tuple[str, str]]:
+    """(name, path) of a message's files: names are made different, and every message has a directory of its own."""
+    return [(n, f"attachments/{uid[:2]}/{uid}/{quote(n)}") for n in number_filenames([a["filename"] or "attachment" for a in given])]
+
+
+def files(messages: DataFrame) -> DataFrame:
+    """(uid, path, filename, content_type, size, payload): the attachments of messages under the paths their pages link to."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for uid, given in zip(batch["uid"], batch["names"]):
+                rows += [(uid, k, path, name) for k, (name, path) in enumerate(file_places(uid, [{"filename": x} for x in given]))]
+            yield pd.DataFrame(rows, columns=["uid", "_k", "path", "filename"])
+
+    some = messages.where(F.size("attachments") > 0)
+    named = some.select("uid", F.transform("attachments", lambda a: F.coalesce(a["filename"], F.lit(""))).alias("names")).mapInPandas(run, "uid string, _k int, path string, filename string")
+    payloads = some.select("uid", F.posexplode("attachments").alias("_k", "a")).select("uid", "_k", F.col("a.content_type").alias("content_type"), F.col("a.size").alias("size"), F.col("a.payload").alias("payload"))
+    return named.join(payloads, ["uid", "_k"]).drop("_k")
+
+
+def render(row: dict, block_remote: bool = True) -> tuple:
+    """(uid, article, images held back, plain text?, files) of a message. Links to its files by cid are resolved."""
     given = list(row["attachments"] if row["attachments"] is not None else [])
-    names = number_filenames([a["filename"] or "attachment" for a in given])
-    files = [(n, f"attachments/{row['uid'][:2]}/{row['uid']}/{quote(n)}", int(a["size"] or 0), a["content_type"] or "") for n, a in zip(names, given)]
+    files = [(n, path, int(a["size"] or 0), a["content_type"] or "") for (n, path), a in zip(file_places(row["uid"], given), given)]
     cids = {a["content_id"]: f[1] for a, f in zip(given, files) if a["content_id"]}
     if row["body_html"] and row["body_html"].strip():
-        body, blocked = H.sanitize(row["body_html"], cids=cids)
+        body, blocked = H.sanitize(row["body_html"], block_remote, cids)
         plain = False
     else:
         body, blocked, plain = H.body_html(None, row["body_text"])
@@ -53,16 +73,16 @@ def render(row: dict) -> tuple:
     return row["uid"], article, blocked, plain, files
 
 
-def pages(messages: DataFrame) -> DataFrame:
+def pages(messages: DataFrame, block_remote: bool = True) -> DataFrame:
     """(uid, page, html, blocked, plain, files) for messages of the archive's schema with uid, path, hash, nav and epoch."""
     light = F.transform("attachments", lambda a: F.struct(a["filename"].alias("filename"), a["size"].alias("size"), a["content_type"].alias("content_type"), a["content_id"].alias("content_id")))
     needed = messages.select("uid", "subject", "sender", "date_raw", "to", "cc", "body_text", "body_html", light.alias("attachments"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([render(r) for r in batch.to_dict("records")], columns=["uid", "article", "blocked", "plain", "files"])
+            yield pd.DataFrame([render(r, block_remote) for r in batch.to_dict("records")], columns=["uid", "article", "blocked", "plain", "files"])
 
-    quoted = F.substring(X.text("body_text"), 1, S.QUOTE_CHARS)
+    quoted = F.substring(F.coalesce(F.nullif("body_text", F.lit("")), X.crude_text(F.col("body_html"))), 1, S.QUOTE_CHARS)
     meta = F.to_json(F.struct(
         "uid", F.col("path").alias("folder"), "hash", "subject", "nav", F.col("epoch").alias("date"), F.struct(F.col("sender.name").alias("n"), F.col("sender.addr").alias("a")).alias("from"),
         F.transform("to", lambda a: F.struct(a["name"].alias("n"), a["addr"].alias("a"))).alias("to"), F.transform("cc", lambda a: F.struct(a["name"].alias("n"), a["addr"].alias("a"))).alias("cc"),

@@ -1,14 +1,14 @@
-"""From mail sources to a published archive: listings, folders, index and manifest as Parquet, and their JSON forms.
+"""From mail sources to a published archive: listings, folders, index, pages, files and manifest as Parquet, and their JSON forms.
 
 One shuffle on uid for de-duplication, one on the folder for listings, one on the token for the index; accounts and folders are small
-aggregates. Results are written before they are read again, so nothing is worked out twice.
+aggregates. Results are written before they are read again, so nothing is worked out twice. Pages and files of messages that did not change are not
+made again: those of a run are a part of their own, and the manifest tells which part holds a message. Paths may be of any file system Hadoop knows.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from postquarry import schema as S
 from postquarry.functions import identity, text as X
 from postquarry.operators import filing, index, listing, manifest
-from postquarry.plans.pages import pages
+from postquarry.plans.pages import files, pages
 from postquarry.sources.datasource import read_mail
+from postquarry.sources.mailbox import fingerprint
+from postquarry.storage import exists, write_text
 
 
 @dataclass
@@ -26,6 +28,8 @@ class Stats:
     updated: int = 0
     unchanged: int = 0
     gone: int = 0
+    pruned: int = 0
+    attachments: int = 0
     duplicates: int = 0
     folders: int = 0
     errors: tuple[str, ...] = ()
@@ -40,7 +44,7 @@ def normalise(records: DataFrame) -> DataFrame:
     body = F.coalesce(F.nullif("body_text", F.lit("")), F.col("body_html"))
     uid = identity.uid(F.col("message_id"), iso, F.col("date_raw"), F.col("sender.addr"), F.col("subject"), F.transform("to", lambda a: a["addr"]), body)
     return records.where("error is null").withColumns({
-        "read_ord": F.struct("source", "pos"), "box": X.normalize_folder(F.col("folder")), "uid": uid, "iso": iso,
+        "read_ord": F.struct("given", "source", "pos"), "box": X.normalize_folder(F.col("folder")), "uid": uid, "iso": iso,
         "epoch": F.coalesce(F.unix_seconds("date_ts"), F.lit(0)),
     })
 
@@ -51,77 +55,116 @@ def offset_text(seconds):
     return F.concat(sign, F.format_string("%02d:%02d", F.floor(minutes / 60), F.pmod(minutes, F.lit(60))))
 
 
-def keep_longest(rows: DataFrame) -> DataFrame:
-    """The copy with the longest body per uid; the first read among equals."""
-    length = F.length(X.text("body_text")) + F.length(X.text("body_html"))
-    ranked = rows.withColumn("_n", length)
-    kept = [c for c in rows.columns if c != "uid"]
-    first = F.min_by(F.struct(*kept), F.struct((-F.col("_n")).alias("n"), F.col("read_ord").alias("o")))
-    return ranked.groupBy("uid").agg(first.alias("_r"), F.count("*").alias("copies")).select("uid", "_r.*", "copies")
+def placed_in_accounts(one: DataFrame, accounts: list[str] | None, by_account: bool) -> DataFrame:
+    """one with account: given ones by any address of a message, else the ones that stand out, none if not wanted."""
+    candidate = filing.account_candidate(F.col("box"), F.col("sender.addr"), F.col("headers"), F.transform("to", lambda a: a["addr"]))
+    if not by_account:
+        return one.withColumn("account", F.lit(None).cast("string"))
+    if not accounts:
+        return filing.assign_accounts(one.withColumn("candidate", candidate))
+    delivered = [X.first_address(X.header_value(F.col("headers"), h)) for h in S.DELIVERY_HEADERS]
+    people = F.concat(F.transform(F.concat("to", "cc"), lambda a: F.lower(a["addr"])), F.array(F.lower("sender.addr"), F.lower("reply_to.addr"), *delivered))
+    return filing.explicit_accounts(one.withColumn("_people", people), "_people", accounts)
+
+
+EMPTY = "uid string, hash string, nav string, folder string, first_seen string, last_built string"
+
+
+def known_messages(spark: SparkSession, out: str, now: str) -> DataFrame:
+    """The manifest of the last run; a lost one is recovered from the pages, whose newest part counts."""
+    old = manifest.load(spark, f"{out}/manifest")
+    if old is None and exists(spark, f"{out}/pages"):
+        found = manifest.recover(spark.read.parquet(f"{out}/pages"), kept=["built"])
+        one = found.groupBy("uid").agg(F.max_by(F.struct("hash", "nav", "folder"), "built").alias("m"), F.max("built").alias("built"))
+        one.select("uid", "m.*", F.lit(now).alias("first_seen"), F.col("built").cast("string").alias("last_built")).write.mode("overwrite").parquet(f"{out}/work/recovered")
+        old = spark.read.parquet(f"{out}/work/recovered")
+    return old if old is not None else spark.createDataFrame([], EMPTY)
+
+
+def current_pages(spark: SparkSession, out: str, name: str = "pages") -> DataFrame:
+    """Pages (or files) of the archive: of each message those of the run that made it last."""
+    made = manifest.load(spark, f"{out}/manifest").select("uid", F.col("last_built").alias("built"))
+    return spark.read.parquet(f"{out}/{name}").withColumn("built", F.col("built").cast("string")).join(made, ["uid", "built"], "left_semi")
 
 
-def build(spark: SparkSession, sources: list[str], out: str, now: str, accounts: list[str] | None = None, by_account: bool = True, prefix: str = "", prune: bool = False, force: bool = False, kind: str | None = None) -> Stats:
-    """Reads the sources and publishes to out. Refuses if nothing is read though something was published, unless pruning."""
-    base = Path(out)
+def build(
+    spark: SparkSession, sources: list[str], out: str, now: str, accounts: list[str] | None = None, by_account: bool = True, prefix: str = "", prune: bool = False, force: bool = False,
+    kind: str | None = None, limit: int = 0, by_year: bool = True, block_remote: bool = True,
+) -> Stats:
+    """Reads the sources and publishes to out. Refuses if nothing is read though something was published, unless pruning.
+
+    limit ends reading after so many different messages. Pages and files are made for added and changed messages, and for those whose page is
+    missing; those of messages that are gone are kept unless pruned.
+    """
+    order = F.create_map(*[x for i, p in enumerate(dict.fromkeys(sources)) for x in (F.lit(p), F.lit(i))])
     records = read_mail(spark, *sources, kind=kind)
-    staged = str(base / "work" / "records")
-    normalise_all = records.withColumn("_failed", F.col("error").isNotNull())
-    normalise_all.write.mode("overwrite").parquet(staged)
+    # sources count in the order they were given: the longest given path that a record's begins with is its own
+    given = F.array_max(F.transform(F.filter(F.map_keys(order), lambda p: F.col("source").startswith(p)), lambda p: F.struct(F.length(p).alias("n"), order[p].alias("i"))))["i"]
+    staged = f"{out}/work/records"
+    records.withColumns({"given": F.coalesce(given, F.lit(len(sources))), "_failed": F.col("error").isNotNull()}).write.mode("overwrite").parquet(staged)
     read = spark.read.parquet(staged)
     errors = tuple(r[0] for r in read.where("_failed").select(F.concat_ws(": ", "source", "error")).limit(1000).collect())
     rows = normalise(read.drop("_failed"))
-    one = keep_longest(rows)
-    old = manifest.load(spark, str(base / "manifest"))
-    if old is None and (base / "pages").exists():
-        # a lost manifest is recovered from the pages
-        found = manifest.recover(spark.read.parquet(str(base / "pages"))).select("uid", "hash", "nav", "folder", F.lit(now).alias("first_seen"), F.lit(now).alias("last_built"))
-        found.write.mode("overwrite").parquet(str(base / "work" / "recovered"))
-        old = spark.read.parquet(str(base / "work" / "recovered"))
-    old = old if old is not None else spark.createDataFrame([], "uid string, hash string, nav string, folder string, first_seen string, last_built string")
+    rows = filing.first_uids(rows, limit) if limit else rows
+    one = filing.dedupe_longest(rows)
+    old = known_messages(spark, out, now)
     manifest.guard_empty(one, old, prune)
-    candidate = filing.account_candidate(F.col("box"), F.col("sender.addr"), F.col("headers"), F.transform("to", lambda a: a["addr"]))
-    named = one.withColumn("candidate", candidate)
-    if not by_account:
-        placed = named.withColumn("account", F.lit(None).cast("string"))
-    elif accounts:
-        people = F.flatten(F.array(F.transform(F.concat("to", "cc"), lambda a: F.lower(a["addr"])), F.array(F.lower("sender.addr"), F.lower("reply_to.addr")), F.transform(F.array(*[F.lit(h) for h in S.DELIVERY_HEADERS]), lambda h: F.lit(""))))
-        delivered = F.array(*[X.first_address(X.header_value(F.col("headers"), h)) for h in S.DELIVERY_HEADERS])
-        placed = filing.explicit_accounts(named.withColumn("_people", F.concat(people, delivered)), "_people", accounts)
-    else:
-        placed = filing.assign_accounts(named)
-    path = X.place(F.col("account"), X.year_folder(F.col("date_local")), F.col("box"), prefix)
+    placed = placed_in_accounts(one, accounts, by_account)
+    path = X.place(F.col("account"), X.year_folder(F.col("date_local")) if by_year else None, F.col("box"), prefix)
     full = lambda a: X.full_address(a["name"], a["addr"])
-    files = F.transform("attachments", lambda a: F.concat_ws(":", a["filename"], a["size"].cast("string"), a["content_type"]))
+    listed = F.transform("attachments", lambda a: F.concat_ws(":", a["filename"], a["size"].cast("string"), a["content_type"]))
     hashed = identity.content_hash(
         F.col("path"), F.col("subject"), full(F.col("sender")), F.col("iso"), F.array_join(F.transform("to", full), ","), F.array_join(F.transform("cc", full), ","),
-        F.col("body_text"), F.col("body_html"), F.col("priority"), attachments=files,
+        F.col("body_text"), F.col("body_html"), F.col("priority"), attachments=listed,
     )
     messages = listing.document_ids(placed.withColumn("path", path).withColumn("hash", hashed))
     messages = listing.neighbours(messages).withColumn("nav", F.concat_ws("|", "prev", "next"))
-    messages.write.mode("overwrite").parquet(str(base / "messages"))
-    messages = spark.read.parquet(str(base / "messages"))
-    tree = filing.slug_table(filing.folder_tree(messages))
-    tree.write.mode("overwrite").parquet(str(base / "folders"))
-    slugs = spark.read.parquet(str(base / "folders"))
+    messages.write.mode("overwrite").parquet(f"{out}/messages")
+    messages = spark.read.parquet(f"{out}/messages")
+    filing.slug_table(filing.folder_tree(messages)).write.mode("overwrite").parquet(f"{out}/folders")
+    slugs = spark.read.parquet(f"{out}/folders")
     rows = messages.join(slugs.select("path", "slug"), "path").select(
         "slug", "idx", "uid", "subject", F.col("sender.name").alias("from_name"), F.col("sender.addr").alias("from_addr"), "epoch", "priority",
         listing.flags(F.col("has_attachments"), F.col("flagged"), F.col("unread")).alias("flags"), X.thread_key(F.col("references"), F.col("in_reply_to"), F.col("message_id"), F.col("uid")).alias("thread"), "size", "gid",
     )
-    rows.repartition("slug").sortWithinPartitions("slug", "idx").write.mode("overwrite").partitionBy("slug").parquet(str(base / "listing"))
+    rows.repartitionByRange("slug", "idx").sortWithinPartitions("slug", "idx").write.mode("overwrite").partitionBy("slug").parquet(f"{out}/listing")
     people = F.transform(F.concat("to", "cc"), lambda a: F.concat_ws(" ", a["name"], a["addr"]))
     body = F.coalesce(F.nullif("body_text", F.lit("")), X.crude_text(F.col("body_html")))
     fields = {
         S.FIELD_SUBJECT: F.col("subject"), S.FIELD_SENDER: F.concat_ws(" ", "sender.name", "sender.addr", "organization"), S.FIELD_RECIPIENT: F.array_join(people, " "),
         S.FIELD_ATTACHMENT: F.array_join(F.transform("attachments", lambda a: a["filename"]), " "), S.FIELD_BODY: body,
     }
-    index.write_index(index.postings(messages, "gid", fields, {S.FIELD_BODY: S.BODY_TOKENS}), str(base / "index"))
+    index.write_index(index.postings(messages, "gid", fields), f"{out}/index")
+    index.index_meta(spark.read.parquet(f"{out}/index")).write.mode("overwrite").parquet(f"{out}/index_meta")
     current = messages.select("uid", "hash", "nav", F.col("path").alias("folder"))
-    actions = manifest.diff(current, old, force)
-    pages(messages).write.mode("overwrite").parquet(str(base / "pages"))
+    made = None
+    if exists(spark, f"{out}/pages"):
+        made = spark.read.parquet(f"{out}/pages").select("uid", F.col("built").cast("string").alias("last_built")).join(old.select("uid", "last_built"), ["uid", "last_built"], "left_semi").select("uid").distinct()
+    made = made if made is not None else old.select("uid").limit(0)
+    actions = manifest.diff(current, old, force, pages=made)
+    actions.write.mode("overwrite").parquet(f"{out}/work/actions")
+    actions = spark.read.parquet(f"{out}/work/actions")
+    fresh = messages.join(actions.where("action in ('added', 'updated')").select("uid"), "uid", "left_semi")
+    pages(fresh, block_remote).write.mode("overwrite").parquet(f"{out}/pages/built={part_name(now)}")
+    files(fresh).write.mode("overwrite").parquet(f"{out}/files/built={part_name(now)}")
     counts = manifest.stats(actions).first()
-    manifest.save(manifest.next_manifest(current, old, now, prune), str(base / "manifest"))
+    rebuilt = actions.where("action in ('added', 'updated')").select("uid")
+    told = manifest.next_manifest(current, old, part_name(now), prune, rebuilt=rebuilt)
+    manifest.save(told, f"{out}/manifest", sources={p: {"fingerprint": fingerprint(p), "read": now} for p in sources})
     read_rows, kept = messages.agg(F.sum("copies"), F.count("*")).first()
-    return Stats(counts["added"], counts["updated"], counts["unchanged"], counts["gone"], (read_rows or 0) - kept, slugs.count(), errors)
+    attachments = spark.read.parquet(f"{out}/files/built={part_name(now)}").count()
+    return Stats(counts["added"], counts["updated"], counts["unchanged"], counts["gone"], counts["gone"] if prune else 0, attachments, (read_rows or 0) - kept, slugs.count(), errors)
+
+
+def part_name(now: str) -> str:
+    """A run's name as part of a path."""
+    return "".join(c if c.isalnum() else "_" for c in now)
+
+
+def page_html(spark: SparkSession, out: str, uid: str) -> str | None:
+    """The page of a message, of the run that made it last."""
+    row = current_pages(spark, out).where(F.col("uid") == uid).select("html").first()
+    return row[0] if row else None
 
 
 def search(spark: SparkSession, out: str, words: str, folder: str | None = None, prefix: str = "all", top: int = S.RESULTS) -> DataFrame:
@@ -131,14 +174,26 @@ def search(spark: SparkSession, out: str, words: str, folder: str | None = None,
     return index.search(spark.read.parquet(f"{out}/index"), docs, words, key="gid", epoch="epoch", scope=scope, top=top, prefix=prefix, shard_len=2)
 
 
-def export_json(spark: SparkSession, out: str, title: str = "Archive", generator: str = "postquarry") -> None:
-    """folders.json and a JSON listing a folder (written by the tasks) in the positional form clients read."""
-    base = Path(out)
-    rows = spark.read.parquet(str(base / "folders"))
-    accounts = [r[0] for r in rows.where("depth = 0").select("path").orderBy("path").toLocalIterator()]
-    folders = [r.asDict() for r in rows.withColumn("_k", X.folder_sort_key(F.col("path"))).orderBy("_k", "path").drop("_k").toLocalIterator()]
-    (base / "data").mkdir(exist_ok=True)
-    (base / "data" / "folders.json").write_text(json.dumps({"title": title, "generator": generator, "totalMessages": sum(f["count"] for f in folders), "accounts": accounts, "folders": folders}))
-    listed = spark.read.parquet(str(base / "listing"))
+def export_json(spark: SparkSession, out: str, title: str = "Archive", generator: str = "postquarry", built: str = "", news_host: str = "") -> None:
+    """What clients read, written by the tasks: a JSON listing a folder in positional form, a JSON shard of the index for each start of words, the
+    index's documents, and folders.json, which alone passes through the driver, a folder at a time."""
+    rows = spark.read.parquet(f"{out}/folders")
+    record = F.to_json(F.struct(*[F.col(c) for c in ("path", "name", "depth", "parent", "count", "unread", "slug")]))
+    ordered = rows.withColumn("_k", X.folder_sort_key(F.col("path"))).orderBy("_k", "path").select("path", "depth", "count", record.alias("j"))
+    accounts, folders, total = [], [], 0
+    for r in ordered.toLocalIterator():
+        folders.append(r["j"])
+        accounts += [r["path"]] if r["depth"] == 0 else []
+        total += r["count"]
+    head = json.dumps({"title": title, "generator": generator, "built": built, "newsHost": news_host, "totalMessages": total, "accounts": accounts})
+    write_text(spark, f"{out}/data/folders.json", f'{head[:-1]}, "folders": [{", ".join(folders)}]}}')
+    listed = spark.read.parquet(f"{out}/listing")
     row = F.to_json(F.array(*[F.col(c).cast("string") for c in ("uid", "subject", "from_name", "from_addr", "epoch", "priority", "flags", "thread", "size")]))
-    listed.select("slug", row.alias("value")).repartition("slug").write.mode("overwrite").partitionBy("slug").text(str(base / "data" / "msgs"))
+    listed.select("slug", "idx", row.alias("value")).repartitionByRange("slug", "idx").sortWithinPartitions("slug", "idx").drop("idx").write.mode("overwrite").partitionBy("slug").text(f"{out}/data/msgs")
+    docs = F.to_json(F.struct("gid", "uid", "slug", "idx"))
+    listed.repartitionByRange("gid").sortWithinPartitions("gid").select(docs.alias("value")).write.mode("overwrite").text(f"{out}/data/search/docs")
+    blocks = index.posting_blocks(spark.read.parquet(f"{out}/index")).withColumn("shard", X.shard_of(F.col("token"), 2))
+    lists = blocks.select("shard", "token", "block", F.to_json(F.struct("token", "block", "entries")).alias("value"))
+    lists.repartitionByRange("shard", "token", "block").sortWithinPartitions("shard", "token", "block").select("shard", "value").write.mode("overwrite").partitionBy("shard").text(f"{out}/data/search/shards")
+    meta = spark.read.parquet(f"{out}/index_meta").first().asDict()
+    write_text(spark, f"{out}/data/search/meta.json", json.dumps(meta))

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postquarry.storage import exists, names
 from postquarry.sources.mailbox import folder_of_file, opener, read_eml, read_mbox
 
 ROW = "uid_source string, folder string, message_id string, subject string, from_addr string, date_raw string, body_text string, body_html string, error string"
@@ -49,7 +49,7 @@ def admit(batch: DataFrame, store: str) -> DataFrame:
     kept = [c for c in batch.columns if c != "uid"]
     best = F.max_by(F.struct(*kept), F.struct(size.alias("n"), F.col("uid_source").alias("s")))
     one = batch.where("error is null").groupBy("uid").agg(best.alias("_r")).select("uid", "_r.*")
-    if not any(Path(store).glob("batch=*")):
+    if not any(n.startswith("batch=") for n in names(batch.sparkSession, store)):
         return one
     return one.join(batch.sparkSession.read.parquet(store).select("uid"), "uid", "left_anti")
 
@@ -60,11 +60,9 @@ def ingest(spark: SparkSession, folder: str, store: str, checkpoint: str, after:
 
     def write(batch: DataFrame, number: int) -> None:
         # a repeated batch overwrites its own part only
-        Path(store).mkdir(parents=True, exist_ok=True)
         target = f"{store}/batch={number}"
-        admit_rows = admit(batch, store) if not Path(target).exists() else None
-        if admit_rows is not None:
-            admit_rows.write.mode("overwrite").parquet(target)
+        if not exists(batch.sparkSession, f"{target}/_SUCCESS"):
+            admit(batch, store).write.mode("overwrite").parquet(target)
         if after is not None:
             after(batch.sparkSession.read.parquet(store), number)
 

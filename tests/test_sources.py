@@ -3,6 +3,7 @@
 import bz2
 import gzip
 import io
+import json
 import lzma
 import random
 import tarfile
@@ -141,8 +142,8 @@ def test_failing_source_is_a_row(spark, sources):
 
 
 def test_build_is_incremental(spark, sources):
-    from postquarry.operators.manifest import load
-    from postquarry.plans.publish import build, export_json, search
+    from postquarry.operators.manifest import known_sources, load
+    from postquarry.plans.publish import build, current_pages, export_json, search
 
     out = str(sources / "out")
     paths = [str(sources / "Inbox.mbox"), str(sources / "old.mbox.gz")]
@@ -151,22 +152,50 @@ def test_build_is_incremental(spark, sources):
     again = build(spark, paths, out, now="t2")
     assert (again.added, again.updated, again.unchanged) == (0, 0, 4)
     assert {r["first_seen"] for r in load(spark, out + "/manifest").collect()} == {"t1"}
+    assert "fingerprint" in known_sources(spark, out + "/manifest")[paths[0]]
     hits = search(spark, out, "number body").collect()
     assert len(hits) == 4
-    export_json(spark, out)
-    page = spark.read.parquet(out + "/pages").where("html like '%Number 0%'").first()
-    assert "Body 0" in page["html"] and page["plain"] and page["page"].startswith("msg/")
+    export_json(spark, out, built="t2", news_host="news.example")
+    told = json.loads((sources / "out/data/folders.json").read_text())
+    assert told["built"] == "t2" and told["newsHost"] == "news.example" and told["totalMessages"] == 4 and len(told["folders"]) == 3
+    assert spark.read.text(out + "/data/search/docs").count() == 4 and spark.read.text(out + "/data/search/shards").where("value like '%\"number\"%'").count() == 1
+    page = current_pages(spark, out).where("html like '%Number 0%'").first()
+    assert "Body 0" in page["html"] and page["plain"] and page["page"].startswith("msg/") and page["built"] == "t1"
     (sources / "out" / "manifest" / "current.json").unlink()
     recovered = build(spark, paths, out, now="t2")
     assert (recovered.added, recovered.unchanged) == (0, 4)
-    first_seen = {"t2"}
     (sources / "Inbox.mbox").write_bytes(box(MESSAGES[:1]))
-    assert {r["first_seen"] for r in load(spark, out + "/manifest").collect()} == first_seen
     less = build(spark, [str(sources / "Inbox.mbox")], out, now="t3")
-    assert less.gone == 3 and load(spark, out + "/manifest").count() == 4
+    # neighbours of the one left changed, so its page is made again; the others keep theirs
+    assert (less.updated, less.gone, less.pruned) == (1, 3, 0) and load(spark, out + "/manifest").count() == 4
+    assert {r["built"] for r in current_pages(spark, out).collect()} == {"t1", "t3"} and current_pages(spark, out).count() == 4
+    gone = build(spark, [str(sources / "Inbox.mbox")], out, now="t4", prune=True)
+    assert gone.pruned == 3 and current_pages(spark, out).count() == 1
     (sources / "Inbox.mbox").write_bytes(b"")
     with pytest.raises(RuntimeError):
-        build(spark, [str(sources / "Inbox.mbox")], out, now="t4")
+        build(spark, [str(sources / "Inbox.mbox")], out, now="t5")
+
+
+def test_options_of_a_build(spark, tmp_path):
+    from postquarry.plans.publish import build, page_html
+
+    parts = b"".join(
+        b"--b\nContent-Type: image/gif; name=\"p.gif\"\nContent-ID: <c%d@x>\nContent-Transfer-Encoding: base64\n\nAAA%d\n" % (i, i) for i in range(2)
+    )
+    rich = b"From: a@x.example\nMessage-ID: <r@x>\nDate: Mon, 1 Jan 2001 10:00:00 +0000\nContent-Type: multipart/related; boundary=b\n\n--b\nContent-Type: text/html\n\n<p>see <img src='cid:c1@x'><img src='http://t.example/p.gif'></p>\n" + parts + b"--b--\n"
+    (tmp_path / "b.mbox").write_bytes(box([rich]))
+    (tmp_path / "a.mbox").write_bytes(box([rich.replace(b"see", b"saw"), *MESSAGES]))
+    out = str(tmp_path / "out")
+    # equal lengths: the source given first counts, not the one whose name does
+    stats = build(spark, [str(tmp_path / "b.mbox"), str(tmp_path / "a.mbox")], out, now="t1", limit=3, by_year=False, by_account=False, block_remote=False)
+    assert (stats.added, stats.attachments) == (3, 2)
+    rows = spark.read.parquet(out + "/messages").select("path", "uid", "message_id").collect()
+    uid = next(r["uid"] for r in rows if r["message_id"] == "r@x")
+    assert {r["path"] for r in rows} == {"b", "a"}
+    html = page_html(spark, out, uid)
+    files = {r["path"]: bytes(r["payload"]) for r in spark.read.parquet(out + "/files").collect()}
+    assert sorted(files) == [f"attachments/{uid[:2]}/{uid}/p-2.gif", f"attachments/{uid[:2]}/{uid}/p.gif"] and all(p in html for p in files) and 'src="http://t.example/p.gif"' in html and "see" in html
+    assert f'src="attachments/{uid[:2]}/{uid}/p-2.gif"' in html and len(set(files.values())) == 2
 
 
 def test_stream_is_idempotent(spark, sources, tmp_path):
