@@ -111,7 +111,7 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     for cp in [*range(0xA0, 0xD800), *range(0xE000, 0x20000)]:
         c = chr(cp)
         folded = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if folded == c or not folded or cp not in scripts and not any(x.isascii() and (x.isalnum() or x in "'._+-") for x in folded):
+        if folded == c or unicodedata.combining(c) or folded and cp not in scripts and not any(x.isascii() and (x.isalnum() or x in "'._+-") for x in folded):
             continue
         if len(folded) == 1:
             one.append(c)
