@@ -130,13 +130,31 @@ def _marks() -> str:
     return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in zip(starts, ends)) + "]+"
 
 
+# Signs of several letters that mail really has; they are replaced at once, the others only in texts that have such.
+COMMON_SIGNS = ["…", "™", "ﬁ", "ﬂ", "ﬀ", "¼", "½", "¾", "№", "ĳ"]
+
+
+@lru_cache(maxsize=1)
+def _rare_signs() -> str:
+    """Class of few ranges that holds all other signs of several letters, and beyond U+2100 what lies between them."""
+    ranges: list[list[int]] = []
+    for cp in sorted(ord(c) for c in _folding()[2] if c not in COMMON_SIGNS):
+        if ranges and cp - ranges[-1][1] <= (0x400 if ranges[-1][1] >= 0x2100 else 1):
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents, signs of several letters written out. What no token may hold may stay as it is."""
     one, to, many = _folding()
+    out = text(c)
+    for sign in COMMON_SIGNS:
+        out = F.replace(out, F.lit(sign), F.lit(many[sign]))
     held = F.create_map(*[F.lit(x) for pair in many.items() for x in pair])
-    signs = "[" + "".join(re.escape(x) for x in many) + "]"
-    written = F.array_join(F.transform(F.split(text(c), ""), lambda x: F.coalesce(F.try_element_at(held, x), x)), "")
-    out = F.when(text(c).rlike(signs), written).otherwise(text(c))
+    written = F.array_join(F.transform(F.split(out, ""), lambda x: F.coalesce(F.try_element_at(held, x), x)), "")
+    out = F.when(out.rlike(_rare_signs()), written).otherwise(out)
     plain = F.translate(out, one, to)
     return F.lower(F.when(plain.rlike(r"[\p{M}\p{Cn}]"), F.regexp_replace(plain, _marks(), "")).otherwise(plain))
 
